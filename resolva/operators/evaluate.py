@@ -78,7 +78,7 @@ def metrics_at(scored: DataFrame, threshold, y: str = "y", p: str = "p",
         F.count_if((yy == 1) & ~pred).alias("fn"),
         F.count_if((yy == 1) & pred).alias("tp"),
         (-F.avg(yy * F.log(pc) + (1 - yy) * F.log(1 - pc))).alias("log_loss"),
-        F.avg(F.pow(pc - yy, 2)).alias("brier_score"))
+        F.avg((pc - yy) * (pc - yy)).alias("brier_score"))
     if isinstance(threshold, (int, float)):
         agg = agg.withColumn("threshold", F.lit(float(threshold)))
     return _with_rates(agg)

@@ -57,3 +57,97 @@ def with_ctes(body: str, *extra: tuple[str, str]) -> str:
     """Prefix `body` with the raw/clean case CTEs and any extra (name, sql)."""
     ctes = [("raw_cases", RAW_CASES_SQL), ("clean_cases", CLEAN_CASES_SQL), *extra]
     return "WITH " + ",\n".join(f"{n} AS ({s})" for n, s in ctes) + "\n" + body
+
+
+# ---------------------------------------------------------------- evaluation
+GRID_SQL = ("SELECT i, CAST(0.10 AS DOUBLE) + i * ((CAST(0.10 AS DOUBLE) + CAST(0.01 AS DOUBLE)) "
+            "- CAST(0.10 AS DOUBLE)) AS t FROM range(81) r(i)")
+
+
+def _rates_sql(tp="tp", fp="fp", fn="fn", tn="tn") -> str:
+    d = lambda c: f"CAST({c} AS DOUBLE)"
+    TP, FP, FN, TN = d(tp), d(fp), d(fn), d(tn)
+
+    def sdiv(a, b):
+        return f"(CASE WHEN ({b}) = 0 THEN 0.0 ELSE ({a}) / ({b}) END)"
+    p1, r1 = sdiv(TP, f"{TP} + {FP}"), sdiv(TP, f"{TP} + {FN}")
+    p0, r0 = sdiv(TN, f"{TN} + {FN}"), sdiv(TN, f"{TN} + {FP}")
+    f1 = sdiv(f"2 * {TP}", f"2 * {TP} + {FP} + {FN}")
+    f0 = sdiv(f"2 * {TN}", f"2 * {TN} + {FN} + {FP}")
+    return (f"{sdiv(f'{TP} + {TN}', f'{TP} + {TN} + {FP} + {FN}')} AS accuracy, "
+            f"{p1} AS precision_resolvida, {r1} AS recall_resolvida, {f1} AS f1_resolvida, "
+            f"({p0} + {p1}) / 2 AS precision_macro, ({r0} + {r1}) / 2 AS recall_macro, "
+            f"({f0} + {f1}) / 2 AS f1_macro")
+
+
+def sweep_ctes(scored: str, by: list[str], where: str = "TRUE") -> list[tuple[str, str]]:
+    """CTEs `grid`, `sweep_cells`, `sweep` (brute force: every row × every threshold)."""
+    b = ", ".join(f"s.{c}" for c in by)
+    bsel = (b + ", ") if by else ""
+    cells = (f"SELECT {bsel}g.i, g.t AS threshold, "
+             "CAST(sum(CASE WHEN s.p >= g.t AND s.y = 1 THEN 1 ELSE 0 END) AS BIGINT) AS tp, "
+             "CAST(sum(CASE WHEN s.p >= g.t AND s.y = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fp, "
+             "CAST(sum(CASE WHEN s.p < g.t AND s.y = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fn, "
+             "CAST(sum(CASE WHEN s.p < g.t AND s.y = 0 THEN 1 ELSE 0 END) AS BIGINT) AS tn "
+             f"FROM {scored} s CROSS JOIN grid g WHERE {where} GROUP BY {bsel}g.i, g.t")
+    sweep = f"SELECT *, {_rates_sql()} FROM sweep_cells"
+    return [("grid", GRID_SQL), ("sweep_cells", cells), ("sweep", sweep)]
+
+
+def best_ctes(by: list[str]) -> list[tuple[str, str]]:
+    part = ("PARTITION BY " + ", ".join(by)) if by else ""
+    bsel = (", ".join(by) + ", ") if by else ""
+    return [("best", f"SELECT {bsel}threshold, f1_macro AS best_f1_macro FROM "
+                     f"(SELECT *, row_number() OVER ({part} ORDER BY f1_macro DESC, i) AS rn FROM sweep) WHERE rn = 1")]
+
+
+def auc_ctes(scored: str, by: list[str]) -> list[tuple[str, str]]:
+    bsel = (", ".join(by) + ", ") if by else ""
+    part = ("PARTITION BY " + ", ".join(by)) if by else ""
+    grp = ("GROUP BY " + ", ".join(by)) if by else ""
+    dist = (f"SELECT {bsel}p + 0.0 AS p, CAST(sum(y) AS BIGINT) AS pos, CAST(count(*) - sum(y) AS BIGINT) AS neg "
+            f"FROM {scored} GROUP BY {bsel}p + 0.0")
+    lad = (f"SELECT *, coalesce(sum(neg) OVER ({part} ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) "
+           f"AS neg_below, coalesce(sum(pos) OVER ({part} ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) "
+           "AS pos_below FROM auc_dist")
+    auc = (f"SELECT {bsel}CASE WHEN sum(pos) * sum(neg) > 0 THEN "
+           "sum(CAST(pos AS DOUBLE) * (neg_below + CAST(neg AS DOUBLE) / 2)) / "
+           f"(CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)) END AS roc_auc FROM auc_ladder {grp}")
+    return [("auc_dist", dist), ("auc_ladder", lad), ("auc", auc)]
+
+
+def metric_cells_sql(scored: str, by: list[str], threshold_join: str) -> str:
+    """Confusion cells + log loss + Brier at a threshold column `threshold`."""
+    bsel = ", ".join(f"c.{x}" for x in by)
+    return (f"SELECT {bsel}, c.threshold, count(*) AS n, "
+            "CAST(sum(CASE WHEN c.y = 0 AND c.pc < c.threshold THEN 1 ELSE 0 END) AS BIGINT) AS tn, "
+            "CAST(sum(CASE WHEN c.y = 0 AND c.pc >= c.threshold THEN 1 ELSE 0 END) AS BIGINT) AS fp, "
+            "CAST(sum(CASE WHEN c.y = 1 AND c.pc < c.threshold THEN 1 ELSE 0 END) AS BIGINT) AS fn, "
+            "CAST(sum(CASE WHEN c.y = 1 AND c.pc >= c.threshold THEN 1 ELSE 0 END) AS BIGINT) AS tp, "
+            "-avg(c.y * ln(c.pc) + (1 - c.y) * ln(1 - c.pc)) AS log_loss, "
+            "avg((c.pc - c.y) * (c.pc - c.y)) AS brier_score "
+            f"FROM (SELECT s.*, t.threshold, least(greatest(s.p, 1e-15), 1 - 1e-15) AS pc FROM {scored} s {threshold_join}) c "
+            f"GROUP BY {bsel}, c.threshold")
+
+
+def rates_select(src: str) -> str:
+    return f"SELECT *, {_rates_sql()} FROM {src}"
+
+
+def baseline_scored_ctes(train_where: str, valid_where: str, test_where: str) -> list[tuple[str, str]]:
+    g, gg = "Baseline - média geral", "Baseline - média por Grupo Problema"
+    parts = []
+    for conj, src in (("validacao", "valid_set"), ("teste", "test_set")):
+        parts.append(f"SELECT '{conj}' AS conjunto, '{g}' AS modelo, case_id, target_resolvida AS y, "
+                     f"(SELECT r FROM global_rate) AS p FROM {src}")
+        parts.append(f"SELECT '{conj}' AS conjunto, '{gg}' AS modelo, v.case_id, v.target_resolvida AS y, "
+                     f"coalesce(gr.taxa, (SELECT r FROM global_rate)) AS p FROM {src} v "
+                     "LEFT JOIN group_rates gr ON v.grupo_problema = gr.grupo_problema")
+    return [
+        ("train_set", modelling_select(train_where)),
+        ("valid_set", modelling_select(valid_where)),
+        ("test_set", modelling_select(test_where)),
+        ("global_rate", "SELECT avg(CAST(target_resolvida AS DOUBLE)) AS r FROM train_set"),
+        ("group_rates", "SELECT grupo_problema, avg(CAST(target_resolvida AS DOUBLE)) AS taxa FROM train_set GROUP BY 1"),
+        ("scored", " UNION ALL ".join(parts)),
+    ]
