@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.dates import month_of, parse_mixed_date, year_of
 from ..functions.text import normalize_value, trim_or_sentinel
@@ -53,3 +54,14 @@ def clean_cases(raw: DataFrame, keep: tuple[str, ...] = ("case_id", "source_file
         (normalize_value(F.col("avaliacao_reclamacao")) == EVAL_RESOLVED).cast("int").alias(TARGET),
     ]
     return kept.select(*cols)
+
+
+def clean_schema(keep: dict[str, T.DataType] | None = None) -> T.StructType:
+    """Schema of `clean_cases` output (keep columns first)."""
+    keep = keep if keep is not None else {"case_id": T.LongType(), "source_file": T.StringType()}
+    fields = [T.StructField(k, t) for k, t in keep.items()]
+    for c in CASE_COLUMNS:
+        fields.append(T.StructField(c, T.TimestampType() if c == "data_finalizacao" else T.StringType()))
+    fields += [T.StructField(CLOSE_YEAR, T.IntegerType()), T.StructField(CLOSE_MONTH, T.IntegerType()),
+               T.StructField(TARGET, T.IntegerType())]
+    return T.StructType(fields)

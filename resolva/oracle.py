@@ -80,7 +80,7 @@ def _rates_sql(tp="tp", fp="fp", fn="fn", tn="tn") -> str:
             f"({f0} + {f1}) / 2 AS f1_macro")
 
 
-def sweep_ctes(scored: str, by: list[str], where: str = "TRUE") -> list[tuple[str, str]]:
+def sweep_ctes(scored: str, by: list[str], where: str = "TRUE", pre: str = "") -> list[tuple[str, str]]:
     """CTEs `grid`, `sweep_cells`, `sweep` (brute force: every row × every threshold)."""
     b = ", ".join(f"s.{c}" for c in by)
     bsel = (b + ", ") if by else ""
@@ -89,19 +89,19 @@ def sweep_ctes(scored: str, by: list[str], where: str = "TRUE") -> list[tuple[st
              "CAST(sum(CASE WHEN s.p >= g.t AND s.y = 0 THEN 1 ELSE 0 END) AS BIGINT) AS fp, "
              "CAST(sum(CASE WHEN s.p < g.t AND s.y = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fn, "
              "CAST(sum(CASE WHEN s.p < g.t AND s.y = 0 THEN 1 ELSE 0 END) AS BIGINT) AS tn "
-             f"FROM {scored} s CROSS JOIN grid g WHERE {where} GROUP BY {bsel}g.i, g.t")
-    sweep = f"SELECT *, {_rates_sql()} FROM sweep_cells"
-    return [("grid", GRID_SQL), ("sweep_cells", cells), ("sweep", sweep)]
+             f"FROM {scored} s CROSS JOIN {pre}grid g WHERE {where} GROUP BY {bsel}g.i, g.t")
+    sweep = f"SELECT *, {_rates_sql()} FROM {pre}sweep_cells"
+    return [(f"{pre}grid", GRID_SQL), (f"{pre}sweep_cells", cells), (f"{pre}sweep", sweep)]
 
 
-def best_ctes(by: list[str]) -> list[tuple[str, str]]:
+def best_ctes(by: list[str], pre: str = "") -> list[tuple[str, str]]:
     part = ("PARTITION BY " + ", ".join(by)) if by else ""
     bsel = (", ".join(by) + ", ") if by else ""
-    return [("best", f"SELECT {bsel}threshold, f1_macro AS best_f1_macro FROM "
-                     f"(SELECT *, row_number() OVER ({part} ORDER BY f1_macro DESC, i) AS rn FROM sweep) WHERE rn = 1")]
+    return [(f"{pre}best", f"SELECT {bsel}threshold, f1_macro AS best_f1_macro FROM "
+                           f"(SELECT *, row_number() OVER ({part} ORDER BY f1_macro DESC, i) AS rn FROM {pre}sweep) WHERE rn = 1")]
 
 
-def auc_ctes(scored: str, by: list[str]) -> list[tuple[str, str]]:
+def auc_ctes(scored: str, by: list[str], pre: str = "") -> list[tuple[str, str]]:
     bsel = (", ".join(by) + ", ") if by else ""
     part = ("PARTITION BY " + ", ".join(by)) if by else ""
     grp = ("GROUP BY " + ", ".join(by)) if by else ""
@@ -109,11 +109,11 @@ def auc_ctes(scored: str, by: list[str]) -> list[tuple[str, str]]:
             f"FROM {scored} GROUP BY {bsel}p + 0.0")
     lad = (f"SELECT *, coalesce(sum(neg) OVER ({part} ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) "
            f"AS neg_below, coalesce(sum(pos) OVER ({part} ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) "
-           "AS pos_below FROM auc_dist")
+           f"AS pos_below FROM {pre}auc_dist")
     auc = (f"SELECT {bsel}CASE WHEN sum(pos) * sum(neg) > 0 THEN "
            "sum(CAST(pos AS DOUBLE) * (neg_below + CAST(neg AS DOUBLE) / 2)) / "
-           f"(CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)) END AS roc_auc FROM auc_ladder {grp}")
-    return [("auc_dist", dist), ("auc_ladder", lad), ("auc", auc)]
+           f"(CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)) END AS roc_auc FROM {pre}auc_ladder {grp}")
+    return [(f"{pre}auc_dist", dist), (f"{pre}auc_ladder", lad), (f"{pre}auc", auc)]
 
 
 def metric_cells_sql(scored: str, by: list[str], threshold_join: str) -> str:
@@ -151,3 +151,23 @@ def baseline_scored_ctes(train_where: str, valid_where: str, test_where: str) ->
         ("group_rates", "SELECT grupo_problema, avg(CAST(target_resolvida AS DOUBLE)) AS taxa FROM train_set GROUP BY 1"),
         ("scored", " UNION ALL ".join(parts)),
     ]
+
+
+def q(s: str) -> str:
+    """SQL string literal."""
+    return "'" + s.replace("'", "''") + "'"
+
+
+def rate_grid_ctes(grid, src: str = "valid_set") -> list[tuple[str, str]]:
+    """Scored rows of every rate-model configuration (CTE `grid_scored`)."""
+    parts = []
+    for model, config, cols in grid:
+        on = " AND ".join(f"v.{c} = r.{c}" for c in cols)
+        gcols = ", ".join(cols)
+        params = "{'colunas': " + repr(cols) + "}"
+        parts.append(
+            f"SELECT {q(model)} AS modelo, {q('Codificação por alvo')} AS familia, {q(config)} AS configuracao, "
+            f"{q(params)} AS params, v.case_id, v.target_resolvida AS y, coalesce(r.taxa, (SELECT r FROM global_rate)) AS p "
+            f"FROM {src} v LEFT JOIN (SELECT {gcols}, avg(CAST(target_resolvida AS DOUBLE)) AS taxa FROM train_set "
+            f"GROUP BY {gcols}) r ON {on}")
+    return [("grid_scored", " UNION ALL ".join(parts))]

@@ -37,6 +37,8 @@ def metric_rows(scored: DataFrame, thresholds: DataFrame | None = None,
     `scored`: conjunto, modelo, y, p. The threshold table has one row per
     model, so joining it back is a join against a table of model count size.
     """
+    # read three times (sweep, metrics, AUC): cut the lineage once
+    scored = scored.checkpoint(eager=True)
     th = thresholds if thresholds is not None else choose_thresholds(scored)
     with_t = scored.join(th.select("modelo", "threshold"), "modelo")
     m = metrics_at(with_t, "threshold", by=["conjunto", "modelo"])

@@ -22,6 +22,7 @@ from .operators.sampling import sample_fixed
 from .operators.splits import SplitSpec, labelled_splits, split_summary, temporal_splits
 from .plans.evaluation import baseline_scores, choose_thresholds, metric_rows
 from .schema import CASE_VIEW_FEATURES, FEATURES
+from .sources.base import cleaned_base
 from .sources.tables import raw_cases, read_table, union_by_name
 
 SPEC = SplitSpec()
@@ -46,7 +47,8 @@ def query(name: str, sql: str | None = None):
 
 
 def _clean(spark: SparkSession, d: str) -> DataFrame:
-    return clean_cases(raw_cases(spark, d))
+    """The cleaned base (written once per input version, then read)."""
+    return cleaned_base(spark, d)
 
 
 def _splits(spark: SparkSession, d: str) -> dict[str, DataFrame]:
@@ -71,7 +73,7 @@ def _r9(cols: list[str]) -> str:
 # ------------------------------------------------------------------ cleaning
 @query("clean_cases", O.with_ctes("SELECT * FROM clean_cases"))
 def q_clean_cases(spark, d):
-    return _clean(spark, d)
+    return clean_cases(raw_cases(spark, d))
 
 
 @query("normalize_values", O.with_ctes(
@@ -170,8 +172,7 @@ _CATALOG_SQL = (
 
 
 def _catalog(spark, d):
-    raw = raw_cases(spark, d)
-    return pr.processing_catalog((raw, clean_cases(raw)))
+    return pr.processing_catalog((raw_cases(spark, d), _clean(spark, d)))
 
 
 @query("processing_catalog", O.with_ctes(_CATALOG_SQL))
@@ -370,3 +371,164 @@ def q_roc_auc_exact(spark, d):
        "round(avg(CAST(y AS DOUBLE)), 9) AS prob_true FROM binned GROUP BY bin")
 def q_calibration_curve(spark, d):
     return round_doubles(ev.calibration_curve(_events_scored(spark, d)))
+
+
+# ------------------------------------------------------------ tuning grid
+from .operators import reports as rp  # noqa: E402
+from .operators import scoring as sc  # noqa: E402
+from .plans.tuning import RATE_GRID, grid_results, rate_scores  # noqa: E402
+
+_GRID_KEYS = ["modelo", "familia", "configuracao", "params"]
+_GRID_JOIN = "JOIN tg_best t ON " + " AND ".join(f"s.{k} = t.{k}" for k in _GRID_KEYS)
+_GRID_CTES = [
+    *_BASE_CTES, *O.rate_grid_ctes(RATE_GRID),
+    *O.sweep_ctes("grid_scored", _GRID_KEYS, pre="tg_"), *O.best_ctes(_GRID_KEYS, pre="tg_"),
+    ("tg_cells", O.metric_cells_sql("grid_scored", _GRID_KEYS, _GRID_JOIN)),
+    ("tg_rates", O.rates_select("tg_cells")),
+    *O.auc_ctes("grid_scored", _GRID_KEYS, pre="tg_"),
+    ("tuning", "SELECT m.modelo, m.familia, m.configuracao, m.params, round(m.threshold, 9) AS threshold, "
+               + ", ".join(f"round(m.{c}, 9) AS {c}" for c in ["accuracy", "precision_macro", "recall_macro", "f1_macro",
+                                                             "precision_resolvida", "recall_resolvida", "f1_resolvida"])
+               + ", round(a.roc_auc, 9) AS roc_auc, round(m.log_loss, 9) AS log_loss, round(m.brier_score, 9) AS brier_score, "
+               "m.tn, m.fp, m.fn, m.tp FROM tg_rates m LEFT JOIN tg_auc a ON "
+               + " AND ".join(f"m.{k} = a.{k}" for k in _GRID_KEYS)),
+]
+
+
+def _tuning(spark, d):
+    s = _splits(spark, d)
+    return round_doubles(grid_results(rate_scores(s["train"], s["valid"])))
+
+
+@query("tuning_grid", O.with_ctes("SELECT * FROM tuning", *_GRID_CTES))
+def q_tuning_grid(spark, d):
+    return _tuning(spark, d)
+
+
+def _best_sql(order: str) -> str:
+    return (f"SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY modelo ORDER BY {order}, configuracao) "
+            "AS rn FROM tuning) WHERE rn = 1")
+
+
+@query("best_config_f1", O.with_ctes(_best_sql("f1_macro DESC"), *_GRID_CTES))
+def q_best_config_f1(spark, d):
+    return rp.best_config(_tuning(spark, d))
+
+
+@query("best_config_prob", O.with_ctes(_best_sql("brier_score, log_loss"), *_GRID_CTES))
+def q_best_config_prob(spark, d):
+    return rp.best_config(_tuning(spark, d), by_probability=True)
+
+
+_COMPARE_SQL = ("SELECT modelo, f1_macro, roc_auc, brier_score, log_loss FROM metrics WHERE conjunto = 'validacao' "
+                "UNION ALL SELECT modelo, f1_macro, roc_auc, brier_score, log_loss FROM (" + _best_sql("f1_macro DESC") + ")")
+
+
+def _comparison(spark, d):
+    """Validation comparison: both baselines + each rate model at its best configuration."""
+    s = _splits(spark, d)
+    base = metric_rows(baseline_scores(s)).filter(F.col("conjunto") == "validacao")
+    tuned = rp.best_config(grid_results(rate_scores(s["train"], s["valid"])))
+    cols = ["modelo", "f1_macro", "roc_auc", "brier_score", "log_loss"]
+    return round_doubles(base.select(*cols).unionByName(tuned.select(*cols)))
+
+
+@query("leaderboard", O.with_ctes(
+    "SELECT CAST(row_number() OVER (ORDER BY f1_macro DESC, modelo) AS INTEGER) AS posicao, modelo AS \"Modelo\", "
+    "f1_macro AS valor, f1_macro AS \"F1 macro\", roc_auc AS \"ROC-AUC\", brier_score AS \"Brier\", "
+    f"log_loss AS \"Log loss\" FROM ({_COMPARE_SQL})", *_METRIC_CTES, *_GRID_CTES[len(_BASE_CTES):]))
+def q_leaderboard(spark, d):
+    return rp.leaderboard(_comparison(spark, d))
+
+
+@query("best_model", O.with_ctes(
+    "SELECT * FROM (SELECT 'classificacao' AS criterio, modelo, f1_macro, brier_score, log_loss FROM cmp "
+    "WHERE NOT starts_with(modelo, 'Baseline') ORDER BY f1_macro DESC, modelo LIMIT 1) UNION ALL "
+    "SELECT * FROM (SELECT 'probabilidade', modelo, f1_macro, brier_score, log_loss FROM cmp "
+    "WHERE NOT starts_with(modelo, 'Baseline') ORDER BY brier_score, log_loss, modelo LIMIT 1)",
+    *_METRIC_CTES, *_GRID_CTES[len(_BASE_CTES):], ("cmp", _COMPARE_SQL)))
+def q_best_model(spark, d):
+    return rp.best_model(_comparison(spark, d))
+
+
+@query("model_names", O.with_ctes("SELECT DISTINCT modelo FROM tuning", *_GRID_CTES))
+def q_model_names(spark, d):
+    return _tuning(spark, d).select("modelo").distinct()
+
+
+# ------------------------------------------- rate-derived weights (log-odds)
+def _category_stats(train: DataFrame, variables: list[str]) -> DataFrame:
+    long = (train.select("target_resolvida", *variables)
+                 .unpivot(["target_resolvida"], variables, "variavel", "categoria"))
+    return long.groupBy("variavel", "categoria").agg(F.count(F.lit(1)).alias("n"),
+                                                      F.sum("target_resolvida").cast("double").alias("pos"))
+
+
+def _rate_weights(spark, d):
+    """Univariate log-odds ratio of each (variable, category) vs the training
+    mean (0.5 added to both counts), and a normalized |rate gap| importance."""
+    train = _splits(spark, d)["train"]
+    r = bl.global_rate(train)
+    st = _category_stats(train, CASE_VIEW_FEATURES)
+    coef = F.log((F.col("pos") + 0.5) / (F.col("n") - F.col("pos") + 0.5)) - F.log(F.lit(r) / F.lit(1 - r))
+    gap = F.col("n") * F.abs(F.col("pos") / F.col("n") - F.lit(r))
+    tot = st.agg(F.sum(gap).alias("t")).first()["t"]
+    return st.select("variavel", "categoria", coef.alias("coeficiente"), (gap / F.lit(tot)).alias("importancia"))
+
+
+_WEIGHTS_CTES = [*_SPLITS_CTES,
+                 ("global_rate", "SELECT avg(CAST(target_resolvida AS DOUBLE)) AS r FROM train_set"),
+                 ("cat_stats", "SELECT variavel, categoria, count(*) AS n, CAST(sum(target_resolvida) AS DOUBLE) AS pos FROM "
+                  "(UNPIVOT (SELECT target_resolvida, " + ", ".join(CASE_VIEW_FEATURES) + " FROM train_set) ON "
+                  + ", ".join(CASE_VIEW_FEATURES) + " INTO NAME variavel VALUE categoria) GROUP BY 1, 2"),
+                 ("gaps", "SELECT *, n * abs(pos / n - (SELECT r FROM global_rate)) AS gap FROM cat_stats"),
+                 ("weights", "SELECT variavel, categoria, ln((pos + 0.5) / (n - pos + 0.5)) - "
+                  "ln((SELECT r FROM global_rate) / (1 - (SELECT r FROM global_rate))) AS coeficiente, "
+                  "gap / (SELECT sum(gap) FROM gaps) AS importancia FROM gaps")]
+_ABBREV_CASE = "CASE variavel " + " ".join(f"WHEN {O.q(k)} THEN {O.q(v)}" for k, v in
+                                           __import__("resolva.schema", fromlist=["x"]).FEATURE_ABBREV.items()) + " ELSE variavel END"
+_COEF_SQL = ("SELECT variavel || '_' || categoria AS feature_codificada, coeficiente, variavel, categoria, "
+             f"({_ABBREV_CASE}) || ': ' || categoria AS label_grafico, abs(coeficiente) AS abs_coeficiente, "
+             "exp(coeficiente) AS odds_ratio FROM weights")
+
+
+def _coefs(spark, d):
+    return rp.coefficient_table(_rate_weights(spark, d))
+
+
+@query("coef_top", O.with_ctes(
+    "SELECT feature_codificada, round(coeficiente, 9) AS coeficiente, variavel, categoria, label_grafico, "
+    "round(abs_coeficiente, 9) AS abs_coeficiente, round(odds_ratio, 9) AS odds_ratio FROM coefs "
+    "ORDER BY coeficiente DESC, feature_codificada LIMIT 30", *_WEIGHTS_CTES, ("coefs", _COEF_SQL)))
+def q_coef_top(spark, d):
+    return round_doubles(rp.coefficient_top(_coefs(spark, d), 30))
+
+
+@query("coef_summary", O.with_ctes(
+    "SELECT variavel, round(avg(abs_coeficiente), 9) AS media_abs_coeficiente, round(max(abs_coeficiente), 9) AS "
+    "max_abs_coeficiente, count(categoria) AS quantidade_categorias FROM coefs GROUP BY variavel",
+    *_WEIGHTS_CTES, ("coefs", _COEF_SQL)))
+def q_coef_summary(spark, d):
+    return round_doubles(rp.coefficient_summary(_coefs(spark, d)))
+
+
+_IMP_SQL = ("SELECT variavel || '_' || categoria AS feature_codificada, importancia, variavel, categoria, "
+            f"({_ABBREV_CASE}) || ': ' || categoria AS label_grafico FROM weights")
+
+
+def _imps(spark, d):
+    return rp.importance_table(_rate_weights(spark, d))
+
+
+@query("importance_top", O.with_ctes(
+    "SELECT feature_codificada, round(importancia, 9) AS importancia, variavel, categoria, label_grafico FROM imps "
+    "ORDER BY importancia DESC, feature_codificada LIMIT 50", *_WEIGHTS_CTES, ("imps", _IMP_SQL)))
+def q_importance_top(spark, d):
+    return round_doubles(rp.importance_top(_imps(spark, d), 50))
+
+
+@query("importance_summary", O.with_ctes(
+    "SELECT variavel, round(sum(importancia), 9) AS importancia_total, round(avg(importancia), 9) AS importancia_media, "
+    "count(categoria) AS quantidade_categorias FROM imps GROUP BY variavel", *_WEIGHTS_CTES, ("imps", _IMP_SQL)))
+def q_importance_summary(spark, d):
+    return round_doubles(rp.importance_summary(_imps(spark, d)))
