@@ -532,3 +532,133 @@ def q_importance_top(spark, d):
     "count(categoria) AS quantidade_categorias FROM imps GROUP BY variavel", *_WEIGHTS_CTES, ("imps", _IMP_SQL)))
 def q_importance_summary(spark, d):
     return round_doubles(rp.importance_summary(_imps(spark, d)))
+
+
+# ------------------------------------------------------------ case scoring
+def _scoring_inputs(spark, d):
+    s = _splits(spark, d)
+    train, test = s["train"], s["test"]
+    general = bl.global_rate(train)
+    pair = train.groupBy("grupo_problema", "segmento_de_mercado").agg(
+        F.avg(F.col("target_resolvida").cast("double")).alias("taxa_par"))
+    scored_p = (test.join(pair, ["grupo_problema", "segmento_de_mercado"], "left")
+                    .select("case_id", F.coalesce("taxa_par", F.lit(general)).alias("p")))
+    grates = bl.group_rates(train, "grupo_problema")
+    return test, scored_p, grates, general
+
+
+_SCORE_CTES = [*_SPLITS_CTES,
+               ("global_rate", "SELECT avg(CAST(target_resolvida AS DOUBLE)) AS r FROM train_set"),
+               ("pair", "SELECT grupo_problema, segmento_de_mercado, avg(CAST(target_resolvida AS DOUBLE)) AS taxa "
+                        "FROM train_set GROUP BY 1, 2"),
+               ("grp", "SELECT grupo_problema, avg(CAST(target_resolvida AS DOUBLE)) AS taxa_grupo, count(*) AS n_grupo "
+                       "FROM train_set GROUP BY 1"),
+               ("sc", "SELECT t.case_id, t.grupo_problema, t.segmento_de_mercado, t.problema, "
+                      "coalesce(pr.taxa, (SELECT r FROM global_rate)) AS p, (SELECT r FROM global_rate) AS media_geral, "
+                      "coalesce(gr.taxa_grupo, (SELECT r FROM global_rate)) AS media_grupo, gr.n_grupo FROM test_set t "
+                      "LEFT JOIN pair pr ON t.grupo_problema = pr.grupo_problema AND t.segmento_de_mercado = pr.segmento_de_mercado "
+                      "LEFT JOIN grp gr ON t.grupo_problema = gr.grupo_problema")]
+
+
+def _band_sql(p, ref):
+    return (f"CASE WHEN {p} > {ref} + 0.03 THEN 'acima' WHEN {p} < {ref} - 0.03 THEN 'abaixo' ELSE 'próxima' END")
+
+
+def _pct_sql(x):
+    return f"coalesce(replace(printf('%.1f%%', {x} * 100.0), '.', ','), 'N/A')"
+
+
+_EXPL_SQL = ("printf('O modelo estimou uma probabilidade de resolução de %s. Essa estimativa está %s da média geral "
+             "histórica, que é de %s, e %s da média histórica do grupo de problema selecionado, que é de %s. "
+             "A reclamação simulada pertence ao grupo %s, ao segmento %s e envolve o problema %s.', "
+             f"{_pct_sql('p')}, {_band_sql('p', 'media_geral')}, {_pct_sql('media_geral')}, "
+             f"{_band_sql('p', 'media_grupo')}, {_pct_sql('media_grupo')}, grupo_problema, "
+             "coalesce(segmento_de_mercado, 'Não informado'), coalesce(problema, 'Não informado'))")
+
+
+@query("score_cases", O.with_ctes(
+    "SELECT case_id, grupo_problema, round(p, 9) AS p, round(media_geral, 9) AS media_geral, "
+    f"round(media_grupo, 9) AS media_grupo, {_band_sql('p', 'media_geral')} AS comparacao_geral, "
+    f"{_band_sql('p', 'media_grupo')} AS comparacao_grupo, "
+    "CASE WHEN p * 100.0 < 33.0 THEN 'baixa' WHEN p * 100.0 < 66.0 THEN 'media' ELSE 'alta' END AS faixa, "
+    f"round((p - media_geral) * 100.0, 9) AS delta_pp, {_EXPL_SQL} AS explicacao FROM sc", *_SCORE_CTES))
+def q_score_cases(spark, d):
+    test, scored_p, grates, general = _scoring_inputs(spark, d)
+    return round_doubles(sc.score_cases(test, scored_p, grates, general))
+
+
+@query("explanation_text", O.with_ctes(
+    f"SELECT case_id, {_pct_sql('p')} AS probabilidade_txt, {_pct_sql('media_grupo')} AS media_grupo_txt, "
+    "replace(format('{:,}', coalesce(n_grupo, 0)), ',', '.') AS casos_grupo_txt FROM sc", *_SCORE_CTES))
+def q_explanation_text(spark, d):
+    test, scored_p, grates, general = _scoring_inputs(spark, d)
+    g = F.lit(float(general))
+    j = (test.join(scored_p, "case_id").join(grates, "grupo_problema", "left"))
+    return j.select("case_id", sc.fmt_pct(F.col("p")).alias("probabilidade_txt"),
+                    sc.fmt_pct(F.coalesce("taxa_grupo", g)).alias("media_grupo_txt"),
+                    sc.fmt_int(F.coalesce(F.col("n_grupo"), F.lit(0))).alias("casos_grupo_txt"))
+
+
+FACTOR_VARIABLES = ["grupo_problema", "segmento_de_mercado", "uf", "regiao"]
+
+
+@query("factor_match", O.with_ctes(
+    "SELECT l.case_id, l.variavel, l.categoria, f.efeito FROM (UNPIVOT (SELECT case_id, "
+    + ", ".join(FACTOR_VARIABLES) + " FROM test_set) ON " + ", ".join(FACTOR_VARIABLES)
+    + " INTO NAME variavel VALUE categoria) l JOIN factors f ON l.variavel = f.variavel AND l.categoria = f.categoria",
+    *_WEIGHTS_CTES, ("coefs", _COEF_SQL),
+    ("factors", "SELECT variavel, categoria, 'aumenta' AS efeito FROM (SELECT * FROM coefs ORDER BY coeficiente DESC, "
+                "feature_codificada LIMIT 30) UNION ALL SELECT variavel, categoria, 'reduz' FROM (SELECT * FROM coefs "
+                "ORDER BY coeficiente, feature_codificada LIMIT 30)")))
+def q_factor_match(spark, d):
+    coefs = _coefs(spark, d)
+    factors = (rp.coefficient_top(coefs, 30, True).select("variavel", "categoria", F.lit("aumenta").alias("efeito"))
+               .unionByName(rp.coefficient_top(coefs, 30, False)
+                            .select("variavel", "categoria", F.lit("reduz").alias("efeito"))))
+    return sc.factor_match(_splits(spark, d)["test"], factors, FACTOR_VARIABLES)
+
+
+@query("canonicalize_domain", O.with_ctes(
+    "SELECT c.case_id, c.candidato, coalesce(dm.valor, lw.by_lower, 'Não informado') AS valor_canonico FROM cands c "
+    "LEFT JOIN dom dm ON trim(c.candidato) = dm.valor LEFT JOIN low lw ON lower(trim(c.candidato)) = lw.low",
+    *_SPLITS_CTES,
+    ("cands", "SELECT case_id, CASE WHEN case_id % 3 = 0 THEN lower(grupo_problema) WHEN case_id % 3 = 1 "
+              "THEN grupo_problema ELSE grupo_problema || ' *' END AS candidato FROM test_set"),
+    ("dom", "SELECT DISTINCT coalesce(nullif(trim(grupo_problema), ''), 'Não informado') AS valor FROM train_set "
+            "UNION SELECT 'Não informado'"),
+    ("low", "SELECT lower(valor) AS low, max(valor) AS by_lower FROM dom GROUP BY 1")))
+def q_canonicalize_domain(spark, d):
+    """Reply values for the problem-group field (as a model might spell them:
+    lower-cased, exact, or with trailing noise) mapped onto the known domain."""
+    s = _splits(spark, d)
+    k = F.col("case_id")
+    cands = s["test"].select("case_id", F.when(k % 3 == 0, F.lower("grupo_problema"))
+                                          .when(k % 3 == 1, F.col("grupo_problema"))
+                                          .otherwise(F.concat("grupo_problema", F.lit(" *"))).alias("candidato"))
+    return sc.canonicalize(cands, "candidato", sc.domain_table(s["train"], "grupo_problema"))
+
+
+_REPLY_SQL = ("CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN '```json' || chr(10) || props || chr(10) || '```' "
+              "WHEN 2 THEN 'Resposta: ' || props || ' fim' ELSE '[' || props || ']' END")
+
+
+@query("json_fields",
+       "WITH r AS (SELECT event_id, " + _REPLY_SQL + " AS resposta FROM events), "
+       "a AS (SELECT event_id, resposta, CASE WHEN starts_with(trim(resposta), '```') THEN "
+       "regexp_replace(trim(resposta), '^[^\\n]*\\n?', '') ELSE trim(resposta) END AS t1 FROM r), "
+       "b AS (SELECT event_id, resposta, trim(CASE WHEN ends_with(t1, '```') THEN regexp_replace(t1, '```$', '') ELSE t1 END) "
+       "AS t FROM a), c AS (SELECT *, regexp_extract(t, '(?s)(\\{.*\\})', 1) AS span FROM b), "
+       "o AS (SELECT event_id, resposta, CASE WHEN json_valid(t) THEN (CASE WHEN json_type(t) = 'OBJECT' THEN t END) "
+       "WHEN span <> '' AND json_valid(span) AND json_type(span) = 'OBJECT' THEN span END AS obj FROM c) "
+       "SELECT event_id, resposta, obj IS NOT NULL AS valido, json_extract_string(obj, '$.k') AS k FROM o")
+def q_json_fields(spark, d):
+    """Model-style replies built from event properties (bare JSON, fenced,
+    wrapped in prose, or a list) parsed leniently into a field map."""
+    e = read_table(spark, d, "events").select("event_id", "props")
+    k = F.col("event_id") % 4
+    text = (F.when(k == 0, F.col("props"))
+             .when(k == 1, F.concat(F.lit("```json\n"), "props", F.lit("\n```")))
+             .when(k == 2, F.concat(F.lit("Resposta: "), "props", F.lit(" fim")))
+             .otherwise(F.concat(F.lit("["), "props", F.lit("]"))))
+    m = sc.parse_reply(text)
+    return e.select("event_id", text.alias("resposta"), m.isNotNull().alias("valido"), m["k"].alias("k"))
