@@ -662,3 +662,45 @@ def q_json_fields(spark, d):
              .otherwise(F.concat(F.lit("["), "props", F.lit("]"))))
     m = sc.parse_reply(text)
     return e.select("event_id", text.alias("resposta"), m.isNotNull().alias("valido"), m["k"].alias("k"))
+
+
+# ---------------------------------------------------------------- CSV ingest
+from .sources import csv_ingest as ci  # noqa: E402
+from .sources.csv_export import export_raw_csv  # noqa: E402
+
+
+def _ingested(spark, d):
+    return ci.ingest(spark, export_raw_csv(spark, d))
+
+
+@query("ingest_csv", O.with_ctes(
+    "SELECT ano_finalizacao, canal_de_origem, segmento_de_mercado, count(*) AS linhas, "
+    "CAST(sum(target_resolvida) AS BIGINT) AS resolvidas FROM clean_cases GROUP BY 1, 2, 3"))
+def q_ingest_csv(spark, d):
+    """Raw cases exported as CSV in three dialects, then ingested back:
+    detection → grouped reads → canonical headers → cleaning."""
+    cases = _ingested(spark, d).cases
+    return (cases.groupBy("ano_finalizacao", "canal_de_origem", "segmento_de_mercado")
+                 .agg(F.count(F.lit(1)).alias("linhas"), F.sum("target_resolvida").cast("long").alias("resolvidas")))
+
+
+@query("dialect_profile")
+def q_dialect_profile(spark, d):
+    return _ingested(spark, d).profile.select("arquivo", "encoding", "sep", "skiprows", "acertos", "erro")
+
+
+@query("ingest_catalog")
+def q_ingest_catalog(spark, d):
+    return _ingested(spark, d).catalog
+
+
+@query("file_inventory", O.with_ctes(
+    "SELECT source_file, count(*) OVER () AS total_arquivos FROM (SELECT DISTINCT source_file FROM clean_cases) "
+    "ORDER BY source_file LIMIT 10"))
+def q_file_inventory(spark, d):
+    return pr.file_inventory(_clean(spark, d), 10)
+
+
+@query("schema_describe")
+def q_schema_describe(spark, d):
+    return pr.describe_schema(spark, _clean(spark, d))
