@@ -704,3 +704,66 @@ def q_file_inventory(spark, d):
 @query("schema_describe")
 def q_schema_describe(spark, d):
     return pr.describe_schema(spark, _clean(spark, d))
+
+
+# ------------------------------------------------------------- fitted models
+from .operators import models as M  # noqa: E402
+from .plans import training as TR  # noqa: E402
+
+
+def _spec(family: str) -> "M.Spec":
+    return next(s for s in TR.FINAL_SPECS if s.family == family)
+
+
+def _predictions(spark, d, family):
+    return round_doubles(TR.predictions(spark, d, _splits(spark, d), CASE_VIEW_FEATURES, _spec(family)))
+
+
+@query("logreg_scores")
+def q_logreg_scores(spark, d):
+    return _predictions(spark, d, "logreg")
+
+
+@query("tree_scores")
+def q_tree_scores(spark, d):
+    return _predictions(spark, d, "tree")
+
+
+@query("gbt_scores")
+def q_gbt_scores(spark, d):
+    return _predictions(spark, d, "gbt")
+
+
+@query("svm_platt_scores")
+def q_svm_platt_scores(spark, d):
+    return _predictions(spark, d, "svm")
+
+
+@query("train_evaluate")
+def q_train_evaluate(spark, d):
+    """Validation/test metric rows of both baselines and the four fitted models."""
+    return round_doubles(TR.train_evaluate(spark, d, _splits(spark, d), CASE_VIEW_FEATURES))
+
+
+@query("tuning_grid_models")
+def q_tuning_grid_models(spark, d):
+    """Linear, tree and calibrated-SVM configurations on validation (the three
+    boosting configurations run through the same call with TUNING_SPECS)."""
+    specs = [s for s in TR.TUNING_SPECS if s.family != "gbt"]
+    return round_doubles(TR.tuning_models(spark, d, _splits(spark, d), CASE_VIEW_FEATURES, specs))
+
+
+@query("coef_models")
+def q_coef_models(spark, d):
+    """Coefficient table (with odds ratios) of the fitted logistic regression."""
+    s = _splits(spark, d)
+    model = TR.fitted(spark, d, _spec("logreg"), s["train"], CASE_VIEW_FEATURES)
+    return round_doubles(rp.coefficient_table(M.coefficient_weights(model, CASE_VIEW_FEATURES)))
+
+
+@query("importance_models")
+def q_importance_models(spark, d):
+    """Feature importances of the fitted boosting model, top 50."""
+    s = _splits(spark, d)
+    model = TR.fitted(spark, d, _spec("gbt"), s["train"], CASE_VIEW_FEATURES)
+    return round_doubles(rp.importance_top(rp.importance_table(M.importance_weights(model, CASE_VIEW_FEATURES)), 50))
