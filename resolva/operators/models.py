@@ -39,7 +39,7 @@ def encoder_stages(features: list[str]) -> list:
     return [
         StringIndexer(inputCols=features, outputCols=idx, handleInvalid="keep",
                       stringOrderType="alphabetAsc"),
-        OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True, handleInvalid="keep"),
+        OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True),
         VectorAssembler(inputCols=ohe, outputCol="features"),
     ]
 
