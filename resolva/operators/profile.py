@@ -69,29 +69,44 @@ def _long_form(base: DataFrame, fields: list[str]) -> DataFrame:
 def domain_values(base: DataFrame, fields: list[str]) -> DataFrame:
     """Sorted distinct values per field, with the sentinel added when absent.
 
-    Output `(campo, valor, ordem)`: the added sentinel sorts first, then the
-    observed values in ascending order.
+    Output `(campo, valor, adicionado)` in list order: per field the added
+    sentinel first (adicionado = 1), then the observed values ascending. The
+    order comes from one global range-partitioned sort, so no field is
+    gathered into a single task.
     """
     seen = _long_form(base, fields).distinct()
     spark = base.sparkSession
     sentinel = spark.createDataFrame([(f, SENTINEL) for f in fields], "campo string, valor string")
-    added = sentinel.join(seen, ["campo", "valor"], "left_anti").withColumn("added", F.lit(1))
-    allv = seen.withColumn("added", F.lit(0)).unionByName(added)
-    w = Window.partitionBy("campo").orderBy(F.desc("added"), F.asc("valor"))
-    return allv.select("campo", "valor", F.row_number().over(w).alias("ordem"))
+    added = sentinel.join(seen, ["campo", "valor"], "left_anti").withColumn("adicionado", F.lit(1))
+    allv = seen.withColumn("adicionado", F.lit(0)).unionByName(added)
+    return allv.orderBy("campo", F.desc("adicionado"), "valor")
+
+
+def top_k_per_group(df: DataFrame, groups: list[str], order: list, k: int, tie: str,
+                    salt_buckets: int = 64) -> DataFrame:
+    """Exact top-k rows per group without one task per group.
+
+    Stage 1 ranks inside (group, hash(tie) % salt_buckets) sub-groups and
+    keeps k per sub-group; the true top-k of a group is among those
+    survivors. Stage 2 ranks at most k·salt_buckets rows per group.
+    """
+    salt = F.pmod(F.xxhash64(F.col(tie)), F.lit(salt_buckets))
+    w1 = Window.partitionBy(*groups, "_salt").orderBy(*order, F.asc(tie))
+    w2 = Window.partitionBy(*groups).orderBy(*order, F.asc(tie))
+    stage1 = (df.withColumn("_salt", salt).withColumn("_r1", F.row_number().over(w1))
+                .filter(F.col("_r1") <= k).drop("_salt", "_r1"))
+    return stage1.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= k)
 
 
 def top_values_per_field(base: DataFrame, fields: list[str], n: int = 60) -> DataFrame:
-    """Top-n most frequent values per field (ties by value), listed sorted.
+    """Top-n most frequent values per field (ties by value).
 
-    One aggregation over the long form; the per-field ranking runs on the
-    aggregated (field, value) rows, partitioned by field.
+    One aggregation over the long form (partial aggregation absorbs hot
+    values), then an exact two-stage per-field top-n.
     """
     counts = _long_form(base, fields).groupBy("campo", "valor").agg(F.count(F.lit(1)).alias("quantidade"))
-    w = Window.partitionBy("campo").orderBy(F.desc("quantidade"), F.asc("valor"))
-    return (counts.withColumn("rank", F.row_number().over(w))
-                  .filter(F.col("rank") <= n)
-                  .select("campo", "valor", "quantidade", "rank"))
+    return (top_k_per_group(counts, ["campo"], [F.desc("quantidade")], n, "valor")
+            .select("campo", "valor", "quantidade", "rank"))
 
 
 def processing_catalog(cases_raw_with_clean: tuple[DataFrame, DataFrame]) -> DataFrame:

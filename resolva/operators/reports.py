@@ -123,3 +123,13 @@ def chart_slice(table: DataFrame, value: str, label: str, n: int = 10, width: in
     return (top.select(shorten(F.col(label), width).alias("label_plot"),
                        F.abs(F.col(value)).alias("valor_plot"))
                .orderBy(F.asc("valor_plot"), F.asc("label_plot")))
+
+
+def model_row(metrics: DataFrame, model: str, split: str | None = None) -> DataFrame:
+    """Metric row(s) of one model; raises when the model is absent."""
+    rows = metrics.filter(F.col("modelo") == model)
+    if split is not None:
+        rows = rows.filter(F.col("conjunto") == split)
+    if rows.limit(1).count() == 0:
+        raise LookupError(f"model not found: {model}")
+    return rows

@@ -249,8 +249,7 @@ def _domain_long_sql(fields: list[str], src: str) -> str:
 
 
 @query("domain_values", O.with_ctes(
-    "SELECT campo, valor, CAST(row_number() OVER (PARTITION BY campo ORDER BY added DESC, valor) AS INTEGER) AS ordem FROM ("
-    "SELECT DISTINCT campo, valor, 0 AS added FROM long_form UNION ALL "
+    "SELECT campo, valor, adicionado FROM (SELECT DISTINCT campo, valor, 0 AS adicionado FROM long_form UNION ALL "
     "SELECT f.campo, 'Não informado', 1 FROM (SELECT DISTINCT campo FROM long_form) f "
     "WHERE NOT EXISTS (SELECT 1 FROM long_form l WHERE l.campo = f.campo AND l.valor = 'Não informado'))",
     *_SPLITS_CTES, ("long_form", _domain_long_sql(CASE_VIEW_FEATURES, "train_set"))))
@@ -767,3 +766,37 @@ def q_importance_models(spark, d):
     s = _splits(spark, d)
     model = TR.fitted(spark, d, _spec("gbt"), s["train"], CASE_VIEW_FEATURES)
     return round_doubles(rp.importance_top(rp.importance_table(M.importance_weights(model, CASE_VIEW_FEATURES)), 50))
+
+
+# ------------------------------------------------------------- streaming
+@query("stream_ingest", ORACLE["ingest_csv"])
+def q_stream_ingest(spark, d):
+    """The CSV exports consumed as file streams (availableNow), cleaned per
+    micro-batch into an idempotent, year-partitioned base."""
+    import uuid
+    from .session import scratch_path
+    from .streaming.incremental import run_incremental
+    run = scratch_path(spark, f"stream/{uuid.uuid4().hex}")
+    base = run_incremental(spark, export_raw_csv(spark, d), run + "/out", run + "/ckpt")
+    return (base.groupBy("ano_finalizacao", "canal_de_origem", "segmento_de_mercado")
+                .agg(F.count(F.lit(1)).alias("linhas"), F.sum("target_resolvida").cast("long").alias("resolvidas")))
+
+
+@query("model_row", O.with_ctes(
+    "SELECT * FROM metrics WHERE modelo = 'Baseline - média por Grupo Problema' AND conjunto = 'teste'",
+    *_METRIC_CTES))
+def q_model_row(spark, d):
+    return rp.model_row(_metrics(spark, d), bl.BASELINE_GROUP, "teste")
+
+
+@query("coef_chart", O.with_ctes(
+    "SELECT label_plot, valor_plot FROM (SELECT CASE WHEN length(label_grafico) <= 68 THEN label_grafico "
+    "ELSE regexp_extract(label_grafico, '^(.{0,65})(?: |$)', 1) || '...' END AS label_plot, "
+    "round(abs(coeficiente), 9) AS valor_plot FROM (SELECT * FROM coefs ORDER BY coeficiente, feature_codificada "
+    "LIMIT 30) ORDER BY abs(coeficiente) DESC, label_grafico LIMIT 10)",
+    *_WEIGHTS_CTES, ("coefs", _COEF_SQL)))
+def q_coef_chart(spark, d):
+    """Chart slice of the top-30 decreasing factors: 10 largest |coef|,
+    shortened labels, ascending bar order."""
+    top_dec = rp.coefficient_top(_coefs(spark, d), 30, increasing=False)
+    return round_doubles(rp.chart_slice(top_dec, "coeficiente", "label_grafico", 10, 68))
