@@ -68,7 +68,7 @@ def _estimator(spec: Spec, n: int):
     if spec.family == "logreg":
         return LogisticRegression(featuresCol="features", labelCol=TARGET, weightCol=WEIGHT,
                                   regParam=1.0 / (p.get("C", 0.1) * n), elasticNetParam=0.0,
-                                  standardization=False, maxIter=p.get("max_iter", 400), tol=1e-6)
+                                  standardization=False, maxIter=p.get("max_iter", 400), tol=1e-4)
     if spec.family == "tree":
         return DecisionTreeClassifier(featuresCol="features", labelCol=TARGET, weightCol=WEIGHT,
                                       maxDepth=min(p.get("max_depth", 20), 30),
@@ -138,7 +138,7 @@ def _platt(margins: DataFrame) -> tuple[float, float]:
                   .unionByName(margins.select("margin", F.lit(0.0).alias("label"), (1.0 - t).alias("w"))))
     va = VectorAssembler(inputCols=["margin"], outputCol="mf")
     lr = LogisticRegression(featuresCol="mf", labelCol="label", weightCol="w", regParam=0.0,
-                            standardization=False, maxIter=200, tol=1e-9)
+                            standardization=False, maxIter=100, tol=1e-6)
     m = lr.fit(va.transform(two))
     return float(m.coefficients[0]), float(m.intercept)
 
@@ -152,7 +152,7 @@ def fit_svm_platt(train: DataFrame, features: list[str], C: float = 0.1, k: int
         held = folded.filter(F.col("_fold") == i)
         n = fit_rows.count()
         svc = LinearSVC(featuresCol="features", labelCol=TARGET, weightCol=WEIGHT,
-                        regParam=1.0 / (C * n), maxIter=max_iter, standardization=False)
+                        regParam=1.0 / (C * n), maxIter=max_iter, standardization=False, tol=1e-4)
         model = Pipeline(stages=encoder_stages(features) + [svc]).fit(fit_rows)
         margins = (model.transform(held)
                         .select(TARGET, vector_to_array(F.col("rawPrediction"))[1].alias("margin")))
