@@ -133,3 +133,16 @@ def model_row(metrics: DataFrame, model: str, split: str | None = None) -> DataF
     if rows.limit(1).count() == 0:
         raise LookupError(f"model not found: {model}")
     return rows
+
+
+def numeric_metric(df: DataFrame, column: str, model_col: str = "modelo",
+                   extra: list[str] | None = None) -> DataFrame:
+    """(model, extra…, value) with the metric coerced to double; unparsable rows dropped."""
+    return (df.select(F.col(model_col).alias("modelo"), *(extra or []),
+                      F.expr(f"try_cast(`{column}` AS DOUBLE)").alias("valor"))
+              .na.drop(subset=["valor"]))
+
+
+def write_result_csv(df: DataFrame, path: str) -> None:
+    """Small result table → one CSV with header (result tables are a few rows)."""
+    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)

@@ -263,7 +263,14 @@ def read_result_csv(spark: SparkSession, path: str, schema: T.StructType | None
     p = jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
         return spark.createDataFrame([], schema or T.StructType([]))
-    head = _open_head(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    probe = path
+    if fs.getFileStatus(p).isDirectory():
+        parts = list_csv_files(spark, [path])
+        if not parts:
+            return spark.createDataFrame([], schema or T.StructType([]))
+        probe = parts[0]
+    head = _open_head(probe)
     if len(head) >= HEAD_BYTES and b"\n" in head:
         head = head[: head.rfind(b"\n") + 1]
     try:
