@@ -149,9 +149,12 @@ def score_ladder(scored: DataFrame, y: str = "y", p: str = "p", by: list[str] |
     probs = [i / b for i in range(1, b)]
     row = dist.agg(F.percentile_approx("p", probs, max(10000, 10 * b)).alias("q")).first()
     bounds = sorted(set(x for x in (row["q"] or []) if x is not None and not math.isnan(x)))
-    splits = [-math.inf] + bounds + [math.inf]
-    bucketed = Bucketizer(splits=splits, inputCol="p", outputCol="bucket",
-                          handleInvalid="keep").transform(dist)
+    if bounds:
+        splits = [-math.inf] + bounds + [math.inf]
+        bucketed = Bucketizer(splits=splits, inputCol="p", outputCol="bucket",
+                              handleInvalid="keep").transform(dist)
+    else:
+        bucketed = dist.withColumn("bucket", F.lit(0.0))
     totals = bucketed.groupBy(*by, "bucket").agg(F.sum("pos").alias("bpos"), F.sum("neg").alias("bneg"))
     before = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     # ≤ groups × len(splits) rows: bounded by the bucket count we chose.

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from . import oracle as O
 from .functions.dates import parse_mixed_date
 from .functions.frames import round_doubles
-from .functions.text import NA_TOKENS, SENTINEL, blank_to_sentinel, normalize_value, null_na_tokens
+from .functions.text import NA_TOKENS, blank_to_sentinel, normalize_value, null_na_tokens
 from .operators import baselines as bl
 from .operators import evaluate as ev
 from .operators import profile as pr
@@ -21,7 +21,7 @@ from .operators.clean import clean_cases
 from .operators.sampling import sample_fixed
 from .operators.splits import SplitSpec, labelled_splits, split_summary, temporal_splits
 from .plans.evaluation import baseline_scores, choose_thresholds, metric_rows
-from .schema import CASE_VIEW_FEATURES, FEATURES
+from .schema import CASE_VIEW_FEATURES, FEATURE_ABBREV, FEATURES
 from .sources.base import cleaned_base
 from .sources.tables import raw_cases, read_table, union_by_name
 
@@ -488,8 +488,8 @@ _WEIGHTS_CTES = [*_SPLITS_CTES,
                  ("weights", "SELECT variavel, categoria, ln((pos + 0.5) / (n - pos + 0.5)) - "
                   "ln((SELECT r FROM global_rate) / (1 - (SELECT r FROM global_rate))) AS coeficiente, "
                   "gap / (SELECT sum(gap) FROM gaps) AS importancia FROM gaps")]
-_ABBREV_CASE = "CASE variavel " + " ".join(f"WHEN {O.q(k)} THEN {O.q(v)}" for k, v in
-                                           __import__("resolva.schema", fromlist=["x"]).FEATURE_ABBREV.items()) + " ELSE variavel END"
+_ABBREV_CASE = ("CASE variavel " + " ".join(f"WHEN {O.q(k)} THEN {O.q(v)}" for k, v in FEATURE_ABBREV.items())
+                + " ELSE variavel END")
 _COEF_SQL = ("SELECT variavel || '_' || categoria AS feature_codificada, coeficiente, variavel, categoria, "
              f"({_ABBREV_CASE}) || ': ' || categoria AS label_grafico, abs(coeficiente) AS abs_coeficiente, "
              "exp(coeficiente) AS odds_ratio FROM weights")
