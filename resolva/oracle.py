@@ -101,7 +101,9 @@ def best_ctes(by: list[str], pre: str = "") -> list[tuple[str, str]]:
                            f"(SELECT *, row_number() OVER ({part} ORDER BY f1_macro DESC, i) AS rn FROM {pre}sweep) WHERE rn = 1")]
 
 
-def auc_ctes(scored: str, by: list[str], pre: str = "") -> list[tuple[str, str]]:
+def auc_ctes(scored: str, by: list[str], pre: str = "", clip: bool = False) -> list[tuple[str, str]]:
+    if clip:
+        scored = f"(SELECT * REPLACE (least(greatest(p, 1e-15), 1 - 1e-15) AS p) FROM {scored})"
     bsel = (", ".join(by) + ", ") if by else ""
     part = ("PARTITION BY " + ", ".join(by)) if by else ""
     grp = ("GROUP BY " + ", ".join(by)) if by else ""

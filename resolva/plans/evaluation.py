@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import baselines as bl
-from ..operators.evaluate import best_threshold, metrics_at, roc_auc, threshold_sweep
+from ..operators.evaluate import best_threshold, clip_proba, metrics_at, roc_auc, threshold_sweep
 from ..sources.tables import union_by_name
 
 # Split names used in metric rows, and the metric-row layout.
@@ -42,7 +42,8 @@ def metric_rows(scored: DataFrame, thresholds: DataFrame | None = None,
     th = thresholds if thresholds is not None else choose_thresholds(scored)
     with_t = scored.join(th.select("modelo", "threshold"), "modelo")
     m = metrics_at(with_t, "threshold", by=["conjunto", "modelo"])
-    auc = roc_auc(scored, by=["conjunto", "modelo"], buckets=buckets)
+    # AUC on the clipped probabilities, like every other metric of the row
+    auc = roc_auc(scored.withColumn("p", clip_proba(F.col("p"))), by=["conjunto", "modelo"], buckets=buckets)
     out = m.join(auc, ["conjunto", "modelo"], "left")
     return out.select(
         *[c for c in METRIC_COLUMNS[:13]],

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import baselines as bl
-from ..operators.evaluate import best_threshold, metrics_at, roc_auc, threshold_sweep
+from ..operators.evaluate import best_threshold, clip_proba, metrics_at, roc_auc, threshold_sweep
 from ..schema import TARGET
 from ..sources.tables import union_by_name
 
@@ -84,5 +84,5 @@ def grid_results(scored: DataFrame, buckets: int | None = None) -> DataFrame:
     best = best_threshold(threshold_sweep(scored, by=keys), by=keys)
     with_t = scored.join(best.select(*keys, "threshold"), keys)
     m = metrics_at(with_t, "threshold", by=keys)
-    auc = roc_auc(scored, by=keys, buckets=buckets)
+    auc = roc_auc(scored.withColumn("p", clip_proba(F.col("p"))), by=keys, buckets=buckets)
     return m.join(auc, keys, "left").select(*GRID_COLUMNS)

@@ -328,7 +328,7 @@ _METRIC_CTES = [
     *_BASE_CTES, *O.sweep_ctes("scored", ["modelo"], "s.conjunto = 'validacao'"), *O.best_ctes(["modelo"]),
     ("metric_cells", O.metric_cells_sql("scored", ["conjunto", "modelo"], "JOIN best t ON s.modelo = t.modelo")),
     ("metric_rates", O.rates_select("metric_cells")),
-    *O.auc_ctes("scored", ["conjunto", "modelo"]),
+    *O.auc_ctes("scored", ["conjunto", "modelo"], clip=True),
     ("metrics", _METRIC_BODY),
 ]
 
@@ -384,7 +384,7 @@ _GRID_CTES = [
     *O.sweep_ctes("grid_scored", _GRID_KEYS, pre="tg_"), *O.best_ctes(_GRID_KEYS, pre="tg_"),
     ("tg_cells", O.metric_cells_sql("grid_scored", _GRID_KEYS, _GRID_JOIN)),
     ("tg_rates", O.rates_select("tg_cells")),
-    *O.auc_ctes("grid_scored", _GRID_KEYS, pre="tg_"),
+    *O.auc_ctes("grid_scored", _GRID_KEYS, pre="tg_", clip=True),
     ("tuning", "SELECT m.modelo, m.familia, m.configuracao, m.params, round(m.threshold, 9) AS threshold, "
                + ", ".join(f"round(m.{c}, 9) AS {c}" for c in ["accuracy", "precision_macro", "recall_macro", "f1_macro",
                                                              "precision_resolvida", "recall_resolvida", "f1_resolvida"])
@@ -821,3 +821,15 @@ def q_results_csv(spark, d):
     f1 = find_column(back.columns, ["F1 Macro", "f1-macro"])
     split = find_column(back.columns, ["Conjunto"])
     return rp.numeric_metric(back.withColumnRenamed(split, "conjunto"), f1, extra=["conjunto"])
+
+
+@query("score_cases_model")
+def q_score_cases_model(spark, d):
+    """Batch case scoring with the saved logistic-regression pipeline, next to
+    the general and problem-group historical means."""
+    s = _splits(spark, d)
+    train, test = s["train"], sc.reindex_features(s["test"], FEATURES)
+    model = TR.fitted(spark, d, _spec("logreg"), train, CASE_VIEW_FEATURES)
+    scored_p = TR.model_scores(model, test, ["case_id"]).select("case_id", "p")
+    return round_doubles(sc.score_cases(test, scored_p, bl.group_rates(train, "grupo_problema"),
+                                        bl.global_rate(train)))

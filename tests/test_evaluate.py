@@ -107,3 +107,11 @@ def test_published_metric_rows_reproduce_from_cells(spark):
     for row, (*_, acc, f1) in zip(got, cells):
         assert round(row["accuracy"], 4) == acc
         assert round(row["f1_macro"], 4) == f1
+
+
+def test_metric_rows_auc_uses_clipped_probabilities(spark):
+    from resolva.plans.evaluation import metric_rows
+    rows = [("validacao", "m", 1, 0.0), ("validacao", "m", 0, 1e-20), ("teste", "m", 1, 0.0), ("teste", "m", 0, 1e-20)]
+    df = spark.createDataFrame(rows, "conjunto string, modelo string, y int, p double")
+    got = {r["conjunto"]: r["roc_auc"] for r in metric_rows(df).collect()}
+    assert got == {"validacao": 0.5, "teste": 0.5}      # both clip to 1e-15 → a tie
