@@ -41,6 +41,19 @@ def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
     return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
 
 
+def write_by_year(df: DataFrame, path: str, salt_cols: list[str]) -> None:
+    """Year-partitioned Parquet without the small-file explosion.
+
+    Rows are distributed by (year, hash salt) first, so each task writes one
+    or a few years and a year holding a third of all rows still spreads over
+    many tasks (AQE coalesces the tiny ones).
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in salt_cols]), F.lit(max(1, n)))
+    (df.repartition(n, F.col(CLOSE_YEAR), salt)
+       .write.mode("overwrite").partitionBy(CLOSE_YEAR).parquet(path))
+
+
 def cleaned_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned cases for `sf_dir`, partitioned by `ano_finalizacao` on shared storage."""
     path = scratch_path(spark, f"clean_base/{_fingerprint(spark, sf_dir)}")
@@ -49,7 +62,7 @@ def cleaned_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     if not fs.exists(done):
         clean = clean_cases(raw_cases(spark, sf_dir))
         tmp = f"{path}.tmp-{uuid.uuid4().hex}"
-        clean.write.mode("overwrite").partitionBy(CLOSE_YEAR).parquet(tmp)
+        write_by_year(clean, tmp, ["case_id"])
         _, tp = _fs(spark, tmp)
         if not fs.exists(done):
             if fs.exists(p):

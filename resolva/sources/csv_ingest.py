@@ -252,8 +252,10 @@ def ingest(spark: SparkSession, folders: list[str]) -> IngestResult:
 
 
 def write_parts(cases: DataFrame, out: str) -> None:
-    """Part sink: Parquet partitioned by close year (source file kept as a column)."""
-    cases.write.mode("overwrite").partitionBy(CLOSE_YEAR).parquet(out)
+    """Part sink: Parquet partitioned by close year (source file kept as a column),
+    distributed by (year, hash salt) so files stay large and few."""
+    from .base import write_by_year
+    write_by_year(cases, out, ["source_file", "data_finalizacao", "uf", "grupo_problema"])
 
 
 def read_result_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
