@@ -23,23 +23,29 @@ def sample_hash(key, seed: int):
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")))
 
 
+def _prefix_counts(tagged: DataFrame, prefix: str) -> list:
+    depth = len(prefix) + PREFIX_DIGITS
+    scope = tagged.filter(F.startswith(F.col("_h"), F.lit(prefix))) if prefix else tagged
+    return (scope.groupBy(F.substring("_h", 1, depth).alias("b"))
+                 .agg(F.count(F.lit(1)).alias("c"))
+                 .orderBy("b").collect())
+
+
 def sample_fixed(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """The n rows with the smallest md5(seed:key); all rows when n ≥ count."""
-    h = sample_hash(F.col(key), seed)
-    tagged = df.withColumn("_h", h)
-    total = tagged.count()
+    """The n rows with the smallest md5(seed:key); all rows when n ≥ count.
+
+    The first prefix-count pass also yields the row count, so the common
+    case costs two scans (counts, final filter) plus a small ranked bucket.
+    """
+    tagged = df.withColumn("_h", sample_hash(F.col(key), seed))
+    counts = _prefix_counts(tagged, "")
+    total = sum(r["c"] for r in counts)
     if n >= total:
         return df
     if n <= 0:
         return df.limit(0)
-    remaining = n
-    prefix = ""
+    remaining, prefix = n, ""
     while True:
-        depth = len(prefix) + PREFIX_DIGITS
-        scope = tagged.filter(F.startswith(F.col("_h"), F.lit(prefix))) if prefix else tagged
-        counts = (scope.groupBy(F.substring("_h", 1, depth).alias("b"))
-                       .agg(F.count(F.lit(1)).alias("c"))
-                       .orderBy("b").collect())
         acc = 0
         for row in counts:
             if acc + row["c"] >= remaining:
@@ -48,8 +54,9 @@ def sample_fixed(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
             acc += row["c"]
         remaining -= acc
         prefix = bucket
-        if bucket_count <= SMALL_BUCKET or depth >= 32:
+        if bucket_count <= SMALL_BUCKET or len(prefix) >= 32:
             break
+        counts = _prefix_counts(tagged, prefix)
     # exact rank inside the one small bucket
     last = (tagged.filter(F.startswith(F.col("_h"), F.lit(prefix)))
                   .select("_h", F.col(key).alias("_k"))

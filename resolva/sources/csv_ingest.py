@@ -163,12 +163,12 @@ class IngestResult:
 
 
 def _read_group(spark: SparkSession, paths: list[str], enc: str, sep: str, skip: int,
-                headers: list[str], skipped: list[list[str]]) -> DataFrame:
+                headers: list[str], skipped: list[list[str]], multiline: bool = False) -> DataFrame:
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(headers))])
     reader = (spark.read.schema(schema)
               .option("sep", sep).option("encoding", SPARK_CHARSET[enc])
               .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
-              .option("header", skip == 0))
+              .option("header", skip == 0).option("multiLine", multiline))
     df = reader.csv(paths)
     cols = [F.col(f"_c{i}") for i in range(len(headers))]
     if skip:
@@ -189,7 +189,9 @@ def _read_group(spark: SparkSession, paths: list[str], enc: str, sep: str, skip:
     return df.select(F.col("_metadata.file_name").alias("source_file"), *known)
 
 
-def ingest(spark: SparkSession, folders: list[str]) -> IngestResult:
+def ingest(spark: SparkSession, folders: list[str], multiline: bool = False) -> IngestResult:
+    """Ingest every *.csv under the folders. `multiline=True` accepts quoted
+    fields with line breaks (files are then read whole, one task per file)."""
     paths = list_csv_files(spark, folders)
     if not paths:
         raise RuntimeError(f"no .csv files under {folders}")
@@ -206,7 +208,7 @@ def ingest(spark: SparkSession, folders: list[str]) -> IngestResult:
     raw_parts, good_parts = [], []
     for key, gpaths in groups.items():
         enc, sep, skip, headers = key
-        part = _read_group(spark, gpaths, enc, sep, skip, list(headers), meta[key])
+        part = _read_group(spark, gpaths, enc, sep, skip, list(headers), meta[key], multiline)
         raw_parts.append(part.select("source_file",
                                      F.lit(all(c in part.columns for c in REQUIRED_COLUMNS)).alias("_ok")))
         if all(c in part.columns for c in REQUIRED_COLUMNS):
