@@ -539,15 +539,17 @@ def q_importance_summary(spark, d):
 
 # ------------------------------------------------------------ case scoring
 def _scoring_inputs(spark, d):
+    """Test cases with p from the (problem group × segment) rate model, the
+    problem-group rates and the training mean."""
     s = _splits(spark, d)
     train, test = s["train"], sc.reindex_features(s["test"], FEATURES)
     general = bl.global_rate(train)
     pair = train.groupBy("grupo_problema", "segmento_de_mercado").agg(
         F.avg(F.col("target_resolvida").cast("double")).alias("taxa_par"))
-    scored_p = (test.join(pair, ["grupo_problema", "segmento_de_mercado"], "left")
-                    .select("case_id", F.coalesce("taxa_par", F.lit(general)).alias("p")))
+    scored = (test.join(pair, ["grupo_problema", "segmento_de_mercado"], "left")
+                  .withColumn("p", F.coalesce("taxa_par", F.lit(general))).drop("taxa_par"))
     grates = bl.group_rates(train, "grupo_problema")
-    return test, scored_p, grates, general
+    return scored, grates, general
 
 
 _SCORE_CTES = [*_SPLITS_CTES,
@@ -586,17 +588,17 @@ _EXPL_SQL = ("printf('O modelo estimou uma probabilidade de resolução de %s. E
     "CASE WHEN p * 100.0 < 33.0 THEN 'baixa' WHEN p * 100.0 < 66.0 THEN 'media' ELSE 'alta' END AS faixa, "
     f"round((p - media_geral) * 100.0, 9) AS delta_pp, {_EXPL_SQL} AS explicacao FROM sc", *_SCORE_CTES))
 def q_score_cases(spark, d):
-    test, scored_p, grates, general = _scoring_inputs(spark, d)
-    return round_doubles(sc.score_cases(test, scored_p, grates, general))
+    scored, grates, general = _scoring_inputs(spark, d)
+    return round_doubles(sc.score_cases(scored, grates, general))
 
 
 @query("explanation_text", O.with_ctes(
     f"SELECT case_id, {_pct_sql('p')} AS probabilidade_txt, {_pct_sql('media_grupo')} AS media_grupo_txt, "
     "replace(format('{:,}', coalesce(n_grupo, 0)), ',', '.') AS casos_grupo_txt FROM sc", *_SCORE_CTES))
 def q_explanation_text(spark, d):
-    test, scored_p, grates, general = _scoring_inputs(spark, d)
+    scored, grates, general = _scoring_inputs(spark, d)
     g = F.lit(float(general))
-    j = (test.join(scored_p, "case_id").join(grates, "grupo_problema", "left"))
+    j = scored.join(grates, "grupo_problema", "left")
     return j.select("case_id", sc.fmt_pct(F.col("p")).alias("probabilidade_txt"),
                     sc.fmt_pct(F.coalesce("taxa_grupo", g)).alias("media_grupo_txt"),
                     sc.fmt_int(F.coalesce(F.col("n_grupo"), F.lit(0))).alias("casos_grupo_txt"))
@@ -830,6 +832,5 @@ def q_score_cases_model(spark, d):
     s = _splits(spark, d)
     train, test = s["train"], sc.reindex_features(s["test"], FEATURES)
     model = TR.fitted(spark, d, _spec("logreg"), train, CASE_VIEW_FEATURES)
-    scored_p = TR.model_scores(model, test, ["case_id"]).select("case_id", "p")
-    return round_doubles(sc.score_cases(test, scored_p, bl.group_rates(train, "grupo_problema"),
-                                        bl.global_rate(train)))
+    scored = TR.model_scores(model, test, ["case_id", *FEATURES])
+    return round_doubles(sc.score_cases(scored, bl.group_rates(train, "grupo_problema"), bl.global_rate(train)))
