@@ -137,9 +137,15 @@ def catalog_status(catalog: DataFrame) -> DataFrame:
     return catalog.groupBy("status").agg(F.count(F.lit(1)).alias("quantidade"))
 
 
+# Portable SQL names of the Spark types used by the data model.
+SQL_TYPE_NAMES = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE",
+                  "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN", "date": "DATE"}
+
+
 def describe_schema(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """DESCRIBE: one row per column (name, type, nullable). Size = column count."""
-    rows = [(f.name, f.dataType.simpleString(), f.nullable) for f in df.schema.fields]
+    """DESCRIBE: one row per column (name, SQL type name, nullable). Size = column count."""
+    rows = [(f.name, SQL_TYPE_NAMES.get(f.dataType.simpleString(), f.dataType.simpleString().upper()), f.nullable)
+            for f in df.schema.fields]
     return spark.createDataFrame(rows, T.StructType([
         T.StructField("column_name", T.StringType()),
         T.StructField("column_type", T.StringType()),

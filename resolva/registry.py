@@ -706,7 +706,8 @@ def q_file_inventory(spark, d):
     return pr.file_inventory(_clean(spark, d), 10)
 
 
-@query("schema_describe")
+@query("schema_describe", O.with_ctes(
+    "SELECT column_name, column_type, \"null\" = 'YES' AS nullable FROM (DESCRIBE SELECT * FROM clean_cases)"))
 def q_schema_describe(spark, d):
     return pr.describe_schema(spark, _clean(spark, d))
 
