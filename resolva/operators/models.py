@@ -144,10 +144,15 @@ def _platt(margins: DataFrame) -> tuple[float, float]:
 
 
 def fit_svm_platt(train: DataFrame, features: list[str], C: float = 0.1, k: int = 3,
-                  max_iter: int = 100) -> PlattSVM:
+                  max_iter: int = 100, parallelism: int = 3) -> PlattSVM:
+    """k members: encoder + LinearSVC fitted on k-1 folds, Platt map fitted on
+    the held-out fold. Folds are independent, so they are submitted as
+    concurrent Spark jobs (like the `parallelism` of Spark's tuning
+    estimators)."""
+    from concurrent.futures import ThreadPoolExecutor
     folded = hash_fold(with_class_weights(train), k).persist()
-    members = []
-    for i in range(k):
+
+    def member(i: int):
         fit_rows = folded.filter(F.col("_fold") != i)
         held = folded.filter(F.col("_fold") == i)
         n = fit_rows.count()
@@ -157,7 +162,10 @@ def fit_svm_platt(train: DataFrame, features: list[str], C: float = 0.1, k: int
         margins = (model.transform(held)
                         .select(TARGET, vector_to_array(F.col("rawPrediction"))[1].alias("margin")))
         a, b = _platt(margins)
-        members.append((model, a, b))
+        return model, a, b
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, k))) as pool:
+        members = list(pool.map(member, range(k)))
     folded.unpersist()
     return PlattSVM(members)
 

@@ -95,11 +95,16 @@ def model_scores(model, df: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def scored_splits(spark: SparkSession, sf_dir: str, splits: dict[str, DataFrame], specs: list[M.Spec],
-                  features: list[str], sets=(("valid", VALID), ("test", TEST))) -> DataFrame:
-    """(conjunto, modelo, configuracao, case_id, y, p) for every spec and split."""
+                  features: list[str], sets=(("valid", VALID), ("test", TEST)),
+                  parallelism: int = 3) -> DataFrame:
+    """(conjunto, modelo, configuracao, case_id, y, p) for every spec and split.
+
+    Independent configurations are fitted as concurrent Spark jobs."""
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(specs)))) as pool:
+        models = list(pool.map(lambda sp: fitted(spark, sf_dir, sp, splits["train"], features), specs))
     parts = []
-    for spec in specs:
-        model = fitted(spark, sf_dir, spec, splits["train"], features)
+    for spec, model in zip(specs, models):
         for key, label in sets:
             parts.append(model_scores(model, splits[key], ["case_id"])
                          .select(F.lit(label).alias("conjunto"), F.lit(spec.name).alias("modelo"),
