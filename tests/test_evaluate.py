@@ -115,3 +115,16 @@ def test_metric_rows_auc_uses_clipped_probabilities(spark):
     df = spark.createDataFrame(rows, "conjunto string, modelo string, y int, p double")
     got = {r["conjunto"]: r["roc_auc"] for r in metric_rows(df).collect()}
     assert got == {"validacao": 0.5, "teste": 0.5}      # both clip to 1e-15 → a tie
+
+
+def test_auc_matches_mllib_exact_evaluator(spark):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(5)
+    p = np.round(rng.random(5000), 3)
+    y = (rng.random(5000) < p).astype(int)
+    df = _scored(spark, p, y)
+    ours = ev.roc_auc(df, buckets=7).first()["roc_auc"]
+    ml = BinaryClassificationEvaluator(rawPredictionCol="p", labelCol="yd", metricName="areaUnderROC",
+                                       numBins=0).evaluate(df.withColumn("yd", F.col("y").cast("double")))
+    assert ours == pytest.approx(ml, abs=1e-12)
