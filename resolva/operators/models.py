@@ -44,10 +44,18 @@ def encoder_stages(features: list[str]) -> list:
     ]
 
 
-def with_class_weights(train: DataFrame) -> DataFrame:
-    """Join the 2-row balanced weight table (bounded by the class count)."""
-    w = class_weights(train).select(TARGET, F.col("peso").alias(WEIGHT))
-    return train.join(F.broadcast(w), TARGET)
+def with_class_weights(train: DataFrame, with_n: bool = False):
+    """Join the 2-row balanced weight table (bounded by the class count).
+
+    With `with_n`, also return the row count read from that same table
+    (2 rows to the driver) instead of a separate counting pass.
+    """
+    w = class_weights(train)
+    weighted = train.join(F.broadcast(w.select(TARGET, F.col("peso").alias(WEIGHT))), TARGET)
+    if not with_n:
+        return weighted
+    n = sum(r["n_classe"] for r in w.select("n_classe").collect())
+    return weighted, n
 
 
 def positive_proba(df: DataFrame, col: str = "probability") -> DataFrame:
@@ -87,8 +95,7 @@ def fit(spec: Spec, train: DataFrame, features: list[str]) -> PipelineModel:
     """Fit encoder + estimator on the (weighted) training rows."""
     if spec.family == "svm":
         raise ValueError("use fit_svm_platt")
-    weighted = with_class_weights(train)
-    n = weighted.count()
+    weighted, n = with_class_weights(train, with_n=True)
     pipe = Pipeline(stages=encoder_stages(features) + [_estimator(spec, n)])
     return pipe.fit(weighted)
 
