@@ -50,7 +50,8 @@ def write_by_year(df: DataFrame, path: str, salt_cols: list[str]) -> None:
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in salt_cols]), F.lit(max(1, n)))
-    (df.repartition(n, F.col(CLOSE_YEAR), salt)
+    # no explicit partition count: AQE may coalesce small partitions (few, larger files)
+    (df.repartition(F.col(CLOSE_YEAR), salt)
        .write.mode("overwrite").partitionBy(CLOSE_YEAR).parquet(path))
 
 
