@@ -683,8 +683,15 @@ def _ingested(spark, d):
     "CAST(sum(target_resolvida) AS BIGINT) AS resolvidas FROM clean_cases GROUP BY 1, 2, 3"))
 def q_ingest_csv(spark, d):
     """Raw cases exported as CSV in three dialects, then ingested back:
-    detection → grouped reads → canonical headers → cleaning."""
-    cases = _ingested(spark, d).cases
+    detection → grouped reads → canonical headers → cleaning → year-partitioned
+    part sink → partitioned re-read."""
+    import uuid
+    from .operators.clean import clean_schema
+    from .session import scratch_path
+    from pyspark.sql import types as T
+    parts = scratch_path(spark, f"parts/{uuid.uuid4().hex}")
+    ci.write_parts(_ingested(spark, d).cases, parts)            # part sink, partitioned by close year
+    cases = spark.read.schema(clean_schema({"source_file": T.StringType()})).parquet(parts)
     return (cases.groupBy("ano_finalizacao", "canal_de_origem", "segmento_de_mercado")
                  .agg(F.count(F.lit(1)).alias("linhas"), F.sum("target_resolvida").cast("long").alias("resolvidas")))
 
