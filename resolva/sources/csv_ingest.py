@@ -261,26 +261,14 @@ def write_parts(cases: DataFrame, out: str) -> None:
 
 
 def read_result_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Result-table reader: UTF-8, falling back to latin1 when the file is not
-    valid UTF-8; a missing file gives an empty DataFrame (with `schema` if given)."""
+    """Result-table reader: UTF-8, falling back to latin1 when any line of the
+    file(s) is not valid UTF-8 (checked over the whole text, on executors);
+    a missing path gives an empty DataFrame (with `schema` if given)."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
         return spark.createDataFrame([], schema or T.StructType([]))
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    probe = path
-    if fs.getFileStatus(p).isDirectory():
-        parts = list_csv_files(spark, [path])
-        if not parts:
-            return spark.createDataFrame([], schema or T.StructType([]))
-        probe = parts[0]
-    head = _open_head(probe)
-    if len(head) >= HEAD_BYTES and b"\n" in head:
-        head = head[: head.rfind(b"\n") + 1]
-    try:
-        head.decode("utf-8")
-        enc = "UTF-8"
-    except UnicodeDecodeError:
-        enc = "ISO-8859-1"
-    r = spark.read.option("header", True).option("encoding", enc)
+    lines = spark.read.text(path)
+    bad = lines.filter(~F.is_valid_utf8("value")).limit(1).count() > 0
+    r = spark.read.option("header", True).option("encoding", "ISO-8859-1" if bad else "UTF-8")
     return (r.schema(schema) if schema is not None else r.option("inferSchema", True)).csv(path)

@@ -84,3 +84,12 @@ def test_result_reader_fallback_and_missing(spark, folder):
     empty = ci.read_result_csv(spark, os.path.join(folder, "nope.csv"),
                                T.StructType([T.StructField("modelo", T.StringType())]))
     assert empty.count() == 0 and empty.columns == ["modelo"]
+
+
+def test_result_reader_checks_whole_file(spark, folder):
+    p = os.path.join(folder, "res_late_latin1.csv")
+    with open(p, "wb") as f:
+        f.write(("modelo,f1\n" + "".join(f"m{i},0.5\n" for i in range(20000))).encode("utf-8"))
+        f.write("Árvore,0.6\n".encode("latin1"))            # invalid UTF-8 only at the end
+    df = ci.read_result_csv(spark, p)
+    assert df.filter("f1 = 0.6").first()["modelo"] == "Árvore"
