@@ -93,3 +93,15 @@ def test_result_reader_checks_whole_file(spark, folder):
         f.write("Árvore,0.6\n".encode("latin1"))            # invalid UTF-8 only at the end
     df = ci.read_result_csv(spark, p)
     assert df.filter("f1 = 0.6").first()["modelo"] == "Árvore"
+
+
+def test_multiline_quoted_fields(spark):
+    d = tempfile.mkdtemp(prefix="resolva-csv-ml-")
+    text = _rows(";", ["05/03/2024", "06/03/2024"]).replace('"Cobrança ""indevida"""', '"Cobrança\nem duas linhas"')
+    assert "duas linhas" in text
+    with open(os.path.join(d, "ml.csv"), "wb") as f:
+        f.write(text.encode("utf-8-sig"))
+    res = ci.ingest(spark, [d], multiline=True)
+    sp = res.cases.filter("uf = 'SP'").first()
+    assert sp["grupo_problema"] == "Cobrança\nem duas linhas"
+    assert res.catalog.first()["linhas_lidas"] == 4
