@@ -691,7 +691,7 @@ def q_ingest_csv(spark, d):
     from pyspark.sql import types as T
     parts = scratch_path(spark, f"parts/{uuid.uuid4().hex}")
     ci.write_parts(_ingested(spark, d).cases, parts)            # part sink, partitioned by close year
-    cases = spark.read.schema(clean_schema({"source_file": T.StringType()})).parquet(parts)
+    cases = spark.read.schema(clean_schema({"source_file": T.StringType(), "case_id": T.LongType()})).parquet(parts)
     return (cases.groupBy("ano_finalizacao", "canal_de_origem", "segmento_de_mercado")
                  .agg(F.count(F.lit(1)).alias("linhas"), F.sum("target_resolvida").cast("long").alias("resolvidas")))
 

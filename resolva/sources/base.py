@@ -31,10 +31,18 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def _fingerprint(spark: SparkSession, sf_dir: str) -> str:
-    parts = [sf_dir.rstrip("/")]
-    for name in _INPUTS:
-        fs, p = _fs(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
+def _fingerprint(spark: SparkSession, source: str) -> str:
+    """Input-version key: sizes, file counts and mtimes of the shared input
+    tables when `source` holds them, else of the whole `source` folder."""
+    root = source.rstrip("/")
+    parts = [root]
+    names = [f"{root}/{n}.parquet" for n in _INPUTS]
+    fs0, _ = _fs(spark, root)
+    jvm = spark.sparkContext._jvm
+    if not all(fs0.exists(jvm.org.apache.hadoop.fs.Path(x)) for x in names):
+        names = [root]
+    for name in names:
+        fs, p = _fs(spark, name)
         st = fs.getContentSummary(p)
         mt = fs.getFileStatus(p).getModificationTime()
         parts.append(f"{name}:{st.getLength()}:{st.getFileCount()}:{mt}")

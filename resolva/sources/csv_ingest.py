@@ -189,6 +189,14 @@ def _read_group(spark: SparkSession, paths: list[str], enc: str, sep: str, skip:
     return df.select(F.col("_metadata.file_name").alias("source_file"), *known)
 
 
+def with_row_key(df: DataFrame) -> DataFrame:
+    """Deterministic row key: 64-bit hash of the file name and every raw field
+    (NULL-safe, order-aware). It is stable under recomputation after executor
+    loss, unlike a generated id; identical rows of one file share a key."""
+    fields = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in df.columns]
+    return df.withColumn("case_id", F.xxhash64(F.concat_ws("\u0001", *fields)))
+
+
 def ingest(spark: SparkSession, folders: list[str], multiline: bool = False) -> IngestResult:
     """Ingest every *.csv under the folders. `multiline=True` accepts quoted
     fields with line breaks (files are then read whole, one task per file)."""
@@ -216,8 +224,8 @@ def ingest(spark: SparkSession, folders: list[str], multiline: bool = False) ->
     spark_empty = spark.createDataFrame([], "source_file string, _ok boolean")
     raw = union_by_name(raw_parts) if raw_parts else spark_empty
     if good_parts:
-        cases = clean_cases(union_by_name([p.select(*[F.col(c).cast("string") for c in p.columns])
-                                           for p in good_parts]), keep=("source_file",))
+        unified = union_by_name([p.select(*[F.col(c).cast("string") for c in p.columns]) for p in good_parts])
+        cases = clean_cases(with_row_key(unified), keep=("source_file", "case_id"))
     else:
         cases = None
     read = raw.groupBy("source_file").agg(F.count(F.lit(1)).alias("linhas_lidas"), F.max("_ok").alias("_ok"))
@@ -249,7 +257,7 @@ def ingest(spark: SparkSession, folders: list[str], multiline: bool = False) ->
         "encoding", "sep", F.col("skiprows").cast("int"), "erro")
     if cases is None:
         from ..operators.clean import clean_schema
-        cases = spark.createDataFrame([], clean_schema({"source_file": T.StringType()}))
+        cases = spark.createDataFrame([], clean_schema({"source_file": T.StringType(), "case_id": T.LongType()}))
     return IngestResult(cases, catalog, profile)
 
 

@@ -52,7 +52,7 @@ def run_incremental(spark: SparkSession, folders: list[str], out: str, checkpoin
         stream = csv_stream(spark, folder, _dialect_of(spark, folder))
 
         def write_batch(batch: DataFrame, epoch: int, i=i) -> None:
-            (clean_cases(batch, keep=("source_file",))
+            (clean_cases(ci.with_row_key(batch), keep=("source_file", "case_id"))
                 .write.mode("overwrite").partitionBy(CLOSE_YEAR)
                 .parquet(f"{out}/fonte={i}/lote={epoch}"))
 
@@ -62,7 +62,7 @@ def run_incremental(spark: SparkSession, folders: list[str], out: str, checkpoin
         queries.append(q)
     for q in queries:
         q.awaitTermination()
-    schema = clean_schema({"source_file": T.StringType()})
+    schema = clean_schema({"source_file": T.StringType(), "case_id": T.LongType()})
     extra = T.StructType(schema.fields + [T.StructField("fonte", T.IntegerType()),
                                           T.StructField("lote", T.LongType())])
     return spark.read.schema(extra).option("basePath", out).parquet(out).select(*[f.name for f in schema.fields])

@@ -105,3 +105,20 @@ def test_multiline_quoted_fields(spark):
     sp = res.cases.filter("uf = 'SP'").first()
     assert sp["grupo_problema"] == "Cobrança\nem duas linhas"
     assert res.catalog.first()["linhas_lidas"] == 4
+
+
+def test_user_flow_from_csv_exports(spark, folder):
+    """Exports → ingest → part sink → base → temporal splits → baselines → metric rows."""
+    from pyspark.sql import types as T
+
+    from resolva.operators.clean import clean_schema
+    from resolva.operators.splits import SplitSpec, temporal_splits
+    from resolva.plans.evaluation import baseline_scores, metric_rows
+    res = ci.ingest(spark, [folder])
+    out = tempfile.mkdtemp(prefix="resolva-parts-") + "/base"
+    ci.write_parts(res.cases, out)
+    base = spark.read.schema(clean_schema({"source_file": T.StringType(), "case_id": T.LongType()})).parquet(out)
+    assert base.count() == res.cases.count() and base.select("case_id").distinct().count() == base.count()
+    splits = temporal_splits(base, SplitSpec(2014, 2024, 2025, 2025))
+    rows = metric_rows(baseline_scores(splits)).collect()
+    assert {r["conjunto"] for r in rows} == {"validacao", "teste"} and len(rows) == 4
