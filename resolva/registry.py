@@ -842,3 +842,29 @@ def q_score_cases_model(spark, d):
     model = TR.fitted(spark, d, _spec("logreg"), train, CASE_VIEW_FEATURES)
     scored = TR.model_scores(model, test, ["case_id", *FEATURES])
     return round_doubles(sc.score_cases(scored, bl.group_rates(train, "grupo_problema"), bl.global_rate(train)))
+
+
+_DIALECT_SQL = (
+    "WITH y AS (SELECT *, CAST(substr(source_file, 13, 4) AS INTEGER) AS ano_pedido FROM {src}) "
+    "SELECT CASE WHEN ano_pedido BETWEEN 1998 AND 1999 THEN 'latin1' ELSE 'utf-8-sig' END AS encoding, "
+    "CASE WHEN ano_pedido <= 1997 THEN '''' || ';' || '''' WHEN ano_pedido <= 1999 THEN '''\\t''' "
+    "ELSE '''' || ',' || '''' END AS sep, 0 AS skiprows, {aggs} FROM y GROUP BY 1, 2, 3")
+
+
+@query("ingest_catalog_by_dialect", O.with_ctes(
+    "SELECT r.encoding, r.sep, CAST(r.skiprows AS INTEGER) AS skiprows, r.linhas_lidas, k.linhas_filtradas, "
+    "k.resolvidas, k.nao_resolvidas, k.ano_min, k.ano_max FROM (" + _DIALECT_SQL.format(
+        src="raw_cases", aggs="count(*) AS linhas_lidas") + ") r JOIN (" + _DIALECT_SQL.format(
+        src="clean_cases", aggs="count(*) AS linhas_filtradas, CAST(sum(target_resolvida) AS BIGINT) AS resolvidas, "
+                               "CAST(count(*) - sum(target_resolvida) AS BIGINT) AS nao_resolvidas, "
+                               "min(ano_finalizacao) AS ano_min, max(ano_finalizacao) AS ano_max")
+    + ") k ON r.encoding = k.encoding AND r.sep = k.sep"))
+def q_ingest_catalog_by_dialect(spark, d):
+    """The ingest catalog summed per detected dialect (file names are Spark's)."""
+    cat = _ingested(spark, d).catalog
+    return (cat.groupBy("encoding", "sep", "skiprows")
+               .agg(F.sum("linhas_lidas").cast("long").alias("linhas_lidas"),
+                    F.sum("linhas_filtradas").cast("long").alias("linhas_filtradas"),
+                    F.sum("resolvidas").cast("long").alias("resolvidas"),
+                    F.sum("nao_resolvidas").cast("long").alias("nao_resolvidas"),
+                    F.min("ano_min").alias("ano_min"), F.max("ano_max").alias("ano_max")))
