@@ -1,5 +1,7 @@
 """Golden selections from published tuning rows, and plan-shape checks."""
 
+from pyspark.sql import functions as F
+
 from resolva import registry as R
 from resolva.operators import evaluate as ev
 from resolva.operators import reports as rp
@@ -53,3 +55,20 @@ def test_auc_plan_has_no_global_window_over_rows(spark):
     # in-bucket running sums are partitioned by bucket; the only unpartitioned
     # window is over the per-bucket totals (≤ buckets rows)
     assert any("[bucket" in ln.split("]")[-2] or "bucket" in ln for ln in windows)
+
+
+def test_salted_top_k_exact_with_hot_group(spark):
+    import numpy as np
+    import pandas as pd
+
+    from resolva.operators.profile import top_k_per_group
+    rng = np.random.default_rng(9)
+    n = 6000
+    grp = np.where(rng.random(n) < 0.34, "hot", rng.choice(["a", "b", "c"], n))   # a third in one group
+    pdf = pd.DataFrame({"campo": grp, "valor": [f"v{i}" for i in range(n)], "quantidade": rng.integers(0, 50, n)})
+    got = top_k_per_group(spark.createDataFrame(pdf), ["campo"], [F.desc("quantidade")], 25, "valor",
+                          salt_buckets=16).toPandas()
+    ref = (pdf.sort_values(["campo", "quantidade", "valor"], ascending=[True, False, True])
+              .groupby("campo").head(25))
+    assert sorted(zip(got.campo, got.valor)) == sorted(zip(ref.campo, ref.valor))
+    assert got.groupby("campo")["rank"].max().eq(25).all()
