@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resolva.llm import chat, decontaminate, licenses, quality, sharding
+from resolva.llm import bpe, chat, decontaminate, licenses, lm, quality, sharding
 from resolva.llm.common import read
 
 QUERIES: dict = {}
@@ -17,6 +17,27 @@ def _query(fn):
     return fn
 
 
+def _tokenizer() -> tuple[dict[bytes, int], str]:
+    import public_tokenizers
+    return bpe.load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN
+
+
+def bpe_digest(docs: DataFrame) -> DataFrame:
+    ranks, pattern = _tokenizer()
+    out = bpe.decode(bpe.encode(docs, ranks, pattern), ranks)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@_query
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digest(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@_query
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @_query
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.scan_licenses(read(spark, sf_dir, "documents").select("doc_id", "text"))
