@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resolva.llm import bpe, chat, decontaminate, licenses, lm, quality, sharding
+from resolva.llm import bpe, chat, decontaminate, licenses, lm, neardup, pii, quality, sharding
 from resolva.llm.common import read
 
 QUERIES: dict = {}
@@ -38,6 +38,18 @@ def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@_query
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), key="op3")
+    return out.select("doc_id", "text", F.size("findings").cast("long").alias("n_findings"),
+                      F.array_join(F.transform("findings", lambda f: F.concat(f["kind"], F.lit("="), f["pseudonym"])), "\n").alias("findings"))
+
+
+@_query
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes_of(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @_query
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.scan_licenses(read(spark, sf_dir, "documents").select("doc_id", "text"))
