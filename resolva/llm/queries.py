@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resolva.llm import bpe, chat, decontaminate, licenses, lm, neardup, pii, quality, sharding
+from resolva.llm import bpe, chat, decontaminate, licenses, lines, lm, neardup, pii, quality, sharding
 from resolva.llm.common import read
 
 QUERIES: dict = {}
@@ -38,6 +38,11 @@ def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@_query
+def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @_query
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.pseudonymise(read(spark, sf_dir, "documents").select("doc_id", "text"), key="op3")
