@@ -182,10 +182,10 @@ def verify(members: DataFrame, threshold: float) -> DataFrame:
     return members.groupBy("g1", "g2", "g3").applyInArrow(run, "rep long, links long, texts long, other long")
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Every row with class_row, n_links (rows of other copies and similar
-    texts), n_texts (different similar texts), and whether it is the first of
-    its class by (key, row). The row id is in column `row_id`."""
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> tuple[DataFrame, str, DataFrame]:
+    """The rows with a written row id, that column's name, and for every row
+    with words (row, class_row, n_links, n_texts): the least row of its class,
+    the number of rows it is linked with, and of different texts among them."""
     (row,) = fresh(docs, "row_id")
     rows = with_row_id(docs, row, "neardup")
     signed = materialize(sign(rows, row, text, depth_for(threshold)), "neardup-signed")
@@ -214,14 +214,14 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: fl
               .select("row", F.coalesce("root", "rep").alias("class_row"),
                       (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
                       F.coalesce("texts", F.lit(0)).cast("long").alias("n_texts")))
-    return rows.withColumnRenamed(row, "row_id") if row != "row_id" else rows, ranked
+    return rows, row, ranked
 
 
 def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: key, class_id (least key of the class), n_links, n_texts."""
-    rows, ranked = join(docs.select(key, text), key, text, threshold)
-    out = rows.select(F.col("row_id"), F.col(key)).join(ranked, F.col("row_id") == F.col("row"), "left").select(
-        key, F.coalesce("class_row", "row_id").alias("class_row"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+    rows, row, ranked = join(docs.select(key, text), key, text, threshold)
+    out = rows.select(row, key).join(ranked, F.col(row) == F.col("row"), "left").select(
+        key, F.coalesce("class_row", row).alias("class_row"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("n_texts", F.lit(0)).cast("long").alias("n_texts"))
     out = materialize(out, "neardup-out")
     firsts = out.groupBy("class_row").agg(F.min(key).alias("class_id"), F.count(F.lit(1)).alias("class_size"))
@@ -230,8 +230,8 @@ def classes_of(docs: DataFrame, key: str = "doc_id", text: str = "text", thresho
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Drop every row but the first, by (key, row), of each class; columns stay."""
-    rows, ranked = join(docs, key, text, threshold)
-    keyed = ranked.filter("n_links > 0").join(rows.select("row_id", F.col(key).alias("k")), F.col("row") == F.col("row_id"))
+    rows, row, ranked = join(docs, key, text, threshold)
+    keyed = ranked.filter("n_links > 0").join(rows.select(F.col(row).alias("row"), F.col(key).alias("k")), "row")
     firsts = keyed.groupBy("class_row").agg(F.min(F.struct("k", "row")).alias("first"))
-    dropped = keyed.join(firsts, "class_row").filter("row <> first.row").select(F.col("row").alias("row_id"))
-    return rows.join(dropped, "row_id", "left_anti").select(*docs.columns)
+    dropped = keyed.join(firsts, "class_row").filter("row <> first.row").select(F.col("row").alias(row))
+    return rows.join(dropped, row, "left_anti").select(*docs.columns)
