@@ -1,13 +1,16 @@
 """Multi-file CSV ingest with per-file dialect detection and error isolation.
 
-1. File profile job: one row per file → `mapInPandas` reads only the first
-   64 KiB of each file on an executor and tries every (encoding, separator,
-   skipped lines) combination on the header; the score is the number of
-   header names found in the header dictionary. Files scoring < 5 become
-   `erro` catalog rows. Only this per-file profile reaches the driver.
+1. File profile job: every file is read once as lines by Spark's own text
+   reader (so any Hadoop file system works). Per file it yields the first two
+   lines, whether all bytes are valid UTF-8, whether some line leaves a quote
+   open, and whether all bytes were read. A small task then tries every
+   (encoding, separator, skipped lines) combination on the header; the score
+   is the number of header names found in the header dictionary. Files scoring
+   < 5, empty files and files that cannot be read whole become `erro` rows.
 2. Files sharing a dialect and header are read by ONE `spark.read.csv` with
-   an explicit all-string schema (no inference, splittable), the known
-   columns renamed to canonical names, NA tokens mapped to NULL.
+   an explicit all-string schema (no inference, splittable unless a file has
+   quoted line breaks), the known columns renamed to canonical names, NA
+   tokens mapped to NULL. Files are told apart by their full path.
 3. Files missing a required column are logged `ignorado_colunas_faltando`;
    the rest are unified by name and cleaned in one lineage.
 4. The catalog aggregates per file: rows read, rows kept, class counts,
@@ -18,10 +21,11 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,7 +39,6 @@ ENCODINGS = ["latin1", "cp1252", "utf-8-sig"]
 SEPARATORS = [";", "\t", ","]
 SKIP_OPTIONS = [0, 1]
 MIN_HITS = 5
-HEAD_BYTES = 64 * 1024
 SPARK_CHARSET = {"latin1": "ISO-8859-1", "cp1252": "windows-1252", "utf-8-sig": "UTF-8"}
 
 PROFILE_SCHEMA = T.StructType([
@@ -47,6 +50,7 @@ PROFILE_SCHEMA = T.StructType([
     T.StructField("acertos", T.IntegerType()),
     T.StructField("headers", T.ArrayType(T.StringType())),
     T.StructField("skipped", T.ArrayType(T.ArrayType(T.StringType()))),
+    T.StructField("multiline", T.BooleanType()),
     T.StructField("erro", T.StringType()),
 ])
 
@@ -60,27 +64,11 @@ CATALOG_SCHEMA = T.StructType([
 ])
 
 
-def _open_head(path: str, n: int = HEAD_BYTES) -> bytes:
-    """First n bytes of a file (local path, file: URI, or any pyarrow filesystem URI)."""
-    import pyarrow.fs as pafs
-    if path.startswith("file:"):
-        local = path[len("file:"):]
-        while local.startswith("//"):
-            local = local[1:]
-        fs, p = pafs.LocalFileSystem(), local
-    elif "://" in path:
-        fs, p = pafs.FileSystem.from_uri(path)
-    else:
-        fs, p = pafs.LocalFileSystem(), path
-    with fs.open_input_stream(p) as f:
-        return f.read(n)
-
-
-def detect_dialect(head: bytes) -> dict:
-    """Best (encoding, sep, skip) for a file head; ties → first trial in order,
-    except that a head decoding as strict UTF-8 prefers utf-8-sig among ties."""
-    if len(head) >= HEAD_BYTES and b"\n" in head:
-        head = head[: head.rfind(b"\n") + 1]
+def detect_dialect(head: bytes, valid_utf8: bool | None = None) -> dict:
+    """Best (encoding, sep, skip) for the first lines of a file; ties → first
+    trial in order, except that a file of strict UTF-8 with characters outside
+    ASCII prefers utf-8-sig among ties. `valid_utf8` says so for the whole
+    file; when absent, the head alone decides."""
     trials = []
     for enc in ENCODINGS:
         try:
@@ -101,12 +89,13 @@ def detect_dialect(head: bytes) -> dict:
         raise ValueError("header could not be read with any dialect")
     top = max(t["acertos"] for t in trials)
     best = [t for t in trials if t["acertos"] == top]
-    try:
-        head.decode("utf-8")
-        strict_utf8 = any(b > 0x7F for b in head)
-    except UnicodeDecodeError:
-        strict_utf8 = False
-    if strict_utf8:
+    if valid_utf8 is None:
+        try:
+            head.decode("utf-8")
+            valid_utf8 = any(b > 0x7F for b in head)
+        except UnicodeDecodeError:
+            valid_utf8 = False
+    if valid_utf8:
         utf = [t for t in best if t["encoding"] == "utf-8-sig"]
         if utf:
             return utf[0]
@@ -116,20 +105,30 @@ def detect_dialect(head: bytes) -> dict:
 def _profile_batches(batches):
     for pdf in batches:
         rows = []
-        for path in pdf["path"]:
+        for path, first, second, utf8, quotes, whole in zip(pdf["path"], pdf["first"], pdf["second"], pdf["utf8"], pdf["quotes"], pdf["whole"]):
             name = path.rstrip("/").rsplit("/", 1)[-1]
+            row = {"path": path, "arquivo": name, "encoding": None, "sep": None, "skiprows": None, "acertos": 0,
+                   "headers": [], "skipped": [], "multiline": bool(quotes), "erro": None}
             try:
-                b = detect_dialect(_open_head(path))
-                err = None
-                if b["acertos"] < MIN_HITS:
-                    err = f"ValueError: unexpected header ({b['acertos']} known columns)"
-                rows.append({"path": path, "arquivo": name, **b, "erro": err})
+                if first is None:
+                    raise ValueError("empty file")
+                if not whole:
+                    raise OSError("the file could not be read whole")
+                head = bytes(first) + b"\n" + (b"" if second is None else bytes(second) + b"\n")
+                row.update(detect_dialect(head, bool(utf8)))
+                if row["acertos"] < MIN_HITS:
+                    row["erro"] = f"ValueError: unexpected header ({row['acertos']} known columns)"
             except Exception as e:  # noqa: BLE001 - isolated per file, logged in the catalog
-                rows.append({"path": path, "arquivo": name, "encoding": None, "sep": None, "skiprows": None,
-                             "acertos": 0, "headers": [], "skipped": [], "erro": f"{type(e).__name__}: {e}"})
+                row["erro"] = f"{type(e).__name__}: {e}"
+            rows.append(row)
         yield pd.DataFrame(rows, columns=[f.name for f in PROFILE_SCHEMA.fields])
 
 
+def file_path_col() -> Column:
+    """The path of a row's file as written; Spark's metadata column percent-encodes it."""
+    return F.try_url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
+
+
 def list_csv_files(spark: SparkSession, folders: list[str]) -> list[str]:
     """Sorted *.csv paths under the folders (recursive), via the Hadoop filesystem."""
     jvm = spark.sparkContext._jvm
@@ -148,11 +147,35 @@ def list_csv_files(spark: SparkSession, folders: list[str]) -> list[str]:
     return sorted(out)
 
 
+def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Raw lines with the file's path and size; bytes are kept as they are."""
+    return (spark.read.option("lineSep", "\n").option("ignoreCorruptFiles", True).text([_glob_safe(p) for p in paths])
+            .select(file_path_col().alias("path"), F.col("_metadata.file_size").alias("size"),
+                    F.col("_metadata.file_block_start").alias("start"), "value"))
+
+
+def _glob_safe(path: str) -> str:
+    """Spark expands glob patterns in read paths; take names literally."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def profile_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Dialect profile, one row per file, computed on executors."""
-    n = max(1, min(len(paths), spark.sparkContext.defaultParallelism * 4))
-    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(n)
-    return files.mapInPandas(_profile_batches, PROFILE_SCHEMA)
+    lines = _lines(spark, paths)
+    flags = lines.groupBy("path").agg(
+        (F.min(F.is_valid_utf8("value")) & F.max(F.col("value").rlike(r"[^\x00-\x7F]"))).alias("utf8"),
+        F.max(F.regexp_count("value", F.lit('"')) % 2 == 1).alias("quotes"),
+        # every line has a line break but the last, which may lack one; a byte order mark (3 bytes) is not in the lines
+        (F.sum(F.octet_length("value")) + F.count(F.lit(1)) - F.max("size")).alias("over"))
+    flags = flags.select("path", (F.col("utf8") | F.col("over").isin(-3, -2)).alias("utf8"), "quotes",
+                         F.col("over").isin(0, 1, -3, -2).alias("whole"))
+    order = Window.partitionBy("path").orderBy("at")
+    heads = (lines.filter("start = 0").withColumn("at", F.monotonically_increasing_id())
+             .withColumn("rank", F.row_number().over(order)).filter("rank <= 2")
+             .groupBy("path").agg(F.max(F.when(F.col("rank") == 1, F.col("value").cast("binary"))).alias("first"),
+                                  F.max(F.when(F.col("rank") == 2, F.col("value").cast("binary"))).alias("second")))
+    files = spark.createDataFrame([(p,) for p in paths], "path string")
+    return files.join(flags, "path", "left").join(heads, "path", "left").mapInPandas(_profile_batches, PROFILE_SCHEMA)
 
 
 @dataclass
@@ -163,30 +186,31 @@ class IngestResult:
 
 
 def _read_group(spark: SparkSession, paths: list[str], enc: str, sep: str, skip: int,
-                headers: list[str], skipped: list[list[str]], multiline: bool = False) -> DataFrame:
+                headers: list[str], titles: list[tuple[str, list[str]]], multiline: bool = False) -> DataFrame:
+    """Rows of the files of one dialect. `titles` has (path, fields) of the
+    skipped lines: the CSV source cannot skip lines, so a file's own title and
+    header lines are removed by value."""
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(headers))])
     reader = (spark.read.schema(schema)
               .option("sep", sep).option("encoding", SPARK_CHARSET[enc])
               .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
               .option("header", skip == 0).option("multiLine", multiline))
-    df = reader.csv(paths)
+    df = reader.csv([_glob_safe(p) for p in paths])
     cols = [F.col(f"_c{i}") for i in range(len(headers))]
+    df = df.select("*", file_path_col().alias("source_path"))
     if skip:
-        # no per-file skip in the CSV source: drop rows equal to the header
-        # line or to a skipped title line (NULL-padded)
-        for line in [headers] + skipped:
-            vals = list(line) + [None] * (len(headers) - len(line))
-            same = F.lit(True)
-            for c, v in zip(cols, vals[: len(headers)]):
-                same = same & c.eqNullSafe(F.lit(v))
-            df = df.filter(~same)
+        def fields(line):
+            return [x or None for x in line[:len(headers)]] + [None] * (len(headers) - len(line))
+        drop = spark.createDataFrame([(p, fields(x)) for p, x in titles] + [(p, fields(headers)) for p, _ in titles],
+                                     "source_path string, _line array<string>").distinct()
+        df = df.withColumn("_line", F.array(*[F.when(c != "", c) for c in cols])).join(drop, ["source_path", "_line"], "left_anti")
     known, seen = [], set()
     for i, h in enumerate(headers):
         canon = HEADER_MAP.get(normalize_name(h))
         if canon and canon not in seen:
             seen.add(canon)
             known.append(null_na_tokens(F.col(f"_c{i}")).alias(canon))
-    return df.select(F.col("_metadata.file_name").alias("source_file"), *known)
+    return df.select("source_path", F.substring_index("source_path", "/", -1).alias("source_file"), *known)
 
 
 def with_row_key(df: DataFrame) -> DataFrame:
@@ -197,53 +221,57 @@ def with_row_key(df: DataFrame) -> DataFrame:
     return df.withColumn("case_id", F.xxhash64(F.concat_ws("\u0001", *fields)))
 
 
-def ingest(spark: SparkSession, folders: list[str], multiline: bool = False) -> IngestResult:
-    """Ingest every *.csv under the folders. `multiline=True` accepts quoted
-    fields with line breaks (files are then read whole, one task per file)."""
+def ingest(spark: SparkSession, folders: list[str]) -> IngestResult:
+    """Ingest every *.csv under the folders."""
     paths = list_csv_files(spark, folders)
     if not paths:
         raise RuntimeError(f"no .csv files under {folders}")
-    profile = profile_files(spark, paths).cache()
+    return ingest_files(spark, paths)
+
+
+def ingest_files(spark: SparkSession, paths: list[str]) -> IngestResult:
+    """Ingest the given files."""
+    profile = profile_files(spark, paths).checkpoint()
     rows = profile.collect()          # one row per file
     groups: dict[tuple, list[str]] = {}
-    meta: dict[tuple, tuple] = {}
+    titles: dict[tuple, list[tuple[str, list[str]]]] = {}
     for r in rows:
         if r["erro"]:
             continue
-        key = (r["encoding"], r["sep"], r["skiprows"], tuple(r["headers"]))
+        key = (r["encoding"], r["sep"], r["skiprows"], tuple(r["headers"]), r["multiline"])
         groups.setdefault(key, []).append(r["path"])
-        meta[key] = [list(x) for x in (r["skipped"] or [])]
+        titles.setdefault(key, []).extend((r["path"], list(x)) for x in (r["skipped"] or []))
     raw_parts, good_parts = [], []
     for key, gpaths in groups.items():
-        enc, sep, skip, headers = key
-        part = _read_group(spark, gpaths, enc, sep, skip, list(headers), meta[key], multiline)
-        raw_parts.append(part.select("source_file",
+        enc, sep, skip, headers, multiline = key
+        part = _read_group(spark, gpaths, enc, sep, skip, list(headers), titles[key], multiline)
+        raw_parts.append(part.select("source_path",
                                      F.lit(all(c in part.columns for c in REQUIRED_COLUMNS)).alias("_ok")))
         if all(c in part.columns for c in REQUIRED_COLUMNS):
             good_parts.append(part)
-    spark_empty = spark.createDataFrame([], "source_file string, _ok boolean")
+    spark_empty = spark.createDataFrame([], "source_path string, _ok boolean")
     raw = union_by_name(raw_parts) if raw_parts else spark_empty
     if good_parts:
         unified = union_by_name([p.select(*[F.col(c).cast("string") for c in p.columns]) for p in good_parts])
-        cases = clean_cases(with_row_key(unified), keep=("source_file", "case_id"))
+        cases = clean_cases(with_row_key(unified), keep=("source_file", "source_path", "case_id"))
     else:
         cases = None
-    read = raw.groupBy("source_file").agg(F.count(F.lit(1)).alias("linhas_lidas"), F.max("_ok").alias("_ok"))
+    read = raw.groupBy("source_path").agg(F.count(F.lit(1)).alias("linhas_lidas"), F.max("_ok").alias("_ok"))
     if cases is not None:
-        kept = cases.groupBy("source_file").agg(
+        kept = cases.groupBy("source_path").agg(
             F.count(F.lit(1)).alias("linhas_filtradas"),
             F.sum(TARGET).cast("long").alias("resolvidas"),
             F.count_if(F.col(TARGET) == 0).alias("nao_resolvidas"),
             F.min(CLOSE_YEAR).alias("ano_min"), F.max(CLOSE_YEAR).alias("ano_max"))
-        stats = read.join(kept, "source_file", "left")
+        stats = read.join(kept, "source_path", "left")
     else:
         stats = read.select("*", *[F.lit(None).cast(t).alias(c) for c, t in
                                    [("linhas_filtradas", "long"), ("resolvidas", "long"), ("nao_resolvidas", "long"),
                                     ("ano_min", "int"), ("ano_max", "int")]])
-    prof = profile.select(F.col("arquivo").alias("source_file"), "encoding",
+    prof = profile.select(F.col("path").alias("source_path"), F.col("arquivo").alias("source_file"), "encoding",
                           F.when(F.col("sep") == "\t", F.lit("'\\t'")).otherwise(F.concat(F.lit("'"), "sep", F.lit("'"))).alias("sep"),
                           "skiprows", "erro")
-    j = prof.join(stats, "source_file", "left")
+    j = prof.join(stats, "source_path", "left")
     status = (F.when(F.col("erro").isNotNull(), F.lit("erro"))
                .when(~F.coalesce(F.col("_ok"), F.lit(False)), F.lit("ignorado_colunas_faltando"))
                .when(F.coalesce(F.col("linhas_filtradas"), F.lit(0)) == 0, F.lit("sem_dados_filtrados"))
@@ -257,8 +285,8 @@ def ingest(spark: SparkSession, folders: list[str], multiline: bool = False) ->
         "encoding", "sep", F.col("skiprows").cast("int"), "erro")
     if cases is None:
         from ..operators.clean import clean_schema
-        cases = spark.createDataFrame([], clean_schema({"source_file": T.StringType(), "case_id": T.LongType()}))
-    return IngestResult(cases, catalog, profile)
+        cases = spark.createDataFrame([], clean_schema({"source_file": T.StringType(), "source_path": T.StringType(), "case_id": T.LongType()}))
+    return IngestResult(cases.drop("source_path"), catalog, profile)
 
 
 def write_parts(cases: DataFrame, out: str) -> None:

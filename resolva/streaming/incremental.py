@@ -1,64 +1,46 @@
 """Incremental ingest of newly dropped CSV exports with Structured Streaming.
 
-One file-source stream per dialect folder (a stream has one CSV dialect and
-an explicit all-string schema, detected once from a file head). Each
-micro-batch is cleaned with the batch cleaning code and written to
-`<out>/lote=<batch id>/ano_finalizacao=<year>/`. A replayed batch
-overwrites its own folder, so a retry after executor or driver loss does
-not duplicate rows. The checkpoint location tracks which files were seen.
+The stream carries file names only: a file source over the folder tells which
+files are new, and each micro-batch hands them to the batch ingest, which
+profiles every file on its own. So files of one folder may differ in dialect,
+column order and title lines. Cases go to `<out>/lote=<batch id>/
+ano_finalizacao=<year>/`, catalog rows to `<catalog>/lote=<batch id>`. A
+replayed batch overwrites its own folders, so a retry after executor or driver
+loss does not duplicate rows. The checkpoint location tracks which files were
+seen.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import normalize_name, null_na_tokens
-from ..operators.clean import clean_cases, clean_schema
-from ..schema import CLOSE_YEAR, HEADER_MAP, REQUIRED_COLUMNS
+from ..operators.clean import clean_schema
 from ..sources import csv_ingest as ci
 
 
-def _dialect_of(spark: SparkSession, folder: str) -> dict:
-    paths = ci.list_csv_files(spark, [folder])
-    if not paths:
-        raise RuntimeError(f"no .csv files in {folder}")
-    return ci.detect_dialect(ci._open_head(paths[0]))
-
-
-def csv_stream(spark: SparkSession, folder: str, dialect: dict) -> DataFrame:
-    headers = dialect["headers"]
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(headers))])
-    raw = (spark.readStream.schema(schema).option("header", True).option("sep", dialect["sep"])
-                .option("encoding", ci.SPARK_CHARSET[dialect["encoding"]]).option("escape", '"')
-                .option("maxFilesPerTrigger", 64).csv(folder))
-    cols, seen = [], set()
-    for i, h in enumerate(headers):
-        canon = HEADER_MAP.get(normalize_name(h))
-        if canon and canon not in seen:
-            seen.add(canon)
-            cols.append(null_na_tokens(F.col(f"_c{i}")).alias(canon))
-    missing = [c for c in REQUIRED_COLUMNS if c not in seen]
-    if missing:
-        raise ValueError(f"{folder}: missing required columns {missing}")
-    return raw.select(F.col("_metadata.file_name").alias("source_file"), *cols)
-
-
-def run_incremental(spark: SparkSession, folders: list[str], out: str, checkpoint: str) -> DataFrame:
+def run_incremental(spark: SparkSession, folders: list[str], out: str, checkpoint: str,
+                    catalog: str | None = None) -> DataFrame:
     """Process every file currently in the folders (availableNow) and return the base."""
     queries = []
     for i, folder in enumerate(folders):
-        stream = csv_stream(spark, folder, _dialect_of(spark, folder))
+        # one column and one row per file suffices to learn the names
+        files = (spark.readStream.schema("value string").option("maxFilesPerTrigger", 64)
+                 .option("pathGlobFilter", "*.csv").option("recursiveFileLookup", True).text(folder)
+                 .select(ci.file_path_col().alias("path")))
 
         def write_batch(batch: DataFrame, epoch: int, i=i) -> None:
-            (clean_cases(ci.with_row_key(batch), keep=("source_file", "case_id"))
-                .write.mode("overwrite").partitionBy(CLOSE_YEAR)
-                .parquet(f"{out}/fonte={i}/lote={epoch}"))
-
-        q = (stream.writeStream.foreachBatch(write_batch)
-                   .option("checkpointLocation", f"{checkpoint}/fonte={i}")
-                   .trigger(availableNow=True).start())
+            paths = sorted(r["path"] for r in batch.distinct().collect())  # at most 64
+            if not paths:
+                return
+            result = ci.ingest_files(batch.sparkSession, paths)
+            ci.write_parts(result.cases, f"{out}/fonte={i}/lote={epoch}")
+            if catalog:
+                result.catalog.write.mode("overwrite").parquet(f"{catalog}/fonte={i}/lote={epoch}")
+
+        q = (files.writeStream.foreachBatch(write_batch)
+                  .option("checkpointLocation", f"{checkpoint}/fonte={i}")
+                  .trigger(availableNow=True).start())
         queries.append(q)
     for q in queries:
         q.awaitTermination()

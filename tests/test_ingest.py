@@ -101,7 +101,7 @@ def test_multiline_quoted_fields(spark):
     assert "duas linhas" in text
     with open(os.path.join(d, "ml.csv"), "wb") as f:
         f.write(text.encode("utf-8-sig"))
-    res = ci.ingest(spark, [d], multiline=True)
+    res = ci.ingest(spark, [d])
     sp = res.cases.filter("uf = 'SP'").first()
     assert sp["grupo_problema"] == "Cobrança\nem duas linhas"
     assert res.catalog.first()["linhas_lidas"] == 4
@@ -122,3 +122,66 @@ def test_user_flow_from_csv_exports(spark, folder):
     splits = temporal_splits(base, SplitSpec(2014, 2024, 2025, 2025))
     rows = metric_rows(baseline_scores(splits)).collect()
     assert {r["conjunto"] for r in rows} == {"validacao", "teste"} and len(rows) == 4
+
+
+def _write(folder, name, data):
+    path = os.path.join(folder, name)
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    with open(path, "wb") as f:
+        f.write(data)
+
+
+def _simple(n, order=None, city="Cobrança"):
+    cols = order or HEAD
+    row = dict(zip(HEAD, ["Sul", "PR", "Internet", "Varejo", city, "2023", "Finalizada avaliada", "Resolvida", "05/03/2024"]))
+    return "\n".join(";".join(r) for r in [cols] + [[row[c] for c in cols]] * n) + "\n"
+
+
+def test_equal_and_odd_file_names_keep_their_own_counts(spark):
+    d = tempfile.mkdtemp(prefix="resolva-csv-names-")
+    _write(d, "x/dados.csv", _simple(3).encode("utf-8"))
+    _write(d, "y/dados.csv", _simple(5).encode("utf-8"))
+    _write(d, "dados março 2024 +50%.csv", _simple(2).encode("utf-8"))
+    _write(d, "dados [1].csv", _simple(4).encode("utf-8"))
+    res = ci.ingest(spark, [d])
+    got = sorted((r.arquivo, r.status, r.linhas_lidas, r.linhas_filtradas) for r in res.catalog.collect())
+    assert got == [("dados [1].csv", "ok", 4, 4), ("dados março 2024 +50%.csv", "ok", 2, 2),
+                   ("dados.csv", "ok", 3, 3), ("dados.csv", "ok", 5, 5)]
+    assert {r.source_file for r in res.cases.select("source_file").distinct().collect()} == {x[0] for x in got}
+
+
+def test_every_file_loses_its_own_title_line(spark):
+    d = tempfile.mkdtemp(prefix="resolva-csv-titles-")
+    for i in range(3):
+        _write(d, f"t{i}.csv", (f"Relatório {i}\n" + _simple(3)).encode("utf-8"))
+    assert [r.linhas_lidas for r in ci.ingest(spark, [d]).catalog.collect()] == [3, 3, 3]
+
+
+def test_encoding_is_decided_on_the_whole_file(spark):
+    d = tempfile.mkdtemp(prefix="resolva-csv-late-")
+    ascii_head = [h.encode("ascii", "ignore").decode() for h in HEAD]
+    ascii_head[0], ascii_head[6:] = "regiao", ["situacao", "avaliacao_reclamacao", "data_finalizacao"]
+    plain = ["Sul", "PR", "Internet", "Varejo", "Entrega", "2023", "Finalizada avaliada", "Resolvida", "05/03/2024"]
+    late = plain[:4] + ["Cobrança é já"] + plain[5:]
+    text = "\n".join(";".join(r) for r in [ascii_head] + [plain] * 1500 + [late]) + "\n"
+    assert len(text) > 80_000
+    _write(d, "late.csv", text.encode("utf-8"))
+    res = ci.ingest(spark, [d])
+    assert res.cases.filter("grupo_problema = 'Cobrança é já'").count() == 1 and res.catalog.first().linhas_lidas == 1501
+
+
+def test_empty_file_is_an_error_row(spark):
+    d = tempfile.mkdtemp(prefix="resolva-csv-empty-")
+    _write(d, "empty.csv", b"")
+    _write(d, "good.csv", _simple(2).encode("utf-8"))
+    assert {r.arquivo: r.status for r in ci.ingest(spark, [d]).catalog.collect()} == {"empty.csv": "erro", "good.csv": "ok"}
+
+
+def test_stream_takes_files_of_different_column_order(spark):
+    from resolva.streaming.incremental import run_incremental
+    d, out = tempfile.mkdtemp(prefix="resolva-csv-stream-"), tempfile.mkdtemp(prefix="resolva-stream-out-")
+    _write(d, "a.csv", _simple(3).encode("utf-8"))
+    _write(d, "b.csv", _simple(5, HEAD[::-1]).encode("utf-8"))
+    base = run_incremental(spark, [d], out + "/base", out + "/ckpt", out + "/catalog")
+    assert base.count() == 8 and base.filter("grupo_problema = 'Cobrança' AND uf = 'PR'").count() == 8
+    assert spark.read.parquet(out + "/catalog").count() == 2
