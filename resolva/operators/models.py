@@ -79,7 +79,8 @@ def _estimator(spec: Spec, n: int):
                                   standardization=False, maxIter=p.get("max_iter", 400), tol=1e-4)
     if spec.family == "tree":
         return DecisionTreeClassifier(featuresCol="features", labelCol=TARGET, weightCol=WEIGHT,
-                                      maxDepth=min(p.get("max_depth", 20), 30),
+                                      maxDepth=p.get("max_depth", 20),  # the estimator refuses more than 30
+                                     
                                       minInstancesPerNode=p.get("min_samples_leaf", 500),
                                       impurity="gini", seed=SEED, maxBins=64)
     if spec.family == "gbt":
@@ -151,7 +152,7 @@ def _platt(margins: DataFrame) -> tuple[float, float]:
 
 
 def fit_svm_platt(train: DataFrame, features: list[str], C: float = 0.1, k: int = 3,
-                  max_iter: int = 100, parallelism: int = 3) -> PlattSVM:
+                  max_iter: int = 3000, parallelism: int = 3) -> PlattSVM:
     """k members: encoder + LinearSVC fitted on k-1 folds, Platt map fitted on
     the held-out fold. Folds are independent, so they are submitted as
     concurrent Spark jobs (like the `parallelism` of Spark's tuning

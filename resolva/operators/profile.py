@@ -143,18 +143,20 @@ SQL_TYPE_NAMES = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "do
 
 
 def describe_schema(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """DESCRIBE: one row per column (name, SQL type name, nullable). Size = column count."""
-    rows = [(f.name, SQL_TYPE_NAMES.get(f.dataType.simpleString(), f.dataType.simpleString().upper()), f.nullable)
-            for f in df.schema.fields]
-    return spark.createDataFrame(rows, T.StructType([
-        T.StructField("column_name", T.StringType()),
-        T.StructField("column_type", T.StringType()),
-        T.StructField("nullable", T.BooleanType())]))
+    """DESCRIBE: one row per column (name, SQL type name, nullable), taken from
+    the types of the table's own rows."""
+    names = F.create_map(*[F.lit(x) for pair in SQL_TYPE_NAMES.items() for x in pair])
+    found = df.agg(*[F.max(F.typeof(F.col(f.name))).alias(f.name) for f in df.schema.fields])
+    described = found.select(F.explode(F.array(*[
+        F.struct(F.lit(f.name).alias("column_name"), F.col(f.name).alias("kind"), F.lit(f.nullable).alias("nullable"))
+        for f in df.schema.fields])).alias("c"))
+    return described.select("c.column_name", F.coalesce(F.element_at(names, F.col("c.kind")), F.upper("c.kind")).alias("column_type"),
+                            "c.nullable")
 
 
 def file_inventory(base: DataFrame, limit: int = 10) -> DataFrame:
     """Distinct source files (sorted) with the total file count on every row."""
     files = base.select("source_file").distinct()
-    w = Window.partitionBy()
-    return (files.select("source_file", F.count(F.lit(1)).over(w).alias("total_arquivos"))
-                 .orderBy("source_file").limit(limit))
+    total = files.agg(F.count(F.lit(1)).alias("total_arquivos")).withColumn("one", F.lit(1))
+    first = files.orderBy("source_file").limit(limit).withColumn("one", F.lit(1))
+    return first.join(total, "one").select("source_file", "total_arquivos").orderBy("source_file")

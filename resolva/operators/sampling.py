@@ -57,10 +57,18 @@ def sample_fixed(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
         if bucket_count <= SMALL_BUCKET or len(prefix) >= 32:
             break
         counts = _prefix_counts(tagged, prefix)
-    # exact rank inside the one small bucket
-    last = (tagged.filter(F.startswith(F.col("_h"), F.lit(prefix)))
-                  .select("_h", F.col(key).alias("_k"))
-                  .orderBy("_h", "_k").offset(remaining - 1).limit(1).first())
-    cut_h, cut_k = last["_h"], last["_k"]
-    keep = (F.col("_h") < F.lit(cut_h)) | ((F.col("_h") == F.lit(cut_h)) & (F.col(key) <= F.lit(cut_k)))
-    return tagged.filter(keep).drop("_h")
+    bucket = tagged.filter(F.startswith(F.col("_h"), F.lit(prefix)))
+    # exact rank inside the one small bucket, or a single hash value
+    cut = prefix if len(prefix) >= 32 else bucket.select("_h").orderBy("_h").offset(remaining - 1).limit(1).first()["_h"]
+    remaining -= bucket.filter(F.col("_h") < F.lit(cut)).count()
+    below = tagged.filter(F.col("_h") < F.lit(cut)).drop("_h")
+    return below.unionByName(_take_equal(tagged.filter(F.col("_h") == F.lit(cut)).drop("_h"), remaining, seed))
+
+
+def _take_equal(rows: DataFrame, n: int, seed: int) -> DataFrame:
+    """n of the rows that share the cutoff key, by a hash of the whole row;
+    rows equal in every column are interchangeable."""
+    by_row = rows.withColumn("_row", F.md5(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})))
+    if by_row.select("_row").distinct().limit(2).count() < 2:
+        return rows.limit(n)
+    return sample_fixed(by_row, n, "_row", seed).drop("_row")

@@ -23,8 +23,6 @@ class SplitSpec:
     train_to: int = 1999
     valid_year: int = 2000
     test_year: int = 2001
-    train_cap: int | None = None
-    valid_cap: int | None = None
 
 
 def modelling_set(clean: DataFrame, year_from: int, year_to: int,

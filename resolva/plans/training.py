@@ -30,8 +30,10 @@ FINAL_SPECS = [
                                        "min_child_weight": 3}),
     M.Spec(M.SVM, "svm", "SVM_C_0.1", {"C": 0.1}),
 ]
+#: Documented bound on the labelled rows that a fit takes, by family; `fitted` takes another as an argument.
 TRAIN_CAP = {"logreg": 500_000, "tree": 500_000, "gbt": 500_000, "svm": 100_000}
 
+# The tuning grid.
 TUNING_SPECS = [
     M.Spec(M.LOGREG, "logreg", "LR_C_0.1", {"C": 0.1}),
     M.Spec(M.LOGREG, "logreg", "LR_C_1.0", {"C": 1.0}),
@@ -49,6 +51,7 @@ TUNING_SPECS = [
     M.Spec(M.SVM, "svm", "SVM_C_1.0", {"C": 1.0}),
     M.Spec(M.SVM, "svm", "SVM_C_10.0", {"C": 10.0}),
 ]
+# Family names in reports.
 FAMILY_LABEL = {"logreg": "Linear / Regressores", "tree": "Árvores", "gbt": "Ensemble / Boosting", "svm": "SVM"}
 
 
@@ -57,34 +60,40 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def model_path(spark: SparkSession, sf_dir: str, spec: M.Spec, features: list[str]) -> str:
-    digest = hashlib.sha1(json.dumps([features, spec.params], sort_keys=True).encode()).hexdigest()[:10]
+def model_path(spark: SparkSession, sf_dir: str, spec: M.Spec, features: list[str], train: DataFrame, cap: int) -> str:
+    """Folder of a saved fit, keyed by everything that the fit depends on; the
+    training rows enter by the hash of their plan (split years, source)."""
+    key = [features, spec.family, spec.params, M.SEED, cap, train.semanticHash()]
+    digest = hashlib.sha1(json.dumps(key, sort_keys=True).encode()).hexdigest()[:16]
     tag = f"{spec.config}-{digest}"
     return scratch_path(spark, f"models/{_fingerprint(spark, sf_dir)}/{tag}")
 
 
-def training_rows(train: DataFrame, spec: M.Spec) -> DataFrame:
-    """Training rows capped per family with the exact, seeded hash sample."""
-    return sample_fixed(train, TRAIN_CAP.get(spec.family, 500_000), "case_id", M.SEED)
+def training_rows(train: DataFrame, cap: int) -> DataFrame:
+    """Training rows: an exact, seeded hash sample of at most `cap`."""
+    return sample_fixed(train, cap, "case_id", M.SEED)
 
 
-def fitted(spark: SparkSession, sf_dir: str, spec: M.Spec, train: DataFrame, features: list[str]):
-    """Load the saved fit of `spec`, or fit on the capped training rows and save it."""
-    path = model_path(spark, sf_dir, spec, features)
+def fitted(spark: SparkSession, sf_dir: str, spec: M.Spec, train: DataFrame, features: list[str], cap: int | None = None):
+    """Load the saved fit of `spec`, or fit on at most `cap` training rows and
+    save it; a marker written last tells a whole model."""
+    cap = TRAIN_CAP[spec.family] if cap is None else cap
+    path = model_path(spark, sf_dir, spec, features, train, cap)
     if spec.family == "svm":
         if _exists(spark, path + "/platt/_SUCCESS"):
             ab = spark.read.json(path + "/platt").orderBy("i").collect()
             return M.PlattSVM([(PipelineModel.load(f"{path}/member_{r['i']}"), r["a"], r["b"]) for r in ab])
-        svm = M.fit_svm_platt(training_rows(train, spec), features, spec.params.get("C", 0.1))
+        svm = M.fit_svm_platt(training_rows(train, cap), features, spec.params.get("C", 0.1))
         for i, (m, _, _) in enumerate(svm.members):
             m.write().overwrite().save(f"{path}/member_{i}")
         spark.createDataFrame([(i, a, b) for i, (_, a, b) in enumerate(svm.members)], "i int, a double, b double") \
              .coalesce(1).write.mode("overwrite").json(path + "/platt")
         return svm
-    if _exists(spark, path + "/metadata"):
+    if _exists(spark, path + "-done/_SUCCESS"):
         return PipelineModel.load(path)
-    model = M.fit(spec, training_rows(train, spec), features)
+    model = M.fit(spec, training_rows(train, cap), features)
     model.write().overwrite().save(path)
+    spark.createDataFrame([(f,) for f in features], "feature string").coalesce(1).write.mode("overwrite").json(path + "-done")
     return model
 
 

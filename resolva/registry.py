@@ -573,11 +573,8 @@ def _pct_sql(x):
     return f"coalesce(replace(printf('%.1f%%', {x} * 100.0), '.', ','), 'N/A')"
 
 
-_EXPL_SQL = ("printf('O modelo estimou uma probabilidade de resolução de %s. Essa estimativa está %s da média geral "
-             "histórica, que é de %s, e %s da média histórica do grupo de problema selecionado, que é de %s. "
-             "A reclamação simulada pertence ao grupo %s, ao segmento %s e envolve o problema %s.', "
-             f"{_pct_sql('p')}, {_band_sql('p', 'media_geral')}, {_pct_sql('media_geral')}, "
-             f"{_band_sql('p', 'media_grupo')}, {_pct_sql('media_grupo')}, grupo_problema, "
+_EXPL_SQL = (f"printf('{sc.EXPLANATION}', {_pct_sql('p')}, {_pct_sql('media_geral')}, {_band_sql('p', 'media_geral')}, "
+             f"{_pct_sql('media_grupo')}, {_band_sql('p', 'media_grupo')}, grupo_problema, "
              "coalesce(segmento_de_mercado, 'Não informado'), coalesce(problema, 'Não informado'))")
 
 
@@ -760,10 +757,8 @@ def q_train_evaluate(spark, d):
 
 @query("tuning_grid_models")
 def q_tuning_grid_models(spark, d):
-    """Linear, tree and calibrated-SVM configurations on validation (the three
-    boosting configurations run through the same call with TUNING_SPECS)."""
-    specs = [s for s in TR.TUNING_SPECS if s.family != "gbt"]
-    return round_doubles(TR.tuning_models(spark, d, _splits(spark, d), CASE_VIEW_FEATURES, specs))
+    """All twelve configurations on validation."""
+    return round_doubles(TR.tuning_models(spark, d, _splits(spark, d), CASE_VIEW_FEATURES))
 
 
 @query("coef_models")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import normalize_name, null_na_tokens
+from ..functions.text import header_key, null_na_tokens
 from ..operators.clean import clean_cases
 from ..schema import CLOSE_YEAR, HEADER_MAP, REQUIRED_COLUMNS, TARGET
 from .tables import union_by_name
@@ -81,7 +81,7 @@ def detect_dialect(head: bytes, valid_utf8: bool | None = None) -> dict:
                 if len(lines) <= skip:
                     continue
                 header = next(csv.reader(io.StringIO(lines[skip]), delimiter=sep), [])
-                hits = sum(1 for h in header if normalize_name(h) in HEADER_MAP)
+                hits = sum(1 for h in header if header_key(h) in HEADER_MAP)
                 skipped = [next(csv.reader(io.StringIO(x), delimiter=sep), []) for x in lines[:skip]]
                 trials.append({"encoding": enc, "sep": sep, "skiprows": skip, "acertos": hits,
                                "headers": header, "skipped": skipped})
@@ -206,7 +206,7 @@ def _read_group(spark: SparkSession, paths: list[str], enc: str, sep: str, skip:
         df = df.withColumn("_line", F.array(*[F.when(c != "", c) for c in cols])).join(drop, ["source_path", "_line"], "left_anti")
     known, seen = [], set()
     for i, h in enumerate(headers):
-        canon = HEADER_MAP.get(normalize_name(h))
+        canon = HEADER_MAP.get(header_key(h))
         if canon and canon not in seen:
             seen.add(canon)
             known.append(null_na_tokens(F.col(f"_c{i}")).alias(canon))

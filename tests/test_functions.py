@@ -3,7 +3,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from resolva.functions.dates import parse_mixed_date
-from resolva.functions.text import (SENTINEL, blank_to_sentinel, feature_text, normalize_name,
+from resolva.functions.text import (SENTINEL, blank_to_sentinel, feature_text, header_key,
                                     normalize_value, null_na_tokens, shorten, trim_or_sentinel)
 from resolva.operators.scoring import canonicalize, fmt_int, fmt_pct, parse_reply
 
@@ -29,9 +29,9 @@ def test_normalize_value_matches_unicode_rule(spark):
     assert got[0] == "naoresolvida" and got[1] == "resolvida" and got[2] == "naoresolvida"
 
 
-def test_normalize_name():
-    assert normalize_name("﻿Data Finalização ") == "datafinalizacao"
-    assert normalize_name("Segmento de Mercado") == "segmentodemercado"
+def test_header_key():
+    assert header_key("﻿Data Finalização ") == "datafinalizacao"
+    assert header_key("Segmento de Mercado") == "segmentodemercado"
 
 
 def test_mixed_dates(spark):
@@ -77,3 +77,30 @@ def test_canonicalize(spark):
                                   "id int, c string")
     got = {r["id"]: r["valor_canonico"] for r in canonicalize(cands, "c", dom).collect()}
     assert got == {1: "Loja", 2: "Loja", 3: "Banco", 4: SENTINEL, 5: "Loja"}
+
+
+def test_folds_compatibility_forms_and_trims_all_white_space(spark):
+    rows = [("ﬁnalizada",), ("№ 5",), ("ＦＵＬＬ",), ("\t x ",), (" ",)]
+    df = spark.createDataFrame(rows, "t string").select(
+        normalize_value(F.col("t")).alias("n"), blank_to_sentinel(F.col("t")).alias("b"))
+    got = [tuple(r) for r in df.collect()]
+    assert [g[0] for g in got] == ["finalizada", "no5", "full", "x", ""]
+    assert got[3][1] == "x" and got[4][1] == SENTINEL
+
+
+def test_strict_json_and_percent_ties(spark):
+    from resolva.operators import scoring as sc
+    texts = ['{"a":1} e {"b":2}', "{'k': 1}", '{"k":"v"}', 'x {"k":"v"} y', '{"a":1},{"b":2}']
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(sc.parse_reply(F.col("t")).isNotNull().alias("ok"))
+    assert [r.ok for r in df.collect()] == [False, False, True, True, False]
+    pct = spark.createDataFrame([(0.0625,), (0.1225,), (0.4931,)], "p double").select(sc.fmt_pct(F.col("p")).alias("s"))
+    assert [r.s for r in pct.collect()] == ["6,2%", "12,2%", "49,3%"]
+
+
+def test_sample_is_exact_on_repeated_keys(spark):
+    from resolva.operators.sampling import sample_fixed
+    df = spark.range(100).selectExpr("id % 10 AS k", "id AS v", "'c' AS c")
+    assert sample_fixed(df, 25, "k").count() == 25
+    assert sample_fixed(df.select("k", "c"), 25, "k").count() == 25
+    again = [sorted(r.v for r in sample_fixed(df, 25, "k").collect()) for _ in range(2)]
+    assert again[0] == again[1]
