@@ -106,3 +106,58 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = sharding.shard_rows(rows, "doc_id", tree, sharding.with_region(tree, "r2", 8))
     out = sharding.with_slots(dealt, "doc_id", ["text_crc32", "size"])
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+# ------------------------------------------------------------------ SQL twins
+def _license_sql() -> str:
+    values = ", ".join(f"('{s}', '{i}')" for s, i in licenses.SENTENCES.items())
+    seq = "string_agg('|' || id || '|', '' ORDER BY pos)"
+    for name, wanted in licenses.RULES:
+        seq = f"replace({seq}, '{''.join(f'|{x}|' for x in wanted)}', '|={name}|')"
+    return (
+        f"WITH known(sentence, id) AS (VALUES {values}), "
+        "cut AS (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '[.!?:;](\\s|$)', chr(10), 'g'), chr(10)) AS s FROM documents), "
+        "said AS (SELECT doc_id, unnest(range(1, len(s) + 1)) AS pos, unnest(s) AS sentence FROM cut), "
+        "found AS (SELECT doc_id, pos, id FROM said JOIN known "
+        "ON trim(regexp_replace(lower(said.sentence), '[^\\p{L}\\p{N}]+', ' ', 'g')) = known.sentence), "
+        "grouped AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY pos) AS ids, "
+        f"list_filter(string_split({seq}, '|'), lambda x: x <> '') AS t FROM found GROUP BY doc_id) "
+        "SELECT d.doc_id, coalesce(n, 0) AS n_sentences, coalesce(ids, '') AS sentence_ids, "
+        "coalesce(array_to_string(list_sort(list_distinct(list_transform(list_filter(t, lambda x: x[1] = '='), lambda x: x[2:]))), ','), '') AS licenses, "
+        "coalesce(array_to_string(list_filter(t, lambda x: x[1] <> '='), ','), '') AS open_ids "
+        "FROM documents d LEFT JOIN grouped USING (doc_id)")
+
+
+ORACLE["op5_licenses"] = _license_sql()
+
+ORACLE["op6_chat"] = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(replace(replace(text, '&', '&amp;'), '<', '&lt;'))
+                + length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '"', '&quot;'))
+                + length('<turn role="">') + length('</turn>') + 1) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id"""
+
+ORACLE["op8_decontaminate"] = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{decontaminate.UPPER}', '{decontaminate.LOWER}'),
+                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), '{decontaminate.UPPER}', '{decontaminate.LOWER}'),
+                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item, w[p:p + {decontaminate.N - 1}] AS win FROM
+       (SELECT item, w, unnest(range(1, greatest(len(w) - {decontaminate.N - 2}, 2))) AS p FROM b WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT len(win) AS n FROM bw),
+dw AS (SELECT doc_id, n, p, w[p:p + n - 1] AS win FROM
+       (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, lens WHERE len(w) >= n)),
+hit AS (SELECT doc_id, item, p, n FROM dw JOIN bw USING (win)),
+words AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+          FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
