@@ -28,16 +28,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("a <> b").distinct()
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node has one link, to a smaller node that has none."""
+    more = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("a")
+    onward = edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi").select("a")
+    return more.unionByName(onward).unionByName(edges.filter("a < b").select("a")).isEmpty()
+
+
 def components(edges: DataFrame, tag: str = "components") -> DataFrame:
     """(node, root) of every node that has an edge to another; root is the
     least node of its component. Self loops are dropped."""
     edges = materialize(edges.select("a", "b").filter("a <> b").distinct(), tag)
-    seen = None
-    while True:
+    while not _are_stars(edges):
         edges = materialize(_star(_star(edges, large=True), large=False), tag)
-        state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if seen == (state["n"], state["h"]):
-            break
-        seen = (state["n"], state["h"])
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
