@@ -93,6 +93,13 @@ def test_line_rounds_settle_mixed_bands(spark, monkeypatch):
     assert got == {i: int(i not in (0, 4)) for i in range(8)}
 
 
+def test_one_changed_character_in_a_short_line(spark):
+    """65 different characters; a change in the middle leaves Jaccard 54 / 66 on 6-character shingles."""
+    line = "".join(chr(0x4E00 + i) for i in range(65))
+    docs = spark.createDataFrame([(1, line), (2, line[:32] + "x" + line[33:])], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in lines.dedup(docs).collect()} == {1: 0, 2: 1}
+
+
 def test_line_dedup_on_tricky_rows(clashing, nothing):
     out = lines.remove_lines(clashing)
     ids = collections.Counter(r.doc_id for r in out.collect())
