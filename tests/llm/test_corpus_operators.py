@@ -93,6 +93,22 @@ def test_line_rounds_settle_mixed_bands(spark, monkeypatch):
     assert got == {i: int(i not in (0, 4)) for i in range(8)}
 
 
+def test_every_band_settles(spark, monkeypatch):
+    """One band for all lines: more groups than pivots of a few rounds, and chains whose ends are not near each other."""
+    monkeypatch.setattr(lines, "band", lambda m, s, run: F.lit(1).cast("long"))
+    chars = lambda g, n: "".join(chr(0x4E00 + 300 * g + i) for i in range(n))
+    texts = [x for g in range(7) for x in (chars(g, 60), chars(g, 61))]
+    texts += [x for g in range(7, 10) for x in (chars(g, 50), chars(g, 60), chars(g, 70))]  # 45, 55 and 65 shingles
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.n_removed for r in lines.dedup(docs).orderBy("doc_id").collect()] == [0, 1] * 7 + [0, 1, 1] * 3
+
+
+def test_one_missing_shingle_of_five(spark):
+    texts = [x for g in range(12) for x in ("".join(chr(0x4E00 + 20 * g + i) for i in range(n)) for n in (10, 9))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.n_removed for r in lines.dedup(docs).orderBy("doc_id").collect()] == [0, 1] * 12
+
+
 def test_one_changed_character_in_a_short_line(spark):
     """65 different characters; a change in the middle leaves Jaccard 54 / 66 on 6-character shingles."""
     line = "".join(chr(0x4E00 + i) for i in range(65))
