@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms of personal data.
 
 Values are found by format, then validated: card numbers by their Luhn digit,
-phone numbers by length, IPv4 octets by range, IBANs by modulus 97, dates by
+phone numbers by length (8 to 15 digits after a plus, else 10), IPv4 octets by range, IBANs by modulus 97, dates by
 the calendar. A valid value is replaced by a keyed permutation of the set of
 its own format: a balanced Feistel network over the number of its variable
 digits, walked until the result is in the set again. So equal values get equal
@@ -9,7 +9,11 @@ pseudonyms in every document, different values different ones, and a card
 stays a Luhn-valid card, a date a date. Mail addresses and secrets (access
 keys, quoted hexadecimal keys, passwords) keep each character's class: their
 digits, lower and upper letters are permuted with the same network, as one
-number of mixed radix. Values that fail validation are left alone.
+number of mixed radix. Where a candidate fails validation, cards and IBANs are
+tried again with fewer groups, and the search goes on one character behind its
+start, so neighbouring numbers (expiry, CVV, quantity) hide no value. Values
+that fail validation are left alone. Dates with slashes are day first, and month
+first where only that is a date; the latter stay in their own set.
 
 Defined results: null text stays null with no findings; empty texts, repeated
 rows and null ids are kept as they are; extra columns are carried.
@@ -37,10 +41,11 @@ FORMATS = [
     ("access_key", r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"),
     ("password", r"(?<![A-Za-z])password\s*[=:]\s*[^\s]+"),
     ("hex_key", r"(?<![0-9A-Za-z])[0-9a-f]{32,64}(?![0-9A-Za-z])"),
-    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"),
-    ("date", r"(?<![\d.])\d{4}-\d{2}-\d{2}(?![\d])|(?<!\d)\d{2}/\d{2}/\d{4}(?!\d)"),
+    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])"),
+    ("date", r"(?<![\d.])\d{4}-\d{2}-\d{2}(?![\d])|(?<!\d)\d{2}/\d{2}/\d{4}(?!\d)|(?<![\d.])\d{2}\.\d{2}\.\d{4}(?!\d|\.\d)"),
     ("ipv4", r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)"),
-    ("phone", r"(?<![\d+])\+\d{1,3}[ -]?\(\d{2,4}\)[ -]?\d{3}[ -]?\d{3,4}(?!\d)|(?<!\d)\(\d{3}\) \d{3}-\d{4}(?!\d)"),
+    ("phone", r"(?<![\d+])\+\d{1,3}[ -]?\(\d{2,4}\)[ -]?\d{3}[ -]?\d{3,4}(?!\d)|(?<!\d)\(\d{3}\) \d{3}-\d{4}(?!\d)"
+     r"|(?<![\w+])\+[1-9](?:[ .-]?\(?\d\)?){6,14}(?!\d)|(?<![\d.-])(?<!\d )[2-9]\d{2}(?:-[2-9]\d{2}-| [2-9]\d{2} |\.[2-9]\d{2}\.)\d{4}(?![ .-]?\d)"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"),
     ("card", r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)"),
 ]
@@ -120,25 +125,42 @@ def _ipv4(m: str, key: bytes) -> str | None:
     return ".".join(map(str, v.to_bytes(4, "big")))
 
 
+def _phone(m: str, key: bytes) -> str | None:
+    n = sum(c.isdigit() for c in m)
+    return _numbers("phone")(m, key) if (8 <= n <= 15 if m[0] == "+" else n == 10) else None
+
+
 def _date(m: str, key: bytes) -> str | None:
-    form = "%Y-%m-%d" if "-" in m else "%d/%m/%Y"
+    if "-" not in m:
+        sep, (d, month, y) = m[2], (m[:2], m[3:5], m[6:])
+        if sep == "/" and int(month) > 12:  # month first, to another date that can only be month first
+            new = f"{y}-{d}-{month}"
+            while (new := _date(new, key)) and int(new[8:]) <= 12:
+                pass
+            return new and f"{new[5:7]}/{new[8:]}/{new[:4]}"
+        new = _date(f"{y}-{month}-{d}", key)
+        return new and sep.join((new[8:], new[5:7], new[:4]))
     try:
-        day = datetime.datetime.strptime(m, form).date()
+        day = datetime.datetime.strptime(m, "%Y-%m-%d").date()
     except ValueError:
         return None
     first, last = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal()
     at = day.toordinal()
     lo, hi = (first, last) if first <= at < last else (1, datetime.date.max.toordinal() + 1)
     new = datetime.date.fromordinal(lo + permute(at - lo, hi - lo, key, "date"))
-    return f"{new.year:04d}-{new.month:02d}-{new.day:02d}" if "-" in m else f"{new.day:02d}/{new.month:02d}/{new.year:04d}"
+    return f"{new.year:04d}-{new.month:02d}-{new.day:02d}"
 
 
 def _iban(m: str, key: bytes) -> str | None:
     number = lambda s: int("".join(str(int(c, 36)) for c in s))
+    gaps, m = [i for i, c in enumerate(m) if c == " "], m.replace(" ", "")
     if number(m[4:] + m[:4]) % 97 != 1:
         return None
     body = _mixed(m[4:], key, "iban")
-    return m[:2] + f"{98 - number(body + m[:2] + '00') % 97:02d}" + body
+    new = m[:2] + f"{98 - number(body + m[:2] + '00') % 97:02d}" + body
+    for i in gaps:
+        new = new[:i] + " " + new[i:]
+    return new
 
 
 def _email(m: str, key: bytes) -> str:
@@ -156,18 +178,44 @@ def _after(prefix: str, kind: str, hexadecimal: bool = False):
 
 RULES = {"email": _email, "access_key": _after("AKIA", "access_key"), "password": _after(r"password\s*[=:]\s*", "password"),
          "hex_key": _after("", "hex_key", True), "iban": _iban, "date": _date, "ipv4": _ipv4,
-         "phone": _numbers("phone"), "ssn": _ssn, "card": _card}
+         "phone": _phone, "ssn": _ssn, "card": _card}
 FINDER = "|".join(f"(?P<{kind}>{form})" for kind, form in FORMATS)
 
 
+#: Least characters, without gaps, of the kinds that are tried again with fewer groups.
+SHORTEST = {"card": 13, "iban": 15}
+
+
+#: Cards as they are printed; they go before other groupings of the same digits.
+PRINTED = re.compile(r"(?<!\d)(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{4,5})(?!\d)")
+
+
+def _candidates(text: str, m: re.Match) -> list[str]:
+    """The match, then its beginnings that end before a gap, longest first. A
+    printed card at the start goes first; one further on leaves no other."""
+    kind, found = m.lastgroup, m.group(0)
+    if kind not in SHORTEST:
+        return [found]
+    gaps = [g.start() for g in re.finditer("[ -]", found)]
+    if kind == "card":
+        for at in (0, *(g + 1 for g in gaps)):
+            card = PRINTED.match(text, m.start() + at)
+            if card and _card(card.group(0), b"") is not None:
+                return [card.group(0)] if at == 0 else []
+    return [found, *(found[:g] for g in reversed(gaps) if sum(c not in " -" for c in found[:g]) >= SHORTEST[kind])]
+
+
 def pseudonymise_text(text: str, key: bytes, find: re.Pattern) -> tuple[str, list[dict]]:
-    out, at, found = [], 0, []
-    for m in find.finditer(text):
-        new = RULES[m.lastgroup](m.group(0), key)
-        if new is not None:
-            out += [text[at:m.start()], new]
-            at = m.end()
-            found.append({"kind": m.lastgroup, "pseudonym": new})
+    out, at, start, found = [], 0, 0, []
+    while m := find.search(text, start):
+        kind, start = m.lastgroup, m.start() + 1
+        for old in _candidates(text, m):
+            new = RULES[kind](old, key)
+            if new is not None:
+                out += [text[at:m.start()], new]
+                at = start = m.start() + len(old)
+                found.append({"kind": kind, "pseudonym": new})
+                break
     return "".join([*out, text[at:]]), found
 
 

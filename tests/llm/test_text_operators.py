@@ -204,6 +204,26 @@ def test_pseudonyms(spark, clashing, nothing):
     assert pii.pseudonymise(clashing, "k").columns == [*clashing.columns, "findings"] and pii.pseudonymise(nothing, "k").count() == 0
 
 
+def test_values_beside_other_numbers_and_in_other_forms():
+    find = re.compile(pii.FINDER)
+    for text, kind, value in [
+            ("pay 4111 1111 1111 1111 12/27", "card", "4111 1111 1111 1111"), ("4111111111111111 123", "card", "4111111111111111"),
+            ("qty 2 4111 1111 1111 1111", "card", "4111 1111 1111 1111"), ("12 34 4111-1111-1111-1111 9", "card", "4111-1111-1111-1111"),
+            ("on 2023-02-29 4111 1111 1111 1111", "card", "4111 1111 1111 1111"),
+            ("call 415-555-2671.", "phone", "415-555-2671"), ("+14155552671", "phone", "+14155552671"), ("+44 20 7946 0958, x", "phone", "+44 20 7946 0958"),
+            ("GB82 WEST 1234 5698 7654 32", "iban", "GB82 WEST 1234 5698 7654 32"), ("DE89 3704 0044 0532 0130 00 BIC ABCD", "iban", "DE89 3704 0044 0532 0130 00"),
+            ("born 25.12.1980.", "date", "25.12.1980"), ("12/25/1980", "date", "12/25/1980")]:
+        new, found = pii.pseudonymise_text(text, b"k", find)
+        before, after = text.split(value)
+        assert [f["kind"] for f in found] == [kind] and new == before + found[0]["pseudonym"] + after and value not in new
+        shape = lambda s: re.sub("[A-Z]", "A", re.sub(r"\d", "0", s))
+        assert shape(found[0]["pseudonym"]) == shape(value)
+    months = {pii._date(f"{m:02d}/{d}/1980", b"k") for m in range(1, 13) for d in range(13, 29)}
+    assert len(months) == 192 and all(int(x[3:5]) > 12 for x in months)
+    for text in ("+12345", "4111 1111 1111 1112 12/27", "99.99.1980", "31/31/1980", "GB83 WEST 1234 5698 7654 32"):
+        assert pii.pseudonymise_text(text, b"k", find) == (text, [])
+
+
 def test_feistel_is_a_permutation():
     for size in (1, 2, 10, 97, 366):
         assert sorted(pii.permute(i, size, b"k", "t") for i in range(size)) == list(range(size))
