@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resolva.llm import bpe, chat, decontaminate, licenses, lines, lm, neardup, pii, quality, sharding
+from resolva.llm import bpe, chat, decontaminate, fim, licenses, lines, lm, merkle, neardup, pii, quality, sharding
 from resolva.llm.common import read
 
 QUERIES: dict = {}
@@ -108,6 +108,25 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+@_query
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.transform(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                      F.sha2(fim.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+@_query
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select(*merkle.RECORD)
+    without = [F.replace("text", F.lit("\n"), F.lit("")) if c == "text" else docs[c] for c in merkle.RECORD]
+    hit = F.crc32(docs["doc_id"].cast("string").cast("binary")) % 2 == 0
+    out = merkle.manifest(docs, carry={"tampered": F.when(hit, merkle.record_digest(without))})
+    path = F.col("path")
+    out = out.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(path).alias("proof_sha256"),
+                     merkle.fold(F.coalesce("tampered", "leaf"), path).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 # ------------------------------------------------------------------ SQL twins
 def _license_sql() -> str:
     values = ", ".join(f"('{s}', '{i}')" for s, i in licenses.SENTENCES.items())
@@ -161,3 +180,64 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item
 SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
+ORACLE["op12_fim"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+                  regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u FROM documents),
+e AS (SELECT doc_id, t, u, len(u) AS n, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS r FROM d),
+c AS (SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
+      CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 50 THEN 'plain'
+           WHEN r[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM e),
+x AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:n], '') AS s FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+              ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM x"""
+
+
+def _merkle_sql() -> str:
+    def record(text: str) -> str:
+        values = {"doc_id": "CAST(doc_id AS VARCHAR)", "n_chars": "CAST(n_chars AS VARCHAR)", "text": text}
+        return "sha256(" + " || ".join(f"coalesce(CAST(octet_length(encode({v})) AS VARCHAR) || ':' || {v}, '-')"
+                                       for v in (values.get(c, c) for c in merkle.RECORD)) + ")"
+
+    bit = "xor(xor(c, x) >> 1, 3988292384 * (xor(c, x) & 1))"
+    crc = ("xor(list_reduce([CAST(4294967295 AS BIGINT)] || flatten(list_transform(range(1, length(s) + 1), "
+           f"lambda i: [CAST(ascii(substr(s, i, 1)) AS BIGINT), 0, 0, 0, 0, 0, 0, 0])), lambda c, x: {bit}), 4294967295)")
+
+    def levels(name: str, base: str) -> str:
+        return (f"{name}(lvl, g, i, h, n) AS (SELECT 0, g, i, h, count(*) OVER (PARTITION BY g) FROM {base} UNION ALL "
+                f"SELECT lvl + 1, g, j, h, count(*) OVER (PARTITION BY g) FROM (SELECT lvl, g, i // 3 AS j, "
+                f"sha256(string_agg(h, '' ORDER BY i)) AS h FROM {name} WHERE n > 1 GROUP BY lvl, g, i // 3))")
+
+    def paths(name: str, base: str, tree: str) -> str:
+        """The siblings before and after each node of `base` on every level."""
+        return (f"{name} AS (SELECT b.g, b.i, t.lvl, "
+                "coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (WHERE t.i < b.i // (3 ** t.lvl)::BIGINT), '') AS l, "
+                "coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (WHERE t.i > b.i // (3 ** t.lvl)::BIGINT), '') AS r "
+                f"FROM {base} b JOIN {tree} t ON t.g IS NOT DISTINCT FROM b.g AND t.n > 1 "
+                "AND t.i // 3 = b.i // (3 ** (t.lvl + 1))::BIGINT GROUP BY b.g, b.i, t.lvl)")
+
+    return (
+        f"WITH RECURSIVE d AS (SELECT doc_id, source AS g, {record('text')} AS h, {record("replace(text, chr(10), '')")} AS cut, "
+        "CAST(doc_id AS VARCHAR) AS s FROM documents), "
+        f"leaf AS (SELECT doc_id, g, h, CASE WHEN {crc} % 2 = 0 THEN cut ELSE h END AS used, "
+        "row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i FROM d), "
+        f"{levels('low', 'leaf')}, "
+        "tops AS (SELECT g AS source, h, 0 AS g, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS i FROM low WHERE n = 1), "
+        f"{levels('high', 'tops')}, {paths('lowpath', 'leaf', 'low')}, {paths('highpath', 'tops', 'high')}, "
+        "steps AS (SELECT leaf.g, leaf.i, lvl, l, r FROM leaf JOIN lowpath p ON p.g IS NOT DISTINCT FROM leaf.g AND p.i = leaf.i UNION ALL "
+        "SELECT leaf.g, leaf.i, 1000 + lvl, l, r FROM leaf JOIN tops ON tops.source IS NOT DISTINCT FROM leaf.g JOIN highpath p ON p.i = tops.i), "
+        "numbered AS (SELECT *, row_number() OVER (PARTITION BY g, i ORDER BY lvl) AS step FROM steps), "
+        "fold(g, i, step, h) AS (SELECT g, i, CAST(0 AS BIGINT), used FROM leaf UNION ALL SELECT f.g, f.i, f.step + 1, sha256(s.l || f.h || s.r) "
+        "FROM fold f JOIN numbered s ON s.g IS NOT DISTINCT FROM f.g AND s.i = f.i AND s.step = f.step + 1), "
+        "ended AS (SELECT g, i, arg_max(h, step) AS h FROM fold GROUP BY g, i), "
+        "proofs AS (SELECT g, i, string_agg(l || r, '' ORDER BY step) AS p FROM numbered GROUP BY g, i) "
+        "SELECT leaf.doc_id, leaf.h AS leaf, tops.h AS subroot, high.h AS root, sha256(coalesce(p, '')) AS proof_sha256, "
+        "ended.h AS folded_root, ended.h = high.h AS verified FROM leaf JOIN tops ON tops.source IS NOT DISTINCT FROM leaf.g "
+        "JOIN high ON high.n = 1 JOIN ended ON ended.g IS NOT DISTINCT FROM leaf.g AND ended.i = leaf.i "
+        "LEFT JOIN proofs ON proofs.g IS NOT DISTINCT FROM leaf.g AND proofs.i = leaf.i")
+
+
+ORACLE["op13_merkle"] = _merkle_sql()
