@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resolva.llm import bpe, chat, decontaminate, fim, licenses, lines, lm, merkle, neardup, pii, quality, sharding
+from resolva.llm import bpe, chat, chunks, decontaminate, fim, licenses, lines, lm, merkle, neardup, pii, quality, sharding
 from resolva.llm.common import read
 
 QUERIES: dict = {}
@@ -108,6 +108,15 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+@_query
+def op11_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = f.read()
+    out = chunks.decode(chunks.encode(read(spark, sf_dir, "documents"), spec), spec)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @_query
 def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fim.transform(read(spark, sf_dir, "documents").select("doc_id", "text"))
