@@ -113,7 +113,7 @@ def op11_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
         spec = f.read()
-    out = chunks.decode(chunks.encode(read(spark, sf_dir, "documents"), spec), spec)
+    out = chunks.encode(read(spark, sf_dir, "documents"), spec, decoded="decoded")
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -4,6 +4,7 @@ import collections
 import random
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tokenizers
@@ -24,7 +25,10 @@ def expected(docs):
 
 
 def found(docs, **parameters):
-    out = chunks.decode(chunks.encode(docs, SPEC, **parameters), SPEC).collect()
+    out = chunks.encode(docs, SPEC, decoded="decoded", **parameters)
+    again = chunks.decode(out.drop("decoded"), SPEC).collect()
+    out = out.collect()
+    assert collections.Counter(map(tuple, again)) == collections.Counter(map(tuple, out))
     return collections.Counter((r.doc_id, r.n_tokens, tuple(np.frombuffer(r.ids, "<u4").tolist()), r.decoded) for r in out)
 
 
@@ -75,9 +79,31 @@ def test_borders_that_disagree_stay_open():
     whole chunk's start; such borders are not used."""
     class Other(chunks.Encoder):
         def __call__(self, texts):
-            return [np.array([len(t), *map(ord, t)], "<u4") for t in texts]
+            return [np.array([len(t), *map(ord, t)], "<u4").tobytes() for t in texts]
 
     item = chunks.Chunk(Other(SPEC).chunks([b"one two three four"])[0])
     assert item.open and item.head == "one two three four" and item.ids[0] == 18
     held = chunks.Chunk(chunks.Encoder(SPEC).chunks([b"ne two three fou"])[0])
     assert (held.head, held.tail) == ("ne", " fou") and not held.open
+
+
+def test_words_of_plain_characters_equal_the_library():
+    encoder, rng = chunks.Encoder(SPEC), random.Random(3)
+    plain = chunks.PLAIN_CHARACTERS
+    texts = [plain, *plain, *("".join(rng.choices(plain, k=40)) for _ in range(500)), "it's we'LL '' 's !'s don't<|endoftext|> x"]
+    assert chunks.word_rule(SPEC) is not None
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder(texts)] == [WHOLE.encode(t, add_special_tokens=False).ids for t in texts]
+    other = SPEC.replace('"Lowercase"', '"Strip"', 1)
+    assert chunks.word_rule(other) is None
+
+
+def test_common_chunks_have_several_lenders(monkeypatch):
+    """Eleven blocks hold one chunk; each gets it from one lender, three at a time."""
+    monkeypatch.setattr(chunks, "LENT", 3)
+    name = np.array([7, 1], "<u8").tobytes()
+    rows = pa.table({"part": [0] * 12, "block": [*range(11), 3], "codes": [np.array([b + 20], "<u4").tobytes() for b in [*range(11), 3]],
+                     "names": [name] * 11 + [np.array([8, 1], "<u8").tobytes()]})
+    got = chunks._find_shared(rows).to_pylist()
+    served = [(h, p) for r in got for h, p in zip(np.frombuffer(r["holders"], "<i8"), np.frombuffer(r["places"], "<u4"))]
+    assert sorted(served) == [(b, b + 20) for b in range(11)] and len(got) == 4
+    assert all(set(np.frombuffer(r["codes"], "<u4")) == {r["block"] + 20} for r in got)
