@@ -68,6 +68,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path under the checkpoint folder, for written intermediate tables."""
-    base = ensure_checkpoint_dir(spark)
-    return base.rstrip("/") + "/" + name
+    """A path under the checkpoint folder, for written tables. It is the folder as
+    configured, which later sessions share; Spark's own checkpoints go to a
+    folder of each session below it."""
+    own = ensure_checkpoint_dir(spark)
+    return (spark.conf.get("spark.checkpoint.dir", None) or own).rstrip("/") + "/" + name

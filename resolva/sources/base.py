@@ -5,14 +5,12 @@ training read the parts), the cleaning job writes a Parquet base
 partitioned by close year under the shared checkpoint folder; later queries
 read it, so year filters prune partitions and no query re-plans the raw
 joins and text cleaning. The base is keyed by the input files' sizes and
-modification times, written to a temporary folder and renamed into place,
-so a half-written base is never read.
+modification times and published by a marker (`publish.py`).
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,29 +18,26 @@ from pyspark.sql import functions as F
 from ..operators.clean import clean_cases, clean_schema
 from ..schema import CLOSE_YEAR
 from ..session import scratch_path
+from .publish import file_system, publish
 from .tables import raw_cases
 
+#: Goes into the keys of written tables; changes with the rules or columns of the raw and cleaned cases.
+CLEANING = "2"
 _INPUTS = ("orders", "customer", "nation", "region")
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
 def _fingerprint(spark: SparkSession, source: str) -> str:
     """Input-version key: sizes, file counts and mtimes of the shared input
     tables when `source` holds them, else of the whole `source` folder."""
     root = source.rstrip("/")
-    parts = [root]
+    parts = [root, CLEANING]
     names = [f"{root}/{n}.parquet" for n in _INPUTS]
-    fs0, _ = _fs(spark, root)
+    fs0, _ = file_system(spark, root)
     jvm = spark.sparkContext._jvm
     if not all(fs0.exists(jvm.org.apache.hadoop.fs.Path(x)) for x in names):
         names = [root]
     for name in names:
-        fs, p = _fs(spark, name)
+        fs, p = file_system(spark, name)
         st = fs.getContentSummary(p)
         mt = fs.getFileStatus(p).getModificationTime()
         parts.append(f"{name}:{st.getLength()}:{st.getFileCount()}:{mt}")
@@ -63,20 +58,15 @@ def write_by_year(df: DataFrame, path: str, salt_cols: list[str]) -> None:
        .write.mode("overwrite").partitionBy(CLOSE_YEAR).parquet(path))
 
 
+def base_path(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the cleaned cases for `sf_dir`, partitioned by `ano_finalizacao`."""
+    def write(path: str) -> None:
+        write_by_year(clean_cases(raw_cases(spark, sf_dir)), path, ["case_id"])
+
+    return publish(spark, scratch_path(spark, f"clean_base/{_fingerprint(spark, sf_dir)}"), write)["path"]
+
+
 def cleaned_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned cases for `sf_dir`, partitioned by `ano_finalizacao` on shared storage."""
-    path = scratch_path(spark, f"clean_base/{_fingerprint(spark, sf_dir)}")
-    fs, p = _fs(spark, path)
-    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    if not fs.exists(done):
-        clean = clean_cases(raw_cases(spark, sf_dir))
-        tmp = f"{path}.tmp-{uuid.uuid4().hex}"
-        write_by_year(clean, tmp, ["case_id"])
-        _, tp = _fs(spark, tmp)
-        if not fs.exists(done):
-            if fs.exists(p):
-                fs.delete(p, True)
-            fs.rename(tp, p)
     template = clean_schema()
-    df = spark.read.schema(template).parquet(path)
+    df = spark.read.schema(template).parquet(base_path(spark, sf_dir))
     return df.select(*[F.col(f.name) for f in template.fields])
