@@ -1,9 +1,8 @@
 """Rate baselines: global training mean and group target mean.
 
 Both produce a scored table `(…, y, p)` that the evaluation layer reads.
-The group-rate table has one row per group; the join is left to the
-planner (AQE broadcasts it at runtime when its measured size is small and
-keeps a shuffle join otherwise).
+The group-rate table has one row per group; pass it through
+`frames.as_lookup`, which broadcasts it when its counted rows are few.
 """
 
 from __future__ import annotations

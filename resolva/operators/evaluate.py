@@ -1,22 +1,24 @@
-"""Distributed evaluation of a scored table `(y, p)`.
-
-Every metric here is a DataFrame aggregation; only metric rows (a handful,
-or at most `buckets` boundaries) ever reach the driver.
-
-* `metrics_at` — confusion counts, accuracy, per-class / macro P-R-F1, log
-  loss and Brier score in ONE aggregation pass (map-side partial aggregates).
-* `threshold_sweep` — macro-F1 at all 81 thresholds from one pass: each row
-  is reduced to k = #{grid thresholds <= p}; the (k, y) histogram has at
-  most 164 rows, and reverse cumulative sums over it give every threshold.
-* `score_ladder` — per distinct score: positives/negatives at that score and
-  strictly below it. Exact, without a global single-partition sort: distinct
-  scores are cut into range buckets by approximate quantile boundaries; the
-  bucket totals (≤ `buckets` rows) give offsets, and a window partitioned by
-  bucket gives the in-bucket running sums. Hot scores are harmless: the
-  first step aggregates by score, so a score held by a third of all rows is
-  one row.
-* `roc_auc` (Mann-Whitney with half credit for ties) and the quantile
-  `calibration_curve` both read the ladder.
+"""Distributed evaluation of a scored table `(y, p)` from one table of counts.
+
+`score_counts` is the only pass over scored rows: positives and negatives per
+(group, score), with map-side partial sums, so a score that a third of all
+rows share is one row. Counts of parts add up to the counts of the whole.
+Everything else reads that table alone:
+
+* `sweep`: confusion cells and macro-F1 at all 81 thresholds. A score becomes
+  k = #{grid thresholds <= p}; the (group, k) histogram has at most 82 rows a
+  group, and sums over it give every threshold.
+* `cells_at`: the same cells at thresholds of the caller's.
+* `losses`: log loss and Brier score.
+* `ladder`: counts strictly below each score, exact and without a global
+  single-partition sort: scores are cut into range buckets by approximate
+  quantile boundaries; the bucket totals (at most `buckets` rows a group) give
+  offsets, and a window partitioned by bucket gives the running sums inside.
+* `auc` (Mann-Whitney with half credit for ties) and the quantile `calibration`
+  read the ladder.
+
+`metrics_at`, `threshold_sweep`, `roc_auc` and `calibration_curve` take scored
+rows, count them and call these.
 """
 
 from __future__ import annotations
@@ -58,49 +60,69 @@ def _with_rates(df: DataFrame) -> DataFrame:
         ((f0 + f1) / 2).alias("f1_macro"))
 
 
-def metrics_at(scored: DataFrame, threshold, y: str = "y", p: str = "p",
-               by: list[str] | None = None) -> DataFrame:
-    """Threshold metrics + log loss + Brier in one pass (optionally per group).
+def score_counts(scored: DataFrame, by: list[str] | None = None, y: str = "y", p: str = "p", clip: bool = False) -> DataFrame:
+    """by…, p, pos, neg: how many rows of each class have the score (p double,
+    -0.0 as 0.0). With `clip`, scores are first put into [1e-15, 1 - 1e-15]."""
+    by = by or []
+    value = F.col(p).cast("double") + F.lit(0.0)
+    return (scored.select(*by, (clip_proba(value) if clip else value).alias("p"), F.col(y).cast("int").alias("y"))
+                  .groupBy(*by, "p")
+                  .agg(F.coalesce(F.sum("y"), F.lit(0)).cast("long").alias("pos"), F.count_if(F.col("y") == 0).alias("neg")))
 
-    `threshold` is a float or a column name (per-group thresholds after a join).
-    Probabilities are clipped to [1e-15, 1 - 1e-15] before everything.
-    """
+
+def add_counts(parts: list[DataFrame], by: list[str] | None = None) -> DataFrame:
+    """Counts of several parts (days, shards) as the counts of their union."""
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole.groupBy(*(by or []), "p").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
+def losses(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """by…, n, log_loss, brier_score, over clipped scores."""
+    pc, pos, neg = clip_proba(F.col("p")), F.col("pos"), F.col("neg")
+    n = F.sum(pos + neg)
+    return counts.groupBy(*(by or [])).agg(
+        n.alias("n"), (-F.sum(pos * F.log(pc) + neg * F.log(1 - pc)) / n).alias("log_loss"),
+        (F.sum(pos * (1 - pc) * (1 - pc) + neg * pc * pc) / n).alias("brier_score"))
+
+
+def cells_at(counts: DataFrame, threshold, by: list[str] | None = None) -> DataFrame:
+    """by…, threshold, tn, fp, fn, tp and rates at a number or a column of thresholds."""
+    by = by or []
+    fixed = isinstance(threshold, (int, float))
+    pred = clip_proba(F.col("p")) >= (F.lit(float(threshold)) if fixed else F.col(threshold))
+    cells = counts.groupBy(*by, *([] if fixed else [threshold])).agg(
+        F.sum(F.when(~pred, F.col("neg")).otherwise(0)).alias("tn"), F.sum(F.when(pred, F.col("neg")).otherwise(0)).alias("fp"),
+        F.sum(F.when(~pred, F.col("pos")).otherwise(0)).alias("fn"), F.sum(F.when(pred, F.col("pos")).otherwise(0)).alias("tp"))
+    return _with_rates(cells.withColumn("threshold", F.lit(float(threshold))) if fixed else cells)
+
+
+def metrics_at(scored: DataFrame, threshold, y: str = "y", p: str = "p", by: list[str] | None = None) -> DataFrame:
+    """Threshold metrics, log loss and Brier score (optionally per group) at a
+    number or at a column of thresholds that is constant in each group."""
     by = by or []
-    t = F.lit(float(threshold)) if isinstance(threshold, (int, float)) else F.col(threshold)
-    pc = clip_proba(F.col(p).cast("double"))
-    yy = F.col(y).cast("int")
-    pred = pc >= t
     keys = by + ([] if isinstance(threshold, (int, float)) else [threshold])
-    agg = scored.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if((yy == 0) & ~pred).alias("tn"),
-        F.count_if((yy == 0) & pred).alias("fp"),
-        F.count_if((yy == 1) & ~pred).alias("fn"),
-        F.count_if((yy == 1) & pred).alias("tp"),
-        (-F.avg(yy * F.log(pc) + (1 - yy) * F.log(1 - pc))).alias("log_loss"),
-        F.avg((pc - yy) * (pc - yy)).alias("brier_score"))
-    if isinstance(threshold, (int, float)):
-        agg = agg.withColumn("threshold", F.lit(float(threshold)))
-    return _with_rates(agg)
-
-
-def threshold_sweep(scored: DataFrame, y: str = "y", p: str = "p",
-                    by: list[str] | None = None) -> DataFrame:
+    counts = score_counts(scored, keys, y, p)
+    cells, loss = cells_at(counts, threshold, by), losses(counts, keys)
+    return cells.join(loss, keys) if keys else cells.crossJoin(loss)      # one row each without groups
+
+
+def threshold_sweep(scored: DataFrame, y: str = "y", p: str = "p", by: list[str] | None = None) -> DataFrame:
+    return sweep(score_counts(scored, by, y, p), by)
+
+
+def sweep(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Macro-F1 (and the confusion cells) at each of the 81 grid thresholds.
 
-    One pass over the data builds the (group, k, y) histogram (≤ 82 values
-    of k). Each histogram row is then spread over the 81 thresholds it does
-    or does not reach — at most 82·81 tiny rows per group — and summed.
+    Each row of the (group, k) histogram is spread over the 81 thresholds that
+    it does or does not reach: at most 82·81 tiny rows a group.
     Output: by…, i, threshold, tn, fp, fn, tp, accuracy, … f1_macro.
     """
     by = by or []
     grid = F.array(*[F.lit(t) for t in THRESHOLDS])
-    pv = F.col(p).cast("double")
-    k = F.size(F.filter(grid, lambda t: pv >= t)).alias("k")
-    hist = (scored.select(*by, k, F.col(y).cast("int").alias("y"))
-                  .groupBy(*by, "k")
-                  .agg(F.sum("y").cast("long").alias("pos"),
-                       F.count_if(F.col("y") == 0).alias("neg")))
+    k = F.size(F.filter(grid, lambda t: F.col("p") >= t)).alias("k")
+    hist = counts.groupBy(*by, k).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     spread = hist.select(*by, "k", "pos", "neg",
                          F.explode(F.sequence(F.lit(0), F.lit(GRID_SIZE - 1))).alias("i"))
     reached = F.col("k") > F.col("i")          # p >= t_i  ⇔  k > i
@@ -130,31 +152,24 @@ def _n_buckets(df: DataFrame, buckets: int | None) -> int:
 
 
 def score_ladder(scored: DataFrame, y: str = "y", p: str = "p", by: list[str] | None = None,
-                 buckets: int | None = None, checkpoint: bool = True) -> DataFrame:
-    """Distinct scores (per group) with counts at and strictly below each score.
+                 buckets: int | None = None) -> DataFrame:
+    return ladder(score_counts(scored, by, y, p).checkpoint(eager=True), by, buckets)
 
-    Output: by…, p, pos, neg, pos_below, neg_below (p double, -0.0 → 0.0).
-    """
+
+def ladder(counts: DataFrame, by: list[str] | None = None, buckets: int | None = None) -> DataFrame:
+    """Counts at and strictly below each score: by…, p, pos, neg, pos_below,
+    neg_below. `counts` is read three times: pass a written or checkpointed table."""
     by = by or []
-    dist = (scored.select(*by, (F.col(p).cast("double") + F.lit(0.0)).alias("p"),
-                          F.col(y).cast("int").alias("y"))
-                  .groupBy(*by, "p")
-                  .agg(F.sum("y").cast("long").alias("pos"),
-                       F.count_if(F.col("y") == 0).alias("neg")))
-    if checkpoint:
-        # Reused three times below; a reliable checkpoint cuts the lineage and
-        # survives executor loss.
-        dist = dist.checkpoint(eager=True)
-    b = _n_buckets(scored, buckets)
+    b = _n_buckets(counts, buckets)
     probs = [i / b for i in range(1, b)]
-    row = dist.agg(F.percentile_approx("p", probs, max(10000, 10 * b)).alias("q")).first()
+    row = counts.agg(F.percentile_approx("p", probs, max(10000, 10 * b)).alias("q")).first()
     bounds = sorted(set(x for x in (row["q"] or []) if x is not None and not math.isnan(x)))
     if bounds:
         splits = [-math.inf] + bounds + [math.inf]
         bucketed = Bucketizer(splits=splits, inputCol="p", outputCol="bucket",
-                              handleInvalid="keep").transform(dist)
+                              handleInvalid="keep").transform(counts)
     else:
-        bucketed = dist.withColumn("bucket", F.lit(0.0))
+        bucketed = counts.withColumn("bucket", F.lit(0.0))
     totals = bucketed.groupBy(*by, "bucket").agg(F.sum("pos").alias("bpos"), F.sum("neg").alias("bneg"))
     before = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     # ≤ groups × len(splits) rows: bounded by the bucket count we chose.
@@ -170,10 +185,13 @@ def score_ladder(scored: DataFrame, y: str = "y", p: str = "p", by: list[str] |
 
 def roc_auc(scored: DataFrame, y: str = "y", p: str = "p", by: list[str] | None = None,
             buckets: int | None = None) -> DataFrame:
+    return auc(score_counts(scored, by, y, p).checkpoint(eager=True), by, buckets)
+
+
+def auc(counts: DataFrame, by: list[str] | None = None, buckets: int | None = None) -> DataFrame:
     """Exact ROC-AUC: Σ pos·(neg_below + neg/2) / (P·N); NULL when a class is absent."""
     by = by or []
-    lad = score_ladder(scored, y, p, by, buckets)
-    agg = lad.groupBy(*by).agg(
+    agg = ladder(counts, by, buckets).groupBy(*by).agg(
         F.sum(F.col("pos").cast("double") * (F.col("neg_below") + F.col("neg") / 2.0)).alias("s"),
         F.sum("pos").cast("double").alias("P"), F.sum("neg").cast("double").alias("N"))
     return agg.select(*by, F.when((F.col("P") * F.col("N")) > 0, F.col("s") / (F.col("P") * F.col("N")))
@@ -219,30 +237,19 @@ def exact_quantiles(ladder: DataFrame, qs: list[tuple[int, int]]) -> list[float]
 
 def calibration_curve(scored: DataFrame, y: str = "y", p: str = "p",
                       n_bins: int = CALIBRATION_BINS, buckets: int | None = None) -> DataFrame:
+    return calibration(score_counts(scored, None, y, p).checkpoint(eager=True), n_bins, buckets)
+
+
+def calibration(counts: DataFrame, n_bins: int = CALIBRATION_BINS, buckets: int | None = None) -> DataFrame:
     """Reliability table over quantile bins: (bin, n, prob_pred, prob_true).
 
     Bin edges are exact linear quantiles; a score equal to an inner edge goes
     to the lower bin; empty bins do not appear.
     """
-    lad = score_ladder(scored, y, p, None, buckets)
-    edges = exact_quantiles(lad, [(i, n_bins) for i in range(1, n_bins)])
+    edges = exact_quantiles(ladder(counts, None, buckets), [(i, n_bins) for i in range(1, n_bins)])
     inner = F.array(*[F.lit(float(e)) for e in edges])
-    pv = F.col(p).cast("double")
-    bin_ = F.size(F.filter(inner, lambda e: e < pv)) if edges else F.lit(0)
-    return (scored.select(bin_.alias("bin"), pv.alias("p"), F.col(y).cast("double").alias("y"))
-                  .groupBy("bin")
-                  .agg(F.count(F.lit(1)).alias("n"),
-                       F.avg("p").alias("prob_pred"),
-                       F.avg("y").alias("prob_true")))
-
-
-def evaluate(scored: DataFrame, threshold, y: str = "y", p: str = "p",
-             by: list[str] | None = None, buckets: int | None = None) -> DataFrame:
-    """Full metric rows at a threshold (float or per-group column): metrics + ROC-AUC."""
-    by = by or []
-    m = metrics_at(scored, threshold, y, p, by)
-    auc = roc_auc(scored, y, p, by, buckets)
-    if not by:
-        value = auc.first()["roc_auc"]
-        return m.withColumn("roc_auc", F.lit(value).cast("double"))
-    return m.join(auc, by, "left")
+    bin_ = F.size(F.filter(inner, lambda e: e < F.col("p"))) if edges else F.lit(0)
+    both = F.col("pos") + F.col("neg")
+    return (counts.groupBy(bin_.alias("bin"))
+                  .agg(F.sum(both).alias("n"), (F.sum(F.col("p") * both) / F.sum(both)).alias("prob_pred"),
+                       (F.sum("pos") / F.sum(both)).alias("prob_true")))

@@ -7,11 +7,12 @@ N models cost the same number of passes as one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.frames import as_lookup
 from ..operators import baselines as bl
-from ..operators.evaluate import best_threshold, clip_proba, metrics_at, roc_auc, threshold_sweep
+from ..operators import evaluate as ev
 from ..sources.tables import union_by_name
 
 # Split names used in metric rows, and the metric-row layout.
@@ -27,26 +28,37 @@ METRIC_COLUMNS = [
 def choose_thresholds(scored: DataFrame) -> DataFrame:
     """Per model: the grid threshold with the best macro-F1 on validation."""
     valid = scored.filter(F.col("conjunto") == VALID)
-    return best_threshold(threshold_sweep(valid, by=["modelo"]), by=["modelo"])
+    return ev.best_threshold(ev.threshold_sweep(valid, by=["modelo"]), by=["modelo"])
 
 
-def metric_rows(scored: DataFrame, thresholds: DataFrame | None = None,
-                buckets: int | None = None) -> DataFrame:
+def at_validation_best(sweep: DataFrame, keys: list[str], split: str = "conjunto", valid: str = VALID) -> DataFrame:
+    """The sweep rows of every split at the threshold whose macro-F1 is best on
+    validation (ties: the smallest). A window sees the 81 thresholds of one
+    model's splits."""
+    first = Window.partitionBy(*keys).orderBy(F.desc(F.col(split) == valid), F.desc("f1_macro"), F.asc("i"))
+    best = F.first(F.struct(split, "i")).over(first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return sweep.withColumn("_best", best).filter((F.col(f"_best.{split}") == valid) & (F.col("_best.i") == F.col("i"))).drop("_best")
+
+
+def metric_rows(scored: DataFrame, thresholds: DataFrame | None = None, buckets: int | None = None,
+                keys: tuple[str, ...] = ("modelo",)) -> DataFrame:
     """Metric rows per (conjunto, modelo) at each model's validation threshold.
 
-    `scored`: conjunto, modelo, y, p. The threshold table has one row per
-    model, so joining it back is a join against a table of model count size.
+    `scored`: conjunto, modelo, y, p; `keys` names what tells models apart. The scored rows are read once, into counts
+    per (conjunto, modelo, score); thresholds, confusion cells, losses and AUC
+    all come from those counts, so no scored row is stored or joined.
+    `thresholds` (modelo, threshold) replaces the validation choice; it has one
+    row per model and is broadcast.
     """
-    # read three times (sweep, metrics, AUC): cut the lineage once
-    scored = scored.checkpoint(eager=True)
-    th = thresholds if thresholds is not None else choose_thresholds(scored)
-    with_t = scored.join(th.select("modelo", "threshold"), "modelo")
-    m = metrics_at(with_t, "threshold", by=["conjunto", "modelo"])
-    # AUC on the clipped probabilities, like every other metric of the row
-    auc = roc_auc(scored.withColumn("p", clip_proba(F.col("p"))), by=["conjunto", "modelo"], buckets=buckets)
-    out = m.join(auc, ["conjunto", "modelo"], "left")
+    by = ["conjunto", *keys]
+    counts = ev.score_counts(scored, by, clip=True).checkpoint(eager=True)
+    if thresholds is None:
+        cells = at_validation_best(ev.sweep(counts, by), list(keys))
+    else:
+        cells = ev.cells_at(counts.join(F.broadcast(thresholds.select(*keys, "threshold")), list(keys)), "threshold", by)
+    out = cells.join(ev.losses(counts, by), by).join(ev.auc(counts, by, buckets), by, "left")
     return out.select(
-        *[c for c in METRIC_COLUMNS[:13]],
+        *by, *METRIC_COLUMNS[2:13],
         F.col("tn").alias("tn_nao_resolvida"),
         F.col("fp").alias("fp_nao_resolvida_classificada_como_resolvida"),
         F.col("fn").alias("fn_resolvida_classificada_como_nao_resolvida"),
@@ -57,7 +69,7 @@ def baseline_scores(splits: dict[str, DataFrame], group: str = "grupo_problema")
     """Scored rows of both baselines on validation and test."""
     train = splits["train"]
     rate = bl.global_rate(train)
-    rates = bl.group_rates(train, group)
+    rates = as_lookup(bl.group_rates(train, group))
     parts = []
     for conj, key in ((VALID, "valid"), (TEST, "test")):
         df = splits[key]

@@ -13,10 +13,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frames import as_lookup
 from ..operators import baselines as bl
-from ..operators.evaluate import best_threshold, clip_proba, metrics_at, roc_auc, threshold_sweep
+from ..operators import evaluate as ev
 from ..schema import TARGET
 from ..sources.tables import union_by_name
+from .evaluation import VALID, at_validation_best
 
 # The rate-model grid (model name, family, configuration → grouping columns).
 RATE_MODEL_ONE = "Taxa por grupo"
@@ -62,10 +64,10 @@ def rate_scores(train: DataFrame, target_df: DataFrame, grid=RATE_GRID) -> DataF
     """Scored rows (modelo, familia, configuracao, params, case_id, y, p) of every config."""
     rate = bl.global_rate(train)
     cols_all = sorted({c for _, _, cs in grid for c in cs})
-    tables = rate_tables(train, grid)
+    tables = rate_tables(train, grid).checkpoint(eager=True)      # read once per configuration
     parts = []
     for model, config, cols in grid:
-        rates = tables.filter(F.col("_gid") == _gid(cols_all, cols)).select(*cols, "taxa_grupo")
+        rates = as_lookup(tables.filter(F.col("_gid") == _gid(cols_all, cols)).select(*cols, "taxa_grupo"))
         scored = (target_df.join(rates, cols, "left")
                            .select("case_id", F.col(TARGET).cast("int").alias("y"),
                                    F.coalesce("taxa_grupo", F.lit(float(rate))).alias("p")))
@@ -79,10 +81,6 @@ def rate_scores(train: DataFrame, target_df: DataFrame, grid=RATE_GRID) -> DataF
 def grid_results(scored: DataFrame, buckets: int | None = None) -> DataFrame:
     """One result row per configuration, threshold chosen on the same rows."""
     keys = ["modelo", "familia", "configuracao", "params"]
-    # read three times (sweep, metrics, AUC): cut the lineage once
-    scored = scored.checkpoint(eager=True)
-    best = best_threshold(threshold_sweep(scored, by=keys), by=keys)
-    with_t = scored.join(best.select(*keys, "threshold"), keys)
-    m = metrics_at(with_t, "threshold", by=keys)
-    auc = roc_auc(scored.withColumn("p", clip_proba(F.col("p"))), by=keys, buckets=buckets)
-    return m.join(auc, keys, "left").select(*GRID_COLUMNS)
+    counts = ev.score_counts(scored, keys, clip=True).checkpoint(eager=True)
+    cells = at_validation_best(ev.sweep(counts, keys).withColumn("conjunto", F.lit(VALID)), keys)
+    return cells.join(ev.losses(counts, keys), keys).join(ev.auc(counts, keys, buckets), keys, "left").select(*GRID_COLUMNS)
