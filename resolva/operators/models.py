@@ -1,27 +1,28 @@
-"""Probability models with `pyspark.ml` (distributed fitting, no driver data).
-
-Encoding: per feature a `StringIndexer` (alphabetical, unseen → extra
-index) and a `OneHotEncoder(dropLast=True)`: the dropped slot IS the
-unseen slot, so every training category keeps a column and an unseen
-category is the all-zeros vector. Balanced class weights n / (2·n_c) enter
-as `weightCol`; since they sum to n, an L2 penalty C maps to
-regParam = 1 / (C·n).
+"""Probability models on encoded rows (distributed fitting, no driver data).
+
+Logistic regression and trees are `pyspark.ml` estimators; boosting
+(`boosting.py`) and the calibrated linear SVM (`svm.py`) are second-order fits
+that `pyspark.ml` does not have. All of them take the rows that one encoder
+wrote (`encode.py`): every training category has a column, an unseen category
+is the all-zeros vector. Balanced class weights n / (2·n_c) enter as
+`weightCol`; since they sum to n, an L2 penalty C maps to regParam = 1 / (C·n).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
-                                       LogisticRegression)
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml import Model
+from pyspark.ml.classification import (DecisionTreeClassificationModel, DecisionTreeClassifier, LogisticRegression,
+                                       LogisticRegressionModel)
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import TARGET
+from . import boosting, svm
 from .baselines import class_weights
+from .encode import Encoder, fit_encoder
 
 SEED = 42
 WEIGHT = "peso"
@@ -33,17 +34,6 @@ GBT = "Gradient Boosting"
 SVM = "SVM Linear calibrado"
 
 
-def encoder_stages(features: list[str]) -> list:
-    idx = [f"{f}__idx" for f in features]
-    ohe = [f"{f}__ohe" for f in features]
-    return [
-        StringIndexer(inputCols=features, outputCols=idx, handleInvalid="keep",
-                      stringOrderType="alphabetAsc"),
-        OneHotEncoder(inputCols=idx, outputCols=ohe, dropLast=True),
-        VectorAssembler(inputCols=ohe, outputCol="features"),
-    ]
-
-
 def with_class_weights(train: DataFrame, with_n: bool = False):
     """Join the 2-row balanced weight table (bounded by the class count).
 
@@ -58,10 +48,6 @@ def with_class_weights(train: DataFrame, with_n: bool = False):
     return weighted, n
 
 
-def positive_proba(df: DataFrame, col: str = "probability") -> DataFrame:
-    return df.withColumn("p", vector_to_array(F.col(col))[1])
-
-
 @dataclass
 class Spec:
     """One model configuration."""
@@ -71,6 +57,29 @@ class Spec:
     params: dict = field(default_factory=dict)
 
 
+@dataclass
+class Fitted:
+    """A configuration's model and the encoder whose rows it takes."""
+    spec: Spec
+    encoder: Encoder
+    model: Model | boosting.Booster | svm.CalibratedSVM
+
+
+def fit_encoded(spec: Spec, rows: DataFrame, encoder: Encoder) -> Fitted:
+    """Fit one configuration on encoded rows (case_id, target, cells, features)."""
+    p = spec.params
+    if spec.family == "gbt":
+        model = boosting.fit(rows, encoder.width, rounds=p.get("n_estimators", 250), depth=p.get("max_depth", 6),
+                             rate=p.get("learning_rate", 0.08), floor=p.get("min_child_weight", 3),
+                             row_share=p.get("subsample", 0.8), column_share=p.get("colsample", 0.8), seed=SEED)
+    elif spec.family == "svm":
+        model = svm.fit_calibrated(rows, encoder, p.get("C", 0.1), seed=SEED, max_iter=p.get("max_iter", 3000))
+    else:
+        weighted, n = with_class_weights(rows, with_n=True)
+        model = _estimator(spec, n).fit(weighted)
+    return Fitted(spec, encoder, model)
+
+
 def _estimator(spec: Spec, n: int):
     p = spec.params
     if spec.family == "logreg":
@@ -80,130 +89,74 @@ def _estimator(spec: Spec, n: int):
     if spec.family == "tree":
         return DecisionTreeClassifier(featuresCol="features", labelCol=TARGET, weightCol=WEIGHT,
                                       maxDepth=p.get("max_depth", 20),  # the estimator refuses more than 30
-                                     
                                       minInstancesPerNode=p.get("min_samples_leaf", 500),
                                       impurity="gini", seed=SEED, maxBins=64)
-    if spec.family == "gbt":
-        return GBTClassifier(featuresCol="features", labelCol=TARGET, maxIter=p.get("n_estimators", 250),
-                             maxDepth=p.get("max_depth", 6), stepSize=p.get("learning_rate", 0.08),
-                             subsamplingRate=p.get("subsample", 0.8),
-                             featureSubsetStrategy=str(p.get("colsample", 0.8)),
-                             minInstancesPerNode=p.get("min_child_weight", 3), seed=SEED, maxBins=64)
     raise ValueError(spec.family)
 
 
-def fit(spec: Spec, train: DataFrame, features: list[str]) -> PipelineModel:
-    """Fit encoder + estimator on the (weighted) training rows."""
-    if spec.family == "svm":
-        raise ValueError("use fit_svm_platt")
-    weighted, n = with_class_weights(train, with_n=True)
-    pipe = Pipeline(stages=encoder_stages(features) + [_estimator(spec, n)])
-    return pipe.fit(weighted)
-
-
-def score(model, df: DataFrame, keep: list[str]) -> DataFrame:
+def fit(spec: Spec, train: DataFrame, features: list[str]) -> Fitted:
+    """Encode the training rows and fit one configuration on them."""
+    encoder = fit_encoder(train, features)
+    rows = encoder.transform(train, ["case_id"]).persist()
+    try:
+        return fit_encoded(spec, rows, encoder)
+    finally:
+        rows.unpersist()
+
+
+def score_all(fits: list[Fitted], df: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep…, y, p0, p1, …): the positive probability of every fit, which share
+    one encoder; the rows are read and encoded once."""
+    encoder = fits[0].encoder
+    out = encoder.transform(df, list(dict.fromkeys(c for c in keep if c != TARGET)))
+    for i, fit_ in enumerate(fits):
+        if isinstance(fit_.model, boosting.Booster):
+            out = out.withColumn(f"p{i}", fit_.model.probability(df.sparkSession))
+        elif isinstance(fit_.model, svm.CalibratedSVM):
+            out = out.withColumn(f"p{i}", fit_.model.probability(encoder))
+        else:
+            m = fit_.model
+            out = m.transform(out, {m.probabilityCol: "_probability", m.rawPredictionCol: "_raw", m.predictionCol: "_prediction"})
+            out = out.withColumn(f"p{i}", vector_to_array(F.col("_probability"))[1]).drop("_probability", "_raw", "_prediction")
+    return out.select(*keep, F.col(TARGET).alias("y"), *[f"p{i}" for i in range(len(fits))])
+
+
+def score(fitted: Fitted, df: DataFrame, keep: list[str]) -> DataFrame:
     """(keep…, y, p) with p = positive-class probability."""
-    out = positive_proba(model.transform(df))
-    return out.select(*keep, F.col(TARGET).cast("int").alias("y"), "p")
+    return score_all([fitted], df, keep).withColumnRenamed("p0", "p")
 
 
-# ------------------------------------------------------ calibrated linear SVM
-def hash_fold(df: DataFrame, k: int = 3, key: str = "case_id", seed: int = SEED) -> DataFrame:
-    """Fold id 0..k-1 from a seeded hash of the row key: a per-row expression
-    (no ranking window), so folds are balanced within each class in
-    expectation and no class is gathered into one task."""
-    return df.withColumn("_fold", F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(k)).cast("int"))
+# ----------------------------------------------------------------- saved fits
+def save_model(fitted: Fitted, path: str, spark: SparkSession) -> None:
+    if isinstance(fitted.model, (boosting.Booster, svm.CalibratedSVM)):
+        spark.createDataFrame([(fitted.model.to_json(),)], "model string").coalesce(1).write.text(path)
+    else:
+        fitted.model.write().save(path)
 
 
-@dataclass
-class PlattSVM:
-    """k (encoder+LinearSVC, Platt a, b) members; probability = their mean."""
-    members: list
-
-    def transform_scores(self, df: DataFrame, keep: list[str]) -> DataFrame:
-        probs = []
-        base = df
-        for i, (model, a, b) in enumerate(self.members):
-            out = model.transform(base)
-            m = vector_to_array(F.col("rawPrediction"))[1]
-            base = out.withColumn(f"_p{i}", 1.0 / (1.0 + F.exp(-(F.lit(a) * m + F.lit(b))))) \
-                      .drop("features", "rawPrediction", "prediction",
-                            *[c for c in out.columns if c.endswith("__idx") or c.endswith("__ohe")])
-            probs.append(F.col(f"_p{i}"))
-        mean = sum(probs[1:], probs[0]) / float(len(probs))
-        return base.select(*keep, F.col(TARGET).cast("int").alias("y"), mean.alias("p"))
-
-
-def _platt(margins: DataFrame) -> tuple[float, float]:
-    """Sigmoid fit on held-out margins with smoothed targets
-    t+ = (N+ + 1)/(N+ + 2), t- = 1/(N- + 2): each row enters twice
-    (label 1 with weight t, label 0 with weight 1 - t)."""
-    counts = {r[TARGET]: r["c"] for r in margins.groupBy(TARGET).agg(F.count(F.lit(1)).alias("c")).collect()}
-    npos, nneg = counts.get(1, 0), counts.get(0, 0)
-    tpos, tneg = (npos + 1.0) / (npos + 2.0), 1.0 / (nneg + 2.0)
-    t = F.when(F.col(TARGET) == 1, F.lit(tpos)).otherwise(F.lit(tneg))
-    two = (margins.select("margin", F.lit(1.0).alias("label"), t.alias("w"))
-                  .unionByName(margins.select("margin", F.lit(0.0).alias("label"), (1.0 - t).alias("w"))))
-    va = VectorAssembler(inputCols=["margin"], outputCol="mf")
-    lr = LogisticRegression(featuresCol="mf", labelCol="label", weightCol="w", regParam=0.0,
-                            standardization=False, maxIter=100, tol=1e-6)
-    m = lr.fit(va.transform(two))
-    return float(m.coefficients[0]), float(m.intercept)
-
-
-def fit_svm_platt(train: DataFrame, features: list[str], C: float = 0.1, k: int = 3,
-                  max_iter: int = 3000, parallelism: int = 3) -> PlattSVM:
-    """k members: encoder + LinearSVC fitted on k-1 folds, Platt map fitted on
-    the held-out fold. Folds are independent, so they are submitted as
-    concurrent Spark jobs (like the `parallelism` of Spark's tuning
-    estimators)."""
-    from concurrent.futures import ThreadPoolExecutor
-    folded = hash_fold(with_class_weights(train), k).persist()
-
-    def member(i: int):
-        fit_rows = folded.filter(F.col("_fold") != i)
-        held = folded.filter(F.col("_fold") == i)
-        n = fit_rows.count()
-        svc = LinearSVC(featuresCol="features", labelCol=TARGET, weightCol=WEIGHT,
-                        regParam=1.0 / (C * n), maxIter=max_iter, standardization=False, tol=1e-4)
-        model = Pipeline(stages=encoder_stages(features) + [svc]).fit(fit_rows)
-        margins = (model.transform(held)
-                        .select(TARGET, vector_to_array(F.col("rawPrediction"))[1].alias("margin")))
-        a, b = _platt(margins)
-        return model, a, b
-
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, k))) as pool:
-        members = list(pool.map(member, range(k)))
-    folded.unpersist()
-    return PlattSVM(members)
+def load_model(spec: Spec, encoder: Encoder, path: str, spark: SparkSession) -> Fitted:
+    if spec.family in ("gbt", "svm"):
+        text = spark.read.text(path, wholetext=True).first()[0]
+        model = (boosting.Booster if spec.family == "gbt" else svm.CalibratedSVM).from_json(text)
+    else:
+        model = (LogisticRegressionModel if spec.family == "logreg" else DecisionTreeClassificationModel).load(path)
+    return Fitted(spec, encoder, model)
 
 
 # ------------------------------------------------------ interpretation tables
-def encoded_weights(model: PipelineModel, features: list[str], values) -> DataFrame:
-    """(variavel, categoria, valor) for each one-hot column of a fitted pipeline.
+def encoded_weights(encoder: Encoder, values, name: str) -> DataFrame:
+    """(variavel, categoria, value) for each column of an encoder. Its names give
+    the variable and category, so no encoded name is parsed. As many rows as the
+    model has columns, built on the driver from the model."""
+    rows = [(f, x, float(v)) for (f, x), v in zip(encoder.names(), values)]
+    return SparkSession.getActiveSession().createDataFrame(rows, f"variavel string, categoria string, {name} double")
 
-    The indexer labels give the category of each slot (alphabetical), so the
-    variable/category split needs no name parsing. Output size = encoded
-    width (the model's own size), built on the driver from model metadata.
-    """
-    indexer = model.stages[0]
-    rows, pos = [], 0
-    vals = list(values)
-    for f, labels in zip(features, indexer.labelsArray):
-        for lab in labels:
-            rows.append((f, lab, float(vals[pos])))
-            pos += 1
-    from pyspark.sql import SparkSession
-    return SparkSession.getActiveSession().createDataFrame(rows, "variavel string, categoria string, valor double")
-
-
-def coefficient_weights(model: PipelineModel, features: list[str]) -> DataFrame:
-    lr = model.stages[-1]
-    return encoded_weights(model, features, lr.coefficients.toArray()) \
-        .withColumnRenamed("valor", "coeficiente")
-
-
-def importance_weights(model: PipelineModel, features: list[str]) -> DataFrame:
-    est = model.stages[-1]
-    return encoded_weights(model, features, est.featureImportances.toArray()) \
-        .withColumnRenamed("valor", "importancia")
+
+def coefficient_weights(fitted: Fitted) -> DataFrame:
+    return encoded_weights(fitted.encoder, fitted.model.coefficients.toArray(), "coeficiente")
+
+
+def importance_weights(fitted: Fitted) -> DataFrame:
+    """A tree's impurity shares, or boosting's mean gain shares."""
+    m = fitted.model
+    return encoded_weights(fitted.encoder, m.gains() if isinstance(m, boosting.Booster) else m.featureImportances.toArray(), "importancia")

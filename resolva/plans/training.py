@@ -1,24 +1,28 @@
 """Train → threshold on validation → metrics on validation and test → artefacts.
 
-Fitted pipelines are persisted with Spark ML's writer under the shared
-checkpoint folder, keyed by the input version and the configuration, and
-reloaded by later steps (interpretation tables, scoring), as the original
-flow saved its models for the later scripts.
+The encoder, its encoded rows and every fit are published once under the shared
+checkpoint folder (`sources/publish.py`), keyed by the training rows' values and
+the configuration, and reloaded by later steps and sessions (interpretation
+tables, scoring), as the original flow saved its models for the later scripts.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import models as M
+from ..operators.encode import Encoder, fit_encoder
+from ..operators.evaluate import best_threshold, score_counts, sweep
 from ..operators.sampling import sample_fixed
+from ..schema import TARGET
 from ..session import scratch_path
-from ..sources.base import _fingerprint, _fs
+from ..sources.publish import publish, rows_fingerprint
 from ..sources.tables import union_by_name
 from .evaluation import TEST, VALID, baseline_scores, metric_rows
 
@@ -55,98 +59,92 @@ TUNING_SPECS = [
 FAMILY_LABEL = {"logreg": "Linear / Regressores", "tree": "Árvores", "gbt": "Ensemble / Boosting", "svm": "SVM"}
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _fs(spark, path)
-    return fs.exists(p)
+#: Goes into the keys of saved fits; changes with the estimators' meaning.
+FITTING = "2"
 
 
-def model_path(spark: SparkSession, sf_dir: str, spec: M.Spec, features: list[str], train: DataFrame, cap: int) -> str:
-    """Folder of a saved fit, keyed by everything that the fit depends on; the
-    training rows enter by the hash of their plan (split years, source)."""
-    key = [features, spec.family, spec.params, M.SEED, cap, train.semanticHash()]
-    digest = hashlib.sha1(json.dumps(key, sort_keys=True).encode()).hexdigest()[:16]
-    tag = f"{spec.config}-{digest}"
-    return scratch_path(spark, f"models/{_fingerprint(spark, sf_dir)}/{tag}")
+def _digest(*parts) -> str:
+    return hashlib.sha256(json.dumps([FITTING, *parts], sort_keys=True).encode()).hexdigest()[:24]
 
 
-def training_rows(train: DataFrame, cap: int) -> DataFrame:
-    """Training rows: an exact, seeded hash sample of at most `cap`."""
-    return sample_fixed(train, cap, "case_id", M.SEED)
+def training_key(train: DataFrame, features: list[str]) -> str:
+    """Key of everything fitted on these rows: their values and the features.
+    Other sessions over the same rows get the same key."""
+    return _digest(rows_fingerprint(train.select("case_id", TARGET, *features)), features, M.SEED)
 
 
-def fitted(spark: SparkSession, sf_dir: str, spec: M.Spec, train: DataFrame, features: list[str], cap: int | None = None):
+def encoded_rows(train: DataFrame, features: list[str], key: str | None = None, cap: int = max(TRAIN_CAP.values())) -> tuple[Encoder, DataFrame]:
+    """The encoder and the encoded training rows that all families share,
+    written once: an exact, seeded hash sample of at most `cap` rows."""
+    spark = train.sparkSession
+    key = key or training_key(train, features)
+
+    def write(path: str) -> None:
+        rows = sample_fixed(train.select("case_id", TARGET, *features), cap, "case_id", M.SEED)
+        encoder = fit_encoder(rows, features)
+        encoder.pipeline.write().save(path + "/encoder")
+        encoder.transform(rows, ["case_id"]).write.parquet(path + "/rows")
+
+    path = publish(spark, scratch_path(spark, f"models/{key}/encoded-{cap}"), write)["path"]
+    return Encoder(PipelineModel.load(path + "/encoder"), features), spark.read.parquet(path + "/rows")
+
+
+def fitted(spec: M.Spec, train: DataFrame, features: list[str], cap: int | None = None, key: str | None = None) -> M.Fitted:
     """Load the saved fit of `spec`, or fit on at most `cap` training rows and
-    save it; a marker written last tells a whole model."""
+    publish it."""
+    spark = train.sparkSession
     cap = TRAIN_CAP[spec.family] if cap is None else cap
-    path = model_path(spark, sf_dir, spec, features, train, cap)
-    if spec.family == "svm":
-        if _exists(spark, path + "/platt/_SUCCESS"):
-            ab = spark.read.json(path + "/platt").orderBy("i").collect()
-            return M.PlattSVM([(PipelineModel.load(f"{path}/member_{r['i']}"), r["a"], r["b"]) for r in ab])
-        svm = M.fit_svm_platt(training_rows(train, cap), features, spec.params.get("C", 0.1))
-        for i, (m, _, _) in enumerate(svm.members):
-            m.write().overwrite().save(f"{path}/member_{i}")
-        spark.createDataFrame([(i, a, b) for i, (_, a, b) in enumerate(svm.members)], "i int, a double, b double") \
-             .coalesce(1).write.mode("overwrite").json(path + "/platt")
-        return svm
-    if _exists(spark, path + "-done/_SUCCESS"):
-        return PipelineModel.load(path)
-    model = M.fit(spec, training_rows(train, cap), features)
-    model.write().overwrite().save(path)
-    spark.createDataFrame([(f,) for f in features], "feature string").coalesce(1).write.mode("overwrite").json(path + "-done")
-    return model
-
-
-def model_scores(model, df: DataFrame, keep: list[str]) -> DataFrame:
-    if isinstance(model, M.PlattSVM):
-        return model.transform_scores(df, keep)
-    return M.score(model, df, keep)
-
-
-def scored_splits(spark: SparkSession, sf_dir: str, splits: dict[str, DataFrame], specs: list[M.Spec],
-                  features: list[str], sets=(("valid", VALID), ("test", TEST)),
+    key = key or training_key(train, features)
+    encoder, rows = encoded_rows(train, features, key, max(cap, max(TRAIN_CAP.values())))
+
+    def write(path: str) -> None:
+        own = sample_fixed(rows, cap, "case_id", M.SEED).persist()
+        M.save_model(M.fit_encoded(spec, own, encoder), path + "/model", spark)
+        own.unpersist()
+
+    path = publish(spark, scratch_path(spark, f"models/{key}/{spec.config}-{_digest(spec.family, spec.params, cap)}"), write)["path"]
+    return M.load_model(spec, encoder, path + "/model", spark)
+
+
+def scored_splits(splits: dict[str, DataFrame], specs: list[M.Spec], features: list[str], sets=(("valid", VALID), ("test", TEST)),
                   parallelism: int = 3) -> DataFrame:
     """(conjunto, modelo, configuracao, case_id, y, p) for every spec and split.
 
-    Independent configurations are fitted as concurrent Spark jobs."""
-    from concurrent.futures import ThreadPoolExecutor
+    Independent configurations are fitted as concurrent Spark jobs from the same
+    encoded rows; each split is read and encoded once for all of them."""
+    key = training_key(splits["train"], features)
+    encoded_rows(splits["train"], features, key)
     with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(specs)))) as pool:
-        models = list(pool.map(lambda sp: fitted(spark, sf_dir, sp, splits["train"], features), specs))
-    parts = []
-    for spec, model in zip(specs, models):
-        for key, label in sets:
-            parts.append(model_scores(model, splits[key], ["case_id"])
-                         .select(F.lit(label).alias("conjunto"), F.lit(spec.name).alias("modelo"),
-                                 F.lit(spec.config).alias("configuracao"), "case_id", "y", "p"))
-    return union_by_name(parts)
-
-
-def train_evaluate(spark: SparkSession, sf_dir: str, splits: dict[str, DataFrame],
-                   features: list[str], specs: list[M.Spec] = FINAL_SPECS) -> DataFrame:
+        fits = list(pool.map(lambda sp: fitted(sp, splits["train"], features, key=key), specs))
+    each = F.array(*[F.struct(F.lit(s.name).alias("modelo"), F.lit(s.config).alias("configuracao"), F.col(f"p{i}").alias("p"))
+                     for i, s in enumerate(specs)])
+    parts = [M.score_all(fits, splits[name], ["case_id"]).select(F.lit(label).alias("conjunto"), "case_id", "y", F.inline(each))
+             for name, label in sets]
+    return union_by_name(parts).select("conjunto", "modelo", "configuracao", "case_id", "y", "p")
+
+
+def train_evaluate(splits: dict[str, DataFrame], features: list[str], specs: list[M.Spec] = FINAL_SPECS) -> DataFrame:
     """Metric rows (validation and test) of both baselines and every model."""
-    models = scored_splits(spark, sf_dir, splits, specs, features).drop("configuracao")
+    models = scored_splits(splits, specs, features).drop("configuracao")
     base = baseline_scores(splits)
     return metric_rows(union_by_name([base, models]))
 
 
-def predictions(spark: SparkSession, sf_dir: str, splits: dict[str, DataFrame], features: list[str],
-                spec: M.Spec) -> DataFrame:
+def predictions(splits: dict[str, DataFrame], features: list[str], spec: M.Spec) -> DataFrame:
     """Test predictions of one model at its validation threshold:
-    modelo, y_true, y_proba, y_pred."""
-    from ..operators.evaluate import best_threshold, threshold_sweep
-    scored = scored_splits(spark, sf_dir, splits, [spec], features).checkpoint(eager=True)
-    th = best_threshold(threshold_sweep(scored.filter(F.col("conjunto") == VALID)))
-    t = th.first()["threshold"]
-    return (scored.filter(F.col("conjunto") == TEST)
-                  .select(F.col("modelo"), "case_id", F.col("y").alias("y_true"), F.col("p").alias("y_proba"),
-                          (F.col("p") >= F.lit(t)).cast("int").alias("y_pred")))
-
-
-def tuning_models(spark: SparkSession, sf_dir: str, splits: dict[str, DataFrame], features: list[str],
-                  specs: list[M.Spec] = TUNING_SPECS) -> DataFrame:
+    modelo, case_id, y_true, y_proba, y_pred."""
+    model = fitted(spec, splits["train"], features)
+    counts = score_counts(M.score(model, splits["valid"], ["case_id"]))
+    t = best_threshold(sweep(counts)).first()["threshold"]
+    return M.score(model, splits["test"], ["case_id"]).select(
+        F.lit(spec.name).alias("modelo"), "case_id", F.col("y").alias("y_true"), F.col("p").alias("y_proba"),
+        (F.col("p") >= F.lit(t)).cast("int").alias("y_pred"))
+
+
+def tuning_models(splits: dict[str, DataFrame], features: list[str], specs: list[M.Spec] = TUNING_SPECS) -> DataFrame:
     """Grid of fitted configurations evaluated on validation (threshold from validation)."""
     from .tuning import grid_results
-    scored = scored_splits(spark, sf_dir, splits, specs, features, sets=(("valid", VALID),))
+    scored = scored_splits(splits, specs, features, sets=(("valid", VALID),))
     fam = F.create_map(*[x for s in specs for x in (F.lit(s.config), F.lit(FAMILY_LABEL[s.family]))])
     par = F.create_map(*[x for s in specs for x in (F.lit(s.config), F.lit(str(s.params)))])
     return grid_results(scored.select("modelo", fam[F.col("configuracao")].alias("familia"), "configuracao",
