@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import feature_text
 from ..schema import CLOSE_YEAR, FEATURES, TARGET
+from ..session import scratch_path
+from ..sources.publish import publish, rows_fingerprint
 from ..sources.tables import union_by_name
 
 # Split labels.
@@ -66,3 +70,17 @@ def split_summary(df: DataFrame, by: list[str] | None = None) -> DataFrame:
         F.sum(TARGET).cast("long").alias("resolvidas"),
         (F.count(F.lit(1)) - F.sum(TARGET)).cast("long").alias("nao_resolvidas"),
         F.round(F.avg(TARGET), 4).alias("taxa_resolucao")))
+
+
+def write_splits(splits: dict[str, DataFrame]) -> DataFrame:
+    """The three splits written as one published version, partitioned by split,
+    and read back. The version's key is made of the rows' values."""
+    whole = labelled_splits(splits)
+    spark = whole.sparkSession
+    key = hashlib.sha256(json.dumps(rows_fingerprint(whole, ["conjunto"])).encode()).hexdigest()[:24]
+
+    def write(path: str) -> None:
+        whole.write.partitionBy("conjunto").parquet(path)
+
+    path = publish(spark, scratch_path(spark, f"splits/{key}"), write)["path"]
+    return spark.read.schema(whole.schema).parquet(path)
