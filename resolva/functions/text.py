@@ -26,10 +26,10 @@ WHITE = "".join(chr(c) for c in [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x16
 
 
 def _fold_table() -> dict[str, str]:
-    """ASCII letters and digits of every character of the basic plane whose
-    compatibility decomposition has some, apart from ASCII itself."""
+    """ASCII letters and digits of every character whose compatibility
+    decomposition has some, apart from ASCII itself."""
     table = {}
-    for cp in [*range(0x80, 0xD800), *range(0xE000, 0x10000)]:
+    for cp in [*range(0x80, 0xD800), *range(0xE000, 0x20000)]:
         plain = re.sub(r"[^A-Za-z0-9]", "", unicodedata.normalize("NFKD", chr(cp)))
         if plain:
             table[chr(cp)] = plain

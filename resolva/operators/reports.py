@@ -68,12 +68,22 @@ def feature_label(variable, category):
 
 
 def split_encoded_name(encoded, variables: list[str]):
-    """(variable, category) from '<variable>_<category>', first declared match wins."""
+    """(variable, category) of '[cat__]<variable>_<category>'. The first declared
+    variable that fits wins; a name without one is a category of the unknown
+    variable."""
+    name = F.replace(encoded, F.lit("cat__"), F.lit(""))
     var = F.lit(None).cast("string")
     for v in reversed(variables):
-        var = F.when(encoded.startswith(v + "_"), F.lit(v)).otherwise(var)
-    cat = F.when(var.isNull(), encoded).otherwise(encoded.substr(F.length(var) + 2, F.lit(1 << 30)))
-    return var, cat
+        var = F.when(F.startswith(name, F.lit(v + "_")), F.lit(v)).otherwise(var)
+    cat = F.when(var.isNull(), name).otherwise(name.substr(F.length(var) + 2, F.length(name)))
+    return F.coalesce(var, F.lit(UNKNOWN_VARIABLE)), cat
+
+
+def encoded_coefficients(weights: DataFrame, variables: list[str], name: str = "feature_codificada") -> DataFrame:
+    """Coefficient table of foreign weights that only have an encoded name."""
+    var, cat = split_encoded_name(F.col(name), variables)
+    return weights.select(name, "coeficiente", var.alias("variavel"), cat.alias("categoria"), feature_label(var, cat).alias("label_grafico"),
+                          F.abs("coeficiente").alias("abs_coeficiente"), F.exp("coeficiente").alias("odds_ratio"))
 
 
 def coefficient_table(weights: DataFrame) -> DataFrame:

@@ -21,10 +21,10 @@ def _close_ts(x: str) -> str:
             f"ELSE NULL END")
 
 
-_TEXT = ["canal_de_origem", "regiao", "uf", "segmento_de_mercado", "grupo_problema",
-         "ano_abertura", "situacao", "avaliacao_reclamacao"]
-_ABSENT = ["cidade", "sexo", "faixa_etaria", "mes_abertura", "data_abertura", "area",
-           "assunto", "problema", "como_comprou_contratou", "procurou_empresa"]
+_TEXT = ["canal_de_origem", "regiao", "uf", "sexo", "faixa_etaria", "ano_abertura", "mes_abertura",
+         "segmento_de_mercado", "area", "assunto", "grupo_problema", "problema", "como_comprou_contratou",
+         "procurou_empresa", "situacao", "avaliacao_reclamacao"]
+_ABSENT = ["cidade", "data_abertura"]
 
 
 def _clean_select() -> str:

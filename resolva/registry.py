@@ -19,10 +19,10 @@ from .operators import evaluate as ev
 from .operators import profile as pr
 from .operators.clean import clean_cases
 from .operators.sampling import sample_fixed
-from .operators.splits import SplitSpec, labelled_splits, split_summary, temporal_splits
+from .operators.splits import SplitSpec, labelled_splits, split_summary, temporal_splits, write_splits
 from .plans.evaluation import baseline_scores, choose_thresholds, metric_rows
-from .schema import CASE_VIEW_FEATURES, FEATURE_ABBREV, FEATURES
-from .sources.base import cleaned_base
+from .schema import FEATURE_ABBREV, FEATURES
+from .sources.base import base_path, cleaned_base
 from .sources.tables import raw_cases, read_table, union_by_name
 
 SPEC = SplitSpec()
@@ -30,8 +30,7 @@ TRAIN_WHERE = f"ano_finalizacao BETWEEN {SPEC.train_from} AND {SPEC.train_to}"
 VALID_WHERE = f"ano_finalizacao = {SPEC.valid_year}"
 TEST_WHERE = f"ano_finalizacao = {SPEC.test_year}"
 SAMPLE_N, SAMPLE_SEED = 5000, 42
-RAW_TEXT_FIELDS = ["canal_de_origem", "regiao", "uf", "segmento_de_mercado", "grupo_problema",
-                   "ano_abertura", "situacao", "avaliacao_reclamacao"]
+RAW_TEXT_FIELDS = [*FEATURES, "situacao", "avaliacao_reclamacao"]
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -224,6 +223,15 @@ def q_split_summary(spark, d):
     return split_summary(labelled_splits(_splits(spark, d)), ["conjunto"])
 
 
+@query("written_split_summary", O.with_ctes(
+    "SELECT conjunto, count(*) AS linhas, CAST(sum(target_resolvida) AS BIGINT) AS resolvidas, "
+    "CAST(count(*) - sum(target_resolvida) AS BIGINT) AS nao_resolvidas, round(avg(target_resolvida), 4) AS taxa_resolucao "
+    f"FROM ({_LABELLED_SQL}) GROUP BY conjunto", *_SPLITS_CTES))
+def q_written_split_summary(spark, d):
+    """The three splits written, read back and summarised."""
+    return split_summary(write_splits(_splits(spark, d)), ["conjunto"])
+
+
 @query("modelling_set", O.with_ctes("SELECT * FROM valid_set", *_SPLITS_CTES))
 def q_modelling_set(spark, d):
     return _splits(spark, d)["valid"]
@@ -252,17 +260,17 @@ def _domain_long_sql(fields: list[str], src: str) -> str:
     "SELECT campo, valor, adicionado FROM (SELECT DISTINCT campo, valor, 0 AS adicionado FROM long_form UNION ALL "
     "SELECT f.campo, 'Não informado', 1 FROM (SELECT DISTINCT campo FROM long_form) f "
     "WHERE NOT EXISTS (SELECT 1 FROM long_form l WHERE l.campo = f.campo AND l.valor = 'Não informado'))",
-    *_SPLITS_CTES, ("long_form", _domain_long_sql(CASE_VIEW_FEATURES, "train_set"))))
+    *_SPLITS_CTES, ("long_form", _domain_long_sql(FEATURES, "train_set"))))
 def q_domain_values(spark, d):
-    return pr.domain_values(_splits(spark, d)["train"], CASE_VIEW_FEATURES)
+    return pr.domain_values(_splits(spark, d)["train"], FEATURES)
 
 
 @query("top_values_per_field", O.with_ctes(
     "SELECT campo, valor, quantidade, CAST(rank AS INTEGER) AS rank FROM (SELECT campo, valor, count(*) AS quantidade, "
     "row_number() OVER (PARTITION BY campo ORDER BY count(*) DESC, valor) AS rank FROM long_form GROUP BY 1, 2) "
-    "WHERE rank <= 60", ("long_form", _domain_long_sql(CASE_VIEW_FEATURES + ["source_file"], "clean_cases"))))
+    "WHERE rank <= 60", ("long_form", _domain_long_sql(FEATURES + ["source_file"], "clean_cases"))))
 def q_top_values_per_field(spark, d):
-    return pr.top_values_per_field(_clean(spark, d), CASE_VIEW_FEATURES + ["source_file"], 60)
+    return pr.top_values_per_field(_clean(spark, d), FEATURES + ["source_file"], 60)
 
 
 @query("value_counts", O.with_ctes(
@@ -472,7 +480,7 @@ def _rate_weights(spark, d):
     mean (0.5 added to both counts), and a normalized |rate gap| importance."""
     train = _splits(spark, d)["train"]
     r = bl.global_rate(train)
-    st = _category_stats(train, CASE_VIEW_FEATURES)
+    st = _category_stats(train, FEATURES)
     coef = F.log((F.col("pos") + 0.5) / (F.col("n") - F.col("pos") + 0.5)) - F.log(F.lit(r) / F.lit(1 - r))
     gap = F.col("n") * F.abs(F.col("pos") / F.col("n") - F.lit(r))
     tot = st.agg(F.sum(gap).alias("t")).first()["t"]
@@ -482,8 +490,8 @@ def _rate_weights(spark, d):
 _WEIGHTS_CTES = [*_SPLITS_CTES,
                  ("global_rate", "SELECT avg(CAST(target_resolvida AS DOUBLE)) AS r FROM train_set"),
                  ("cat_stats", "SELECT variavel, categoria, count(*) AS n, CAST(sum(target_resolvida) AS DOUBLE) AS pos FROM "
-                  "(UNPIVOT (SELECT target_resolvida, " + ", ".join(CASE_VIEW_FEATURES) + " FROM train_set) ON "
-                  + ", ".join(CASE_VIEW_FEATURES) + " INTO NAME variavel VALUE categoria) GROUP BY 1, 2"),
+                  "(UNPIVOT (SELECT target_resolvida, " + ", ".join(FEATURES) + " FROM train_set) ON "
+                  + ", ".join(FEATURES) + " INTO NAME variavel VALUE categoria) GROUP BY 1, 2"),
                  ("gaps", "SELECT *, n * abs(pos / n - (SELECT r FROM global_rate)) AS gap FROM cat_stats"),
                  ("weights", "SELECT variavel, categoria, ln((pos + 0.5) / (n - pos + 0.5)) - "
                   "ln((SELECT r FROM global_rate) / (1 - (SELECT r FROM global_rate))) AS coeficiente, "
@@ -530,6 +538,21 @@ def q_importance_top(spark, d):
     return round_doubles(rp.importance_top(_imps(spark, d), 50))
 
 
+@query("encoded_names", O.with_ctes(
+    "SELECT feature_codificada, round(coeficiente, 9) AS coeficiente, variavel, categoria, "
+    f"({_ABBREV_CASE}) || ': ' || categoria AS label_grafico, round(abs(coeficiente), 9) AS abs_coeficiente, "
+    "round(exp(coeficiente), 9) AS odds_ratio FROM (SELECT 'cat__' || variavel || '_' || categoria AS feature_codificada, coeficiente, "
+    "variavel, categoria FROM weights UNION ALL SELECT 'cat__var' || variavel || '_' || categoria, coeficiente, 'variavel_desconhecida', "
+    "'var' || variavel || '_' || categoria FROM weights)", *_WEIGHTS_CTES))
+def q_encoded_names(spark, d):
+    """Coefficients known by their encoded names alone, with and without a known
+    variable in front, split into variable and category."""
+    w = _rate_weights(spark, d)
+    tail = F.concat("variavel", F.lit("_"), "categoria")
+    names = w.select(F.explode(F.array(F.concat(F.lit("cat__"), tail), F.concat(F.lit("cat__var"), tail))).alias("feature_codificada"), "coeficiente")
+    return round_doubles(rp.encoded_coefficients(names, FEATURES))
+
+
 @query("importance_summary", O.with_ctes(
     "SELECT variavel, round(sum(importancia), 9) AS importancia_total, round(avg(importancia), 9) AS importancia_media, "
     "count(categoria) AS quantidade_categorias FROM imps GROUP BY variavel", *_WEIGHTS_CTES, ("imps", _IMP_SQL)))
@@ -601,6 +624,13 @@ def q_explanation_text(spark, d):
                     sc.fmt_int(F.coalesce(F.col("n_grupo"), F.lit(0))).alias("casos_grupo_txt"))
 
 
+@query("percent_text", "SELECT o_orderkey, " + _pct_sql("(o_orderkey % 10000) / 10000.0::DOUBLE") + " AS texto FROM orders")
+def q_percent_text(spark, d):
+    """Rates of four places as percent text: many lie next to a tie."""
+    k = F.col("o_orderkey")
+    return read_table(spark, d, "orders").select("o_orderkey", sc.fmt_pct((k % 10000) / F.lit(10000.0)).alias("texto"))
+
+
 FACTOR_VARIABLES = ["grupo_problema", "segmento_de_mercado", "uf", "regiao"]
 
 
@@ -637,7 +667,47 @@ def q_canonicalize_domain(spark, d):
     cands = s["test"].select("case_id", F.when(k % 3 == 0, F.lower("grupo_problema"))
                                           .when(k % 3 == 1, F.col("grupo_problema"))
                                           .otherwise(F.concat("grupo_problema", F.lit(" *"))).alias("candidato"))
-    return sc.canonicalize(cands, "candidato", sc.domain_table(s["train"], "grupo_problema"))
+    found = sc.canonicalize(cands.withColumn("campo", F.lit("grupo_problema")), "candidato", sc.domain_dictionary(s["train"], ["grupo_problema"]))
+    return found.drop("campo")
+
+
+def _form_replies(spark, d):
+    """Replies for whole forms, as a model might give them: JSON of the 14 fields
+    with values in upper case, exact, with trailing noise or left out; some
+    fenced, some in prose, some without an object."""
+    test, k = _splits(spark, d)["test"], F.col("case_id")
+    values = [F.when((k + i) % 4 == 0, F.upper(f)).when((k + i) % 4 == 1, F.col(f)).when((k + i) % 4 == 2, F.concat(f, F.lit(" *")))
+              .alias(f) for i, f in enumerate(FEATURES)]
+    body = F.to_json(F.struct(*values))
+    text = (F.when(k % 10 == 9, F.lit("Não sei responder.")).when(k % 10 == 8, F.concat(F.lit("["), body, F.lit("]")))
+             .when(k % 10 == 7, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(k % 10 == 6, F.concat(F.lit("Segue: "), body)).otherwise(body))
+    return test.select("case_id", text.alias("resposta")), sc.domain_dictionary(_splits(spark, d)["train"], FEATURES)
+
+
+_FORM_VALUES = " UNION ALL ".join(
+    f"SELECT case_id, '{f}' AS campo, CASE (case_id + {i}) % 4 WHEN 0 THEN upper({f}) WHEN 1 THEN {f} WHEN 2 THEN {f} || ' *' "
+    "ELSE 'Não informado' END AS informado FROM test_set WHERE case_id % 10 < 8" for i, f in enumerate(FEATURES))
+
+
+@query("validated_replies", O.with_ctes(
+    "SELECT g.case_id, g.campo, g.informado, coalesce(e.valor, b.valor, 'Não informado') AS valor_canonico FROM given g "
+    "LEFT JOIN dom e ON e.campo = g.campo AND e.valor = trim(g.informado) LEFT JOIN (SELECT campo, lower(valor) AS baixo, "
+    "max(valor) AS valor FROM dom GROUP BY 1, 2) b ON b.campo = g.campo AND b.baixo = lower(trim(g.informado))",
+    *_SPLITS_CTES, ("given", _FORM_VALUES),
+    ("dom", _domain_long_sql(FEATURES, "train_set").replace("UNION ALL", "UNION")
+     + "".join(f" UNION SELECT '{f}', 'Não informado'" for f in FEATURES))))
+def q_validated_replies(spark, d):
+    """Every field of every readable form reply, mapped onto its domain."""
+    replies, dictionary = _form_replies(spark, d)
+    return sc.validate_replies(replies, "resposta", dictionary, FEATURES)[0]
+
+
+@query("reply_errors", O.with_ctes(
+    "SELECT case_id, 'sem_objeto' AS erro FROM test_set WHERE case_id % 10 >= 8", *_SPLITS_CTES))
+def q_reply_errors(spark, d):
+    """Form replies that hold no object."""
+    replies, dictionary = _form_replies(spark, d)
+    return sc.validate_replies(replies, "resposta", dictionary, FEATURES)[1].select("case_id", "erro")
 
 
 _REPLY_SQL = ("CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN '```json' || chr(10) || props || chr(10) || '```' "
@@ -668,7 +738,7 @@ def q_json_fields(spark, d):
 
 # ---------------------------------------------------------------- CSV ingest
 from .sources import csv_ingest as ci  # noqa: E402
-from .sources.csv_export import export_raw_csv  # noqa: E402
+from .sources.csv_export import DISPLAY_HEADERS, export_raw_csv  # noqa: E402
 
 
 def _ingested(spark, d):
@@ -693,12 +763,23 @@ def q_ingest_csv(spark, d):
                  .agg(F.count(F.lit(1)).alias("linhas"), F.sum("target_resolvida").cast("long").alias("resolvidas")))
 
 
-@query("dialect_profile")
+_FILE_DIALECT = (
+    "SELECT DISTINCT source_file, CASE WHEN ano_pedido BETWEEN 1998 AND 1999 THEN 'latin1' ELSE 'utf-8-sig' END AS encoding, "
+    "CASE WHEN ano_pedido <= 1997 THEN ';' WHEN ano_pedido <= 1999 THEN chr(9) ELSE ',' END AS sep, CAST(0 AS INTEGER) AS skiprows "
+    "FROM (SELECT source_file, CAST(substr(source_file, 13, 4) AS INTEGER) AS ano_pedido FROM raw_cases)")
+
+
+@query("dialect_profile", O.with_ctes(
+    f"SELECT source_file AS arquivo, encoding, sep, skiprows, CAST({len(DISPLAY_HEADERS)} AS INTEGER) AS acertos, "
+    f"CAST(NULL AS VARCHAR) AS erro FROM ({_FILE_DIALECT})"))
 def q_dialect_profile(spark, d):
     return _ingested(spark, d).profile.select("arquivo", "encoding", "sep", "skiprows", "acertos", "erro")
 
 
-@query("ingest_catalog")
+@query("ingest_catalog", O.with_ctes(
+    "SELECT c.*, f.encoding, CASE f.sep WHEN chr(9) THEN '''\\t''' ELSE '''' || f.sep || '''' END AS sep, f.skiprows, "
+    "CAST(0 AS BIGINT) AS linhas_curtas, CAST(0 AS BIGINT) AS linhas_longas, CAST(NULL AS VARCHAR) AS erro "
+    f"FROM ({_CATALOG_SQL}) c JOIN ({_FILE_DIALECT}) f ON c.arquivo = f.source_file"))
 def q_ingest_catalog(spark, d):
     return _ingested(spark, d).catalog
 
@@ -726,7 +807,7 @@ def _spec(family: str) -> "M.Spec":
 
 
 def _predictions(spark, d, family):
-    return round_doubles(TR.predictions(spark, d, _splits(spark, d), CASE_VIEW_FEATURES, _spec(family)))
+    return round_doubles(TR.predictions(_splits(spark, d), FEATURES, _spec(family)))
 
 
 @query("logreg_scores")
@@ -752,29 +833,27 @@ def q_svm_platt_scores(spark, d):
 @query("train_evaluate")
 def q_train_evaluate(spark, d):
     """Validation/test metric rows of both baselines and the four fitted models."""
-    return round_doubles(TR.train_evaluate(spark, d, _splits(spark, d), CASE_VIEW_FEATURES))
+    return round_doubles(TR.train_evaluate(_splits(spark, d), FEATURES))
 
 
 @query("tuning_grid_models")
 def q_tuning_grid_models(spark, d):
     """All twelve configurations on validation."""
-    return round_doubles(TR.tuning_models(spark, d, _splits(spark, d), CASE_VIEW_FEATURES))
+    return round_doubles(TR.tuning_models(_splits(spark, d), FEATURES))
 
 
 @query("coef_models")
 def q_coef_models(spark, d):
     """Coefficient table (with odds ratios) of the fitted logistic regression."""
-    s = _splits(spark, d)
-    model = TR.fitted(spark, d, _spec("logreg"), s["train"], CASE_VIEW_FEATURES)
-    return round_doubles(rp.coefficient_table(M.coefficient_weights(model, CASE_VIEW_FEATURES)))
+    model = TR.fitted(_spec("logreg"), _splits(spark, d)["train"], FEATURES)
+    return round_doubles(rp.coefficient_table(M.coefficient_weights(model)))
 
 
 @query("importance_models")
 def q_importance_models(spark, d):
     """Feature importances of the fitted boosting model, top 50."""
-    s = _splits(spark, d)
-    model = TR.fitted(spark, d, _spec("gbt"), s["train"], CASE_VIEW_FEATURES)
-    return round_doubles(rp.importance_top(rp.importance_table(M.importance_weights(model, CASE_VIEW_FEATURES)), 50))
+    model = TR.fitted(_spec("gbt"), _splits(spark, d)["train"], FEATURES)
+    return round_doubles(rp.importance_top(rp.importance_table(M.importance_weights(model)), 50))
 
 
 # ------------------------------------------------------------- streaming
@@ -828,14 +907,82 @@ def q_results_csv(spark, d):
     return rp.numeric_metric(back.withColumnRenamed(split, "conjunto"), f1, extra=["conjunto"])
 
 
+# --------------------------------------------------------------- final model
+from .operators.folds import stratified_folds  # noqa: E402
+from .plans import final as FN  # noqa: E402
+
+_FINAL_CTES = [
+    *_GRID_CTES,
+    ("choice", "SELECT modelo, configuracao, threshold FROM (SELECT m.modelo, m.configuracao, t.threshold, row_number() OVER "
+               "(ORDER BY m.brier_score, m.log_loss, m.modelo, m.configuracao) AS rn FROM tuning m JOIN tg_best t ON "
+               + " AND ".join(f"m.{k} = t.{k}" for k in _GRID_KEYS) + ") WHERE rn = 1"),
+    *[(n.replace("grid_scored", "final_scored"), s) for n, s in O.rate_grid_ctes(RATE_GRID, "test_set")],
+    ("final_rows", "SELECT s.modelo, s.configuracao, s.case_id, s.y, s.p, c.threshold FROM final_scored s "
+                   "JOIN choice c ON s.configuracao = c.configuracao AND s.modelo = c.modelo")]
+
+
+def _final(spark, d):
+    return FN.finalize(_splits(spark, d), SPEC, FN.RateFamily(), FEATURES)
+
+
+@query("final_predictions", O.with_ctes(
+    "SELECT modelo, configuracao, case_id, CAST(y AS INTEGER) AS y_true, round(p, 9) AS y_proba, "
+    "CAST(p >= threshold AS INTEGER) AS y_pred FROM final_rows", *_FINAL_CTES))
+def q_final_predictions(spark, d):
+    """Test predictions of the published final model: of all rate models, the
+    best by probability on validation."""
+    return round_doubles(_final(spark, d).predictions)
+
+
+@query("final_calibration", O.with_ctes(
+    "SELECT bin, count(*) AS n, round(avg(p), 9) AS prob_pred, round(avg(CAST(y AS DOUBLE)), 9) AS prob_true FROM ("
+    "SELECT CAST(len(list_filter(e, lambda x: x < p)) AS INTEGER) AS bin, p, y FROM final_rows, (SELECT quantile_cont(p, "
+    "[0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM final_rows)) GROUP BY bin", *_FINAL_CTES))
+def q_final_calibration(spark, d):
+    """Calibration curve of the published predictions."""
+    return round_doubles(ev.calibration_curve(_final(spark, d).predictions, "y_true", "y_proba"))
+
+
+@query("final_model_predictions")
+def q_final_model_predictions(spark, d):
+    """Test predictions of the published final model among the four fitted ones."""
+    return round_doubles(FN.finalize(_splits(spark, d), SPEC, FN.ModelFamily(), FEATURES).predictions)
+
+
+@query("stream_scores", O.with_ctes(
+    "SELECT case_id, modelo, round(p, 9) AS y_proba, CAST(p >= threshold AS INTEGER) AS y_pred FROM final_rows", *_FINAL_CTES))
+def q_stream_scores(spark, d):
+    """The cleaned base consumed as a file stream, the test year scored with the
+    published final model, batch by batch."""
+    import uuid
+    from .operators.clean import clean_schema
+    from .session import scratch_path
+    from .sources.publish import remove
+    from .streaming.scoring import run_scoring
+    run = scratch_path(spark, f"stream/{uuid.uuid4().hex}")
+    scores = run_scoring(spark, _final(spark, d), base_path(spark, d), clean_schema(), run + "/scores", run + "/ckpt", (SPEC.test_year, SPEC.test_year))
+    result = round_doubles(scores).checkpoint(eager=True)
+    remove(spark, run)
+    return result
+
+
+@query("stratified_folds", O.with_ctes(
+    "SELECT case_id, target_resolvida, CAST((row_number() OVER (PARTITION BY target_resolvida ORDER BY "
+    f"md5('{SAMPLE_SEED}:' || CAST(case_id AS VARCHAR)), case_id) - 1) % 3 AS INTEGER) AS dobra FROM train_set", *_SPLITS_CTES))
+def q_stratified_folds(spark, d):
+    """Three exactly stratified folds of the training rows."""
+    train = _splits(spark, d)["train"].select("case_id", "target_resolvida")
+    return stratified_folds(train, "target_resolvida", 3, "case_id", SAMPLE_SEED, into="dobra")
+
+
 @query("score_cases_model")
 def q_score_cases_model(spark, d):
     """Batch case scoring with the saved logistic-regression pipeline, next to
     the general and problem-group historical means."""
     s = _splits(spark, d)
     train, test = s["train"], sc.reindex_features(s["test"], FEATURES)
-    model = TR.fitted(spark, d, _spec("logreg"), train, CASE_VIEW_FEATURES)
-    scored = TR.model_scores(model, test, ["case_id", *FEATURES])
+    model = TR.fitted(_spec("logreg"), train, FEATURES)
+    scored = M.score(model, test, ["case_id", *FEATURES])
     return round_doubles(sc.score_cases(scored, bl.group_rates(train, "grupo_problema"), bl.global_rate(train)))
 
 

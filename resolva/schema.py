@@ -55,10 +55,6 @@ FEATURES = [
     "problema", "como_comprou_contratou", "procurou_empresa",
 ]
 
-# Features that the shared-table case view actually carries.
-CASE_VIEW_FEATURES = ["canal_de_origem", "regiao", "uf", "segmento_de_mercado",
-                      "grupo_problema", "ano_abertura"]
-
 TARGET = "target_resolvida"
 CLOSE_YEAR = "ano_finalizacao"
 CLOSE_MONTH = "mes_finalizacao"

@@ -11,6 +11,9 @@
    an explicit all-string schema (no inference, splittable unless a file has
    quoted line breaks), the known columns renamed to canonical names, NA
    tokens mapped to NULL. Files are told apart by their full path.
+   A row with fewer or more fields than its header is padded or cut, as the
+   original reader did, and kept in a side table with its text; the catalog
+   counts such rows per file. With `reject`, they do not become cases.
 3. Files missing a required column are logged `ignorado_colunas_faltando`;
    the rest are unified by name and cleaned in one lineage.
 4. The catalog aggregates per file: rows read, rows kept, class counts,
@@ -25,7 +28,7 @@ import re
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,8 +63,11 @@ CATALOG_SCHEMA = T.StructType([
     T.StructField("resolvidas", T.LongType()), T.StructField("nao_resolvidas", T.LongType()),
     T.StructField("ano_min", T.IntegerType()), T.StructField("ano_max", T.IntegerType()),
     T.StructField("encoding", T.StringType()), T.StructField("sep", T.StringType()),
-    T.StructField("skiprows", T.IntegerType()), T.StructField("erro", T.StringType()),
+    T.StructField("skiprows", T.IntegerType()), T.StructField("linhas_curtas", T.LongType()),
+    T.StructField("linhas_longas", T.LongType()), T.StructField("erro", T.StringType()),
 ])
+#: Where the reader puts the text of a row whose number of fields differs from the header's.
+CORRUPT = "_linha_fora_do_formato"
 
 
 def detect_dialect(head: bytes, valid_utf8: bool | None = None) -> dict:
@@ -129,7 +135,7 @@ def file_path_col() -> Column:
     return F.try_url_decode(F.replace("_metadata.file_path", F.lit("+"), F.lit("%2B")))
 
 
-def list_csv_files(spark: SparkSession, folders: list[str]) -> list[str]:
+def list_csv_files(spark: SparkSession, folders: list[str], only_empty: bool = False) -> list[str]:
     """Sorted *.csv paths under the folders (recursive), via the Hadoop filesystem."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
@@ -141,8 +147,9 @@ def list_csv_files(spark: SparkSession, folders: list[str]) -> list[str]:
             continue
         it = fs.listFiles(p, True)
         while it.hasNext():
-            s = it.next().getPath().toString()
-            if s.lower().endswith(".csv"):
+            found = it.next()
+            s = found.getPath().toString()
+            if s.lower().endswith(".csv") and not (only_empty and found.getLen()):
                 out.append(s)
     return sorted(out)
 
@@ -169,11 +176,12 @@ def profile_files(spark: SparkSession, paths: list[str]) -> DataFrame:
         (F.sum(F.octet_length("value")) + F.count(F.lit(1)) - F.max("size")).alias("over"))
     flags = flags.select("path", (F.col("utf8") | F.col("over").isin(-3, -2)).alias("utf8"), "quotes",
                          F.col("over").isin(0, 1, -3, -2).alias("whole"))
-    order = Window.partitionBy("path").orderBy("at")
-    heads = (lines.filter("start = 0").withColumn("at", F.monotonically_increasing_id())
-             .withColumn("rank", F.row_number().over(order)).filter("rank <= 2")
-             .groupBy("path").agg(F.max(F.when(F.col("rank") == 1, F.col("value").cast("binary"))).alias("first"),
-                                  F.max(F.when(F.col("rank") == 2, F.col("value").cast("binary"))).alias("second")))
+    # the lines of a file's first split stand side by side in one task, so their
+    # numbers are consecutive and the first two differ in parity
+    first = lines.filter("start = 0").select("path", F.struct(F.monotonically_increasing_id().alias("at"), F.col("value").cast("binary").alias("line")).alias("x"))
+    heads = first.groupBy("path").agg(*[F.min(F.when(F.col("x.at") % 2 == i, F.col("x"))).alias(f"x{i}") for i in (0, 1)])
+    heads = heads.select("path", F.sort_array(F.filter(F.array("x0", "x1"), lambda x: x.isNotNull())).alias("x")).select(
+        "path", F.get("x", F.lit(0))["line"].alias("first"), F.get("x", F.lit(1))["line"].alias("second"))
     files = spark.createDataFrame([(p,) for p in paths], "path string")
     return files.join(flags, "path", "left").join(heads, "path", "left").mapInPandas(_profile_batches, PROFILE_SCHEMA)
 
@@ -183,6 +191,7 @@ class IngestResult:
     cases: DataFrame      # cleaned rows with source_file
     catalog: DataFrame    # one row per file
     profile: DataFrame    # dialect per file
+    malformed: DataFrame  # rows with too few (curta) or too many (longa) fields: source_path, source_file, tipo, linha
 
 
 def _read_group(spark: SparkSession, paths: list[str], enc: str, sep: str, skip: int,
@@ -190,10 +199,11 @@ def _read_group(spark: SparkSession, paths: list[str], enc: str, sep: str, skip:
     """Rows of the files of one dialect. `titles` has (path, fields) of the
     skipped lines: the CSV source cannot skip lines, so a file's own title and
     header lines are removed by value."""
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(headers))])
+    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(headers))] + [T.StructField(CORRUPT, T.StringType())])
     reader = (spark.read.schema(schema)
               .option("sep", sep).option("encoding", SPARK_CHARSET[enc])
-              .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE")
+              .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+              .option("columnPruning", False)      # a pruned parse does not count the fields
               .option("header", skip == 0).option("multiLine", multiline))
     df = reader.csv([_glob_safe(p) for p in paths])
     cols = [F.col(f"_c{i}") for i in range(len(headers))]
@@ -210,7 +220,13 @@ def _read_group(spark: SparkSession, paths: list[str], enc: str, sep: str, skip:
         if canon and canon not in seen:
             seen.add(canon)
             known.append(null_na_tokens(F.col(f"_c{i}")).alias(canon))
-    return df.select("source_path", F.substring_index("source_path", "/", -1).alias("source_file"), *known)
+    unquoted = F.regexp_replace(CORRUPT, r'"([^"]|"")*"', "")
+    n_fields = F.length(unquoted) - F.length(F.replace(unquoted, F.lit(sep), F.lit(""))) + 1
+    # the reader refuses queries of its corrupt-record column alone, so a field takes part
+    bad = F.col(CORRUPT).isNotNull() & ~F.col("_c0").eqNullSafe("\x00")
+    odd = F.when(bad, F.when(n_fields < len(headers), "curta").otherwise("longa"))
+    return df.select("source_path", F.substring_index("source_path", "/", -1).alias("source_file"), odd.alias("tipo"),
+                     F.col(CORRUPT).alias("linha"), *known)
 
 
 def with_row_key(df: DataFrame) -> DataFrame:
@@ -221,16 +237,17 @@ def with_row_key(df: DataFrame) -> DataFrame:
     return df.withColumn("case_id", F.xxhash64(F.concat_ws("\u0001", *fields)))
 
 
-def ingest(spark: SparkSession, folders: list[str]) -> IngestResult:
+def ingest(spark: SparkSession, folders: list[str], reject: bool = False) -> IngestResult:
     """Ingest every *.csv under the folders."""
     paths = list_csv_files(spark, folders)
     if not paths:
         raise RuntimeError(f"no .csv files under {folders}")
-    return ingest_files(spark, paths)
+    return ingest_files(spark, paths, reject)
 
 
-def ingest_files(spark: SparkSession, paths: list[str]) -> IngestResult:
-    """Ingest the given files."""
+def ingest_files(spark: SparkSession, paths: list[str], reject: bool = False) -> IngestResult:
+    """Ingest the given files; with `reject`, rows with too few or too many
+    fields are set aside and not counted as kept."""
     profile = profile_files(spark, paths).checkpoint()
     rows = profile.collect()          # one row per file
     groups: dict[tuple, list[str]] = {}
@@ -245,18 +262,20 @@ def ingest_files(spark: SparkSession, paths: list[str]) -> IngestResult:
     for key, gpaths in groups.items():
         enc, sep, skip, headers, multiline = key
         part = _read_group(spark, gpaths, enc, sep, skip, list(headers), titles[key], multiline)
-        raw_parts.append(part.select("source_path",
+        raw_parts.append(part.select("source_path", "source_file", "tipo", "linha",
                                      F.lit(all(c in part.columns for c in REQUIRED_COLUMNS)).alias("_ok")))
         if all(c in part.columns for c in REQUIRED_COLUMNS):
-            good_parts.append(part)
-    spark_empty = spark.createDataFrame([], "source_path string, _ok boolean")
+            good_parts.append((part.filter("tipo IS NULL") if reject else part).drop("tipo", "linha"))
+    spark_empty = spark.createDataFrame([], "source_path string, source_file string, tipo string, linha string, _ok boolean")
     raw = union_by_name(raw_parts) if raw_parts else spark_empty
     if good_parts:
         unified = union_by_name([p.select(*[F.col(c).cast("string") for c in p.columns]) for p in good_parts])
         cases = clean_cases(with_row_key(unified), keep=("source_file", "source_path", "case_id"))
     else:
         cases = None
-    read = raw.groupBy("source_path").agg(F.count(F.lit(1)).alias("linhas_lidas"), F.max("_ok").alias("_ok"))
+    read = raw.groupBy("source_path").agg(F.count(F.lit(1)).alias("linhas_lidas"), F.max("_ok").alias("_ok"),
+                                          F.count_if(F.col("tipo") == "curta").alias("linhas_curtas"),
+                                          F.count_if(F.col("tipo") == "longa").alias("linhas_longas"))
     if cases is not None:
         kept = cases.groupBy("source_path").agg(
             F.count(F.lit(1)).alias("linhas_filtradas"),
@@ -282,11 +301,12 @@ def ingest_files(spark: SparkSession, paths: list[str]) -> IngestResult:
         F.when(F.col("erro").isNull(), F.coalesce("linhas_filtradas", F.lit(0))).cast("long").alias("linhas_filtradas"),
         F.col("resolvidas").cast("long"), F.col("nao_resolvidas").cast("long"),
         F.col("ano_min").cast("int"), F.col("ano_max").cast("int"),
-        "encoding", "sep", F.col("skiprows").cast("int"), "erro")
+        "encoding", "sep", F.col("skiprows").cast("int"), "linhas_curtas", "linhas_longas", "erro")
     if cases is None:
         from ..operators.clean import clean_schema
         cases = spark.createDataFrame([], clean_schema({"source_file": T.StringType(), "source_path": T.StringType(), "case_id": T.LongType()}))
-    return IngestResult(cases.drop("source_path"), catalog, profile)
+    malformed = raw.filter(F.col("tipo").isNotNull()).select("source_path", "source_file", "tipo", "linha")
+    return IngestResult(cases.drop("source_path"), catalog, profile, malformed)
 
 
 def write_parts(cases: DataFrame, out: str) -> None:

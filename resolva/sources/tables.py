@@ -26,11 +26,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.select(*casts)
 
 
-def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
-    for n in names:
-        read_table(spark, sf_dir, n).createOrReplaceTempView(n)
-
-
 def raw_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One messy complaint case per order (spelling, blanks, date formats vary).
 
@@ -45,8 +40,8 @@ def raw_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     its size estimate.
     """
     o = read_table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
-    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority", "o_totalprice")
+    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal")
     n = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     r = read_table(spark, sf_dir, "region").select("r_regionkey", "r_name")
     j = (o.join(c, o.o_custkey == c.c_custkey)
@@ -66,6 +61,17 @@ def raw_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_mktsegment").alias("segmento_de_mercado"),
         F.when(k % 11 == 0, F.lit(None).cast("string"))
          .otherwise(F.col("o_orderpriority")).alias("grupo_problema"),
+        F.when(F.col("c_custkey") % 3 == 0, F.lit("F")).when(F.col("c_custkey") % 3 == 1, F.lit(" M ")).alias("sexo"),
+        F.when(F.col("c_acctbal") < 0, F.lit("até 20 anos")).when(F.col("c_acctbal") < 2500, F.lit("entre 21 a 30 anos"))
+         .when(F.col("c_acctbal") < 5000, F.lit("entre 31 a 40 anos")).when(F.col("c_acctbal") < 7500, F.lit("entre 41 a 50 anos"))
+         .otherwise(F.lit("mais de 50 anos")).alias("faixa_etaria"),
+        F.month(d).cast("string").alias("mes_abertura"),
+        F.concat(F.lit("Área "), F.col("c_mktsegment")).alias("area"),
+        F.concat(F.col("o_orderpriority"), F.lit(" - "), F.col("r_name")).alias("assunto"),
+        F.concat(F.lit("Problema "), (F.col("c_custkey") % 40).cast("string")).alias("problema"),
+        F.when(k % 4 == 0, F.lit("Internet")).when(k % 4 == 1, F.lit("Loja física")).when(k % 4 == 2, F.lit("Telefone "))
+         .alias("como_comprou_contratou"),
+        F.when(F.col("o_totalprice") >= 200000, F.lit("S")).otherwise(F.lit("N")).alias("procurou_empresa"),
         F.when(F.year(d) == 1995, F.lit(None).cast("string")).otherwise(yy).alias("ano_abertura"),
         F.when(F.col("o_orderstatus") == "P", F.lit("Finalizada não avaliada"))
          .when(k % 3 == 0, F.lit(" FINALIZADA AVALIADA"))
@@ -86,6 +92,14 @@ SELECT o.o_orderkey AS case_id,
        CASE WHEN o.o_orderkey % 2 = 0 THEN 'Internet' ELSE ' Aplicativo ' END AS canal_de_origem,
        r.r_name AS regiao, n.n_name AS uf, c.c_mktsegment AS segmento_de_mercado,
        CASE WHEN o.o_orderkey % 11 = 0 THEN NULL ELSE o.o_orderpriority END AS grupo_problema,
+       CASE c.c_custkey % 3 WHEN 0 THEN 'F' WHEN 1 THEN ' M ' END AS sexo,
+       CASE WHEN c.c_acctbal < 0 THEN 'até 20 anos' WHEN c.c_acctbal < 2500 THEN 'entre 21 a 30 anos'
+            WHEN c.c_acctbal < 5000 THEN 'entre 31 a 40 anos' WHEN c.c_acctbal < 7500 THEN 'entre 41 a 50 anos'
+            ELSE 'mais de 50 anos' END AS faixa_etaria,
+       CAST(month(o.o_orderdate) AS VARCHAR) AS mes_abertura, 'Área ' || c.c_mktsegment AS area,
+       o.o_orderpriority || ' - ' || r.r_name AS assunto, 'Problema ' || CAST(c.c_custkey % 40 AS VARCHAR) AS problema,
+       CASE o.o_orderkey % 4 WHEN 0 THEN 'Internet' WHEN 1 THEN 'Loja física' WHEN 2 THEN 'Telefone ' END AS como_comprou_contratou,
+       CASE WHEN o.o_totalprice >= 200000 THEN 'S' ELSE 'N' END AS procurou_empresa,
        CASE WHEN year(o.o_orderdate) = 1995 THEN NULL ELSE CAST(year(o.o_orderdate) AS VARCHAR) END AS ano_abertura,
        CASE WHEN o.o_orderstatus = 'P' THEN 'Finalizada não avaliada'
             WHEN o.o_orderkey % 3 = 0 THEN ' FINALIZADA AVALIADA' ELSE 'Finalizada avaliada' END AS situacao,

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from resolva.functions.dates import parse_mixed_date
 from resolva.functions.text import (SENTINEL, blank_to_sentinel, feature_text, header_key,
                                     normalize_value, null_na_tokens, shorten, trim_or_sentinel)
-from resolva.operators.scoring import canonicalize, fmt_int, fmt_pct, parse_reply
+from resolva.operators.scoring import canonicalize, domain_dictionary, fmt_int, fmt_pct, parse_reply, validate_replies
 
 
 def _col(spark, values, expr, typ="string"):
@@ -72,11 +72,47 @@ def test_formatting(spark):
 
 
 def test_canonicalize(spark):
-    dom = spark.createDataFrame([("Banco",), ("BANCO",), ("Loja",), (SENTINEL,)], "valor string")
-    cands = spark.createDataFrame([(1, "Loja"), (2, "loja"), (3, "banco"), (4, "xyz"), (5, " Loja ")],
-                                  "id int, c string")
-    got = {r["id"]: r["valor_canonico"] for r in canonicalize(cands, "c", dom).collect()}
-    assert got == {1: "Loja", 2: "Loja", 3: "Banco", 4: SENTINEL, 5: "Loja"}
+    rows = spark.createDataFrame([("Banco", "S"), ("BANCO", None), ("Loja", "N"), (None, " N ")], "campo_a string, campo_b string")
+    dictionary = domain_dictionary(rows, ["campo_a", "campo_b"])
+    cands = spark.createDataFrame([(1, "campo_a", "Loja"), (2, "campo_a", "loja"), (3, "campo_a", "banco"), (4, "campo_a", "xyz"),
+                                   (5, "campo_a", " Loja "), (6, "campo_b", "loja"), (7, "campo_b", "n"), (8, "campo_b", None),
+                                   (9, "campo_a", "BANCO"), (10, None, "S"), (11, "campo_b", "NÃO INFORMADO")], "id int, campo string, c string")
+    got = {r["id"]: r["valor_canonico"] for r in canonicalize(cands, "c", dictionary).collect()}
+    assert got == {1: "Loja", 2: "Loja", 3: "Banco", 4: SENTINEL, 5: "Loja", 6: SENTINEL, 7: "N", 8: SENTINEL, 9: "BANCO",
+                   10: SENTINEL, 11: SENTINEL}
+
+
+def test_validate_replies(spark):
+    dictionary = domain_dictionary(spark.createDataFrame([("Banco", "S")], "a string, b string"), ["a", "b"])
+    replies = spark.createDataFrame([(1, '{"a": "banco", "b": null, "c": "x"}'), (2, '```json\n{"b": "s"}\n```'), (3, "[1]"), (4, None),
+                                     (5, "{}"), (6, " "), (7, '{"a": 7}')], "case_id int, r string")
+    good, bad = validate_replies(replies, "r", dictionary, ["a", "b"])
+    got = {(x.case_id, x.campo): x.valor_canonico for x in good.collect()}
+    none = SENTINEL
+    assert got == {(1, "a"): "Banco", (1, "b"): none, (2, "a"): none, (2, "b"): "S", (5, "a"): none, (5, "b"): none, (7, "a"): none, (7, "b"): none}
+    assert {(x.case_id, x.erro) for x in bad.collect()} == {(3, "sem_objeto"), (4, "vazia"), (6, "vazia")}
+
+
+def test_percent_text_of_every_four_place_rate(spark):
+    rates = [i / 10000 for i in range(10001)] + [i / 7919 for i in range(7920)] + [0.0, 1e-300, 5e-324, 0.0005, 1.2799, 2.5, -0.0015, -0.493]
+    got = _col(spark, rates, fmt_pct, "double")
+    assert got == [f"{x:.1%}".replace(".", ",") for x in rates]
+
+
+def test_letters_outside_the_basic_plane_fold(spark):
+    assert _col(spark, ["𝐅inalizada", "𝟗", "🄰x", "ﬁm"], normalize_value) == ["finalizada", "9", "ax", "fim"]
+
+
+def test_encoded_names_split_in_declared_order(spark):
+    from resolva.operators.reports import encoded_coefficients
+    df = spark.createDataFrame([("cat__area_a", 1.0), ("cat__area_x_a", 2.0), ("area_x", 0.0), ("outra_a", -1.0), ("area", 1.0)],
+                               "feature_codificada string, coeficiente double")
+    first = {r.feature_codificada: (r.variavel, r.categoria) for r in encoded_coefficients(df, ["area", "area_x"]).collect()}
+    later = {r.feature_codificada: (r.variavel, r.categoria) for r in encoded_coefficients(df, ["area_x", "area"]).collect()}
+    unknown = "variavel_desconhecida"
+    assert first == {"cat__area_a": ("area", "a"), "cat__area_x_a": ("area", "x_a"), "area_x": ("area", "x"), "outra_a": (unknown, "outra_a"),
+                     "area": (unknown, "area")}
+    assert later == first | {"cat__area_x_a": ("area_x", "a")}
 
 
 def test_folds_compatibility_forms_and_trims_all_white_space(spark):

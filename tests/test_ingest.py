@@ -185,3 +185,31 @@ def test_stream_takes_files_of_different_column_order(spark):
     base = run_incremental(spark, [d], out + "/base", out + "/ckpt", out + "/catalog")
     assert base.count() == 8 and base.filter("grupo_problema = 'Cobrança' AND uf = 'PR'").count() == 8
     assert spark.read.parquet(out + "/catalog").count() == 2
+
+
+def test_rows_with_too_few_or_too_many_fields_leave_a_trace(spark):
+    d = tempfile.mkdtemp(prefix="resolva-csv-odd-")
+    good = _simple(1).splitlines()[1]
+    short, long_ = ";".join(good.split(";")[:-1]), good + ";extra;fields"
+    quoted = good.replace("Cobrança", '"a;b"')
+    _write(d, "odd.csv", ("\n".join([*_simple(3).splitlines(), short, long_, long_, quoted]) + "\n").encode("utf-8"))
+    _write(d, "good.csv", _simple(2).encode("utf-8"))
+    _write(d, "titled.csv", ("Título\n" + _simple(2) + short + "\n").encode("utf-8"))
+    res = ci.ingest(spark, [d])
+    got = {r.arquivo: (r.linhas_lidas, r.linhas_filtradas, r.linhas_curtas, r.linhas_longas) for r in res.catalog.collect()}
+    assert got == {"odd.csv": (7, 7, 1, 2), "good.csv": (2, 2, 0, 0), "titled.csv": (3, 3, 1, 0)}
+    assert sorted((r.source_file, r.tipo, r.linha) for r in res.malformed.collect()) == sorted(
+        [("odd.csv", "curta", short), ("odd.csv", "longa", long_), ("odd.csv", "longa", long_), ("titled.csv", "curta", short)])
+    assert res.cases.count() == 12 and res.cases.filter("grupo_problema = 'a;b'").count() == 1
+    strict = ci.ingest(spark, [d], reject=True)
+    assert strict.cases.count() == 8 and strict.malformed.count() == 4
+    assert {r.arquivo: r.linhas_filtradas for r in strict.catalog.collect()} == {"odd.csv": 4, "good.csv": 2, "titled.csv": 2}
+
+
+def test_stream_sees_empty_files(spark):
+    from resolva.streaming.incremental import run_incremental
+    d, out = tempfile.mkdtemp(prefix="resolva-csv-stream-"), tempfile.mkdtemp(prefix="resolva-stream-out-")
+    _write(d, "empty.csv", b"")
+    _write(d, "março +1 [a].csv", _simple(3).encode("utf-8"))
+    assert run_incremental(spark, [d], out + "/base", out + "/ckpt", out + "/catalog").count() == 3
+    assert {r.arquivo: r.status for r in spark.read.parquet(out + "/catalog").collect()} == {"empty.csv": "erro", "março +1 [a].csv": "ok"}
