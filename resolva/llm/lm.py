@@ -125,10 +125,30 @@ def _words(table: pa.Table) -> list[bytes]:
     return block.by_code((int(part[i]), B.unpack(data[i].as_py())[:-1]) for i in np.flatnonzero(part >= 0).tolist())
 
 
+def _merged(frame: DataFrame, merge, schema: str, tag: str, fan: int = 64) -> DataFrame:
+    """At most one row: groups of about `fan` rows are merged until one is left."""
+    frame = materialize(frame, tag)
+    while (left := frame.count()) > 1:
+        groups = (left + fan - 1) // fan
+        frame = materialize(frame.withColumn("g", F.pmod(F.xxhash64(frame.columns[0]), F.lit(groups))).groupBy("g").applyInArrow(
+            lambda t: merge(t.drop_columns(["g"])), schema), tag)
+    return frame
+
+
 def count_words(blocks: DataFrame, top: int = TOP) -> tuple[dict[bytes, int], dict]:
     """The most frequent training words in order, and corpus totals. A part's
-    words meet in one task, one entry per block and word; a part passes on its
-    own top words and its totals by hash class."""
+    words meet in one task, one entry per block and word; a part passes on one
+    row, with its own top words and its totals by hash class, and these rows are
+    merged in a tree."""
+    def packed(part: int, words: list[bytes], counts: np.ndarray, total: np.ndarray, distinct: np.ndarray) -> pa.Table:
+        best = sorted(range(len(words)), key=lambda i: (-counts[i], words[i]))[:top]
+        data = B.pack([*(words[i] for i in best), counts[best].astype("<i8").tobytes(), total.tobytes(), distinct.tobytes()])
+        return pa.table([pa.array([part], pa.int32()), pa.array([data], pa.binary())], names=["part", "data"])
+
+    def opened(data: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        *words, counts, total, distinct = B.unpack(data)
+        return words, *(np.frombuffer(x, "<i8") for x in (counts, total, distinct))
+
     def count(table: pa.Table) -> pa.Table:
         seen: dict[bytes, int] = {}
         for d in table.column("data"):
@@ -136,30 +156,31 @@ def count_words(blocks: DataFrame, top: int = TOP) -> tuple[dict[bytes, int], di
             for w, c in zip(words, np.frombuffer(counts, "<u4").tolist()):
                 if c:
                     seen[w] = seen.get(w, 0) + c
-        best = sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:top]
         total, distinct = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for w, c in seen.items():
             total[zlib.crc32(w, 1) % BUCKETS] += c
             distinct[zlib.crc32(w, 1) % BUCKETS] += 1
-        rows = [(w, -1, c, 1) for w, c in best] + [(None, i, int(total[i]), int(distinct[i])) for i in range(BUCKETS)]
-        return pa.table([pa.array(x, t) for x, t in zip(zip(*rows), (pa.binary(), pa.int32(), pa.int64(), pa.int64()))],
-                        names=["word", "bucket", "c", "v"])
-
-    found = materialize(blocks.filter("part >= 0").groupBy("part").applyInArrow(count, "word binary, bucket int, c long, v long"), "lm-counts")
-    best = found.filter("bucket < 0").orderBy(F.desc("c"), "word").limit(top).collect()
-    sums = found.filter("bucket >= 0").groupBy("bucket").agg(F.sum("c").alias("c"), F.sum("v").alias("v")).collect()
-    total, distinct = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for r in sums:
-        total[r["bucket"]], distinct[r["bucket"]] = r["c"], r["v"]
+        return packed(table.column("part")[0].as_py(), list(seen), np.array(list(seen.values()), np.int64), total, distinct)
+
+    def merge(table: pa.Table) -> pa.Table:
+        """Parts have no word in common."""
+        rows = [opened(d.as_py()) for d in table.column("data")]
+        return packed(table.column("part")[0].as_py(), [w for r in rows for w in r[0]], np.concatenate([r[1] for r in rows]),
+                      sum(r[2] for r in rows), sum(r[3] for r in rows))
+
+    schema = "part int, data binary"
+    last = _merged(blocks.filter("part >= 0").groupBy("part").applyInArrow(count, schema), merge, schema, "lm-counts").collect()
+    none = np.zeros(0, np.int64), np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    words, counts, total, distinct = opened(bytes(last[0]["data"])) if last else ([], *none)
     stats = {"N": int(total.sum()), "V": int(distinct.sum())}
-    words = {bytes(r["word"]): i for i, r in enumerate(best)}
-    for r in best:
-        i = zlib.crc32(bytes(r["word"]), 1) % BUCKETS
-        total[i] -= r["c"]
-        distinct[i] -= 1
+    total, distinct = total.copy(), distinct.copy()
+    for w, c in zip(words, counts.tolist()):
+        total[zlib.crc32(w, 1) % BUCKETS] -= c
+        distinct[zlib.crc32(w, 1) % BUCKETS] -= 1
     top_counts = np.zeros(top, np.int64)
-    top_counts[:len(best)] = [r["c"] for r in best]
-    return words, stats | {"classes": np.concatenate([top_counts, total]), "bucket_total": total, "bucket_v": distinct}
+    top_counts[:len(words)] = counts
+    return {w: i for i, w in enumerate(words)}, stats | {
+        "classes": np.concatenate([top_counts, total]), "bucket_total": total, "bucket_v": distinct}
 
 
 def train(blocks: DataFrame, top: dict[bytes, int], stats: dict, fan: int = 64) -> dict[str, np.ndarray]:
@@ -194,13 +215,8 @@ def train(blocks: DataFrame, top: dict[bytes, int], stats: dict, fan: int = 64)
                          pa.array([pickle.dumps(out)], pa.binary())], names=["block", "n", "model"])
 
     schema = "block long, n long, model binary"
-    models = materialize(blocks.groupBy("block").applyInArrow(run, schema), "lm-models")
-    while (left := models.count()) > 1:
-        groups = (left + fan - 1) // fan
-        models = materialize(models.withColumn("g", F.expr(f"pmod(xxhash64(block), {groups})")).groupBy("g").applyInArrow(
-            lambda t: average(t.drop_columns(["g"])), schema), "lm-models")
-    last = models.collect()  # one row of fixed size, or none
-    return pickle.loads(bytes(last[0]["model"])) if last else begin
+    last = _merged(blocks.groupBy("block").applyInArrow(run, schema), average, schema, "lm-models", fan).collect()
+    return pickle.loads(bytes(last[0]["model"])) if last else begin  # one row of fixed size, or none
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
