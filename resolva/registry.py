@@ -23,6 +23,7 @@ from .operators.splits import SplitSpec, labelled_splits, split_summary, tempora
 from .plans.evaluation import baseline_scores, choose_thresholds, metric_rows
 from .schema import FEATURE_ABBREV, FEATURES
 from .sources.base import base_path, cleaned_base
+from .sources.publish import remove
 from .sources.tables import raw_cases, read_table, union_by_name
 
 SPEC = SplitSpec()
@@ -741,6 +742,18 @@ from .sources import csv_ingest as ci  # noqa: E402
 from .sources.csv_export import DISPLAY_HEADERS, export_raw_csv  # noqa: E402
 
 
+def _and_remove(result: DataFrame, folder: str) -> DataFrame:
+    """A result taken from a run's folder, kept apart, and the folder removed."""
+    result = result.checkpoint(eager=True)
+    remove(result.sparkSession, folder)
+    return result
+
+
+def _channel_counts(cases: DataFrame) -> DataFrame:
+    return (cases.groupBy("ano_finalizacao", "canal_de_origem", "segmento_de_mercado")
+                 .agg(F.count(F.lit(1)).alias("linhas"), F.sum("target_resolvida").cast("long").alias("resolvidas")))
+
+
 def _ingested(spark, d):
     return ci.ingest(spark, export_raw_csv(spark, d))
 
@@ -759,8 +772,7 @@ def q_ingest_csv(spark, d):
     parts = scratch_path(spark, f"parts/{uuid.uuid4().hex}")
     ci.write_parts(_ingested(spark, d).cases, parts)            # part sink, partitioned by close year
     cases = spark.read.schema(clean_schema({"source_file": T.StringType(), "case_id": T.LongType()})).parquet(parts)
-    return (cases.groupBy("ano_finalizacao", "canal_de_origem", "segmento_de_mercado")
-                 .agg(F.count(F.lit(1)).alias("linhas"), F.sum("target_resolvida").cast("long").alias("resolvidas")))
+    return _and_remove(_channel_counts(cases), parts)
 
 
 _FILE_DIALECT = (
@@ -866,8 +878,7 @@ def q_stream_ingest(spark, d):
     from .streaming.incremental import run_incremental
     run = scratch_path(spark, f"stream/{uuid.uuid4().hex}")
     base = run_incremental(spark, export_raw_csv(spark, d), run + "/out", run + "/ckpt")
-    return (base.groupBy("ano_finalizacao", "canal_de_origem", "segmento_de_mercado")
-                .agg(F.count(F.lit(1)).alias("linhas"), F.sum("target_resolvida").cast("long").alias("resolvidas")))
+    return _and_remove(_channel_counts(base), run)
 
 
 @query("model_row", O.with_ctes(
@@ -904,7 +915,7 @@ def q_results_csv(spark, d):
     back = ci.read_result_csv(spark, path)
     f1 = find_column(back.columns, ["F1 Macro", "f1-macro"])
     split = find_column(back.columns, ["Conjunto"])
-    return rp.numeric_metric(back.withColumnRenamed(split, "conjunto"), f1, extra=["conjunto"])
+    return _and_remove(rp.numeric_metric(back.withColumnRenamed(split, "conjunto"), f1, extra=["conjunto"]), path)
 
 
 # --------------------------------------------------------------- final model
@@ -957,13 +968,10 @@ def q_stream_scores(spark, d):
     import uuid
     from .operators.clean import clean_schema
     from .session import scratch_path
-    from .sources.publish import remove
     from .streaming.scoring import run_scoring
     run = scratch_path(spark, f"stream/{uuid.uuid4().hex}")
     scores = run_scoring(spark, _final(spark, d), base_path(spark, d), clean_schema(), run + "/scores", run + "/ckpt", (SPEC.test_year, SPEC.test_year))
-    result = round_doubles(scores).checkpoint(eager=True)
-    remove(spark, run)
-    return result
+    return _and_remove(round_doubles(scores), run)
 
 
 @query("stratified_folds", O.with_ctes(

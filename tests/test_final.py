@@ -134,3 +134,31 @@ def test_metric_rows_reads_scored_rows_once(spark, tmp_path):
     day1, day2 = scored.filter("p < 0.3 or y = 1"), scored.filter("not (p < 0.3 or y = 1)")
     parts = ev.add_counts([ev.score_counts(d, ["conjunto", "modelo"], clip=True) for d in (day1, day2)], ["conjunto", "modelo"])
     assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, counts.collect()))
+
+
+def test_scoring_stream_replays_a_batch_without_repeats(spark, splits, tmp_path):
+    from resolva.operators.clean import clean_schema
+    from resolva.sources.base import base_path
+    from resolva.streaming.scoring import run_scoring, score_batch
+    final, years = FN.finalize(splits, SPEC, FN.RateFamily(), FEATURES), (SPEC.test_year, SPEC.test_year)
+    parts, out, ckpt = base_path(spark, SF_SMALL), str(tmp_path / "scores"), str(tmp_path / "ckpt")
+    first = sorted(map(tuple, run_scoring(spark, final, parts, clean_schema(), out, ckpt, years).collect()))
+    assert len(first) == splits["test"].count()
+    score_batch(final, cleaned_base(spark, SF_SMALL), out, 0, years)              # the batch comes again
+    again = run_scoring(spark, final, parts, clean_schema(), out, ckpt, years)    # and nothing new has arrived
+    assert sorted(map(tuple, again.collect())) == first
+    want = final.predictions.select("case_id", "modelo", "y_proba", "y_pred")
+    assert sorted(map(tuple, want.collect())) == first
+
+
+def test_all_configurations_fit_from_one_encoding(spark, splits):
+    specs = [M.Spec(M.LOGREG, "logreg", f"LR_{c}", {"C": c}) for c in (0.1, 1.0)] + [M.Spec(M.TREE, "tree", "T", {"max_depth": 3})]
+    key = TR.training_key(splits["train"], FEATURES)
+    fits = [TR.fitted(s, splits["train"], FEATURES, key=key) for s in specs]
+    folder = scratch_path(spark, f"models/{key}")
+    encodings = [x for x in os.listdir(folder) if x.startswith("encoded-")]
+    assert len(encodings) == 1 and len({tuple(map(tuple, f.encoder.labels)) for f in fits}) == 1
+    out = M.score_all(fits, splits["valid"], ["case_id"])
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert {len(x) > 1 for x in fits[0].encoder.labels} == {True}                 # all 14 features vary
+    assert len(fits[0].encoder.features) == 14
