@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from resolva.llm.common import fresh
+from resolva.llm.common import fresh, with_row_id
 
 #: Hash groups that a shard's slots are numbered in; a task sorts one of them.
 SLOT_GROUPS = 1024
@@ -96,8 +96,9 @@ def key_text(key: Column) -> Column:
 
 def shard_rows(df: DataFrame, key: str, tree: Node, grown: Node | None = None, shard_col: str = "shard",
                grown_col: str = "grown_shard") -> DataFrame:
-    """Add the shard of every row, and its shard in a grown tree."""
-    (k,) = fresh(df, "shard_key")
+    """Add the shard of every row, and its shard in a grown tree, as the last
+    columns, under other names where the frame has these."""
+    k, shard_col, grown_col = fresh(df, "shard_key", shard_col, grown_col)
     df = df.withColumn(k, key_text(F.col(key)))
     df = df.withColumn(shard_col, descend(tree, F.col(k)))
     if grown is not None:
@@ -108,20 +109,22 @@ def shard_rows(df: DataFrame, key: str, tree: Node, grown: Node | None = None, s
 def with_slots(df: DataFrame, key: str, order: list[str], shard_col: str = "shard", slot_col: str = "slot") -> DataFrame:
     """Number the rows of each shard without gaps from 0.
 
-    A shard's rows fall into SLOT_GROUPS hash groups. Group sizes are counted
-    first (one row per shard and group), their running sums are the groups'
-    first slots, and rows are numbered inside a group. So no task sorts a
-    whole shard.
+    The rows are written once with a row id. A shard's rows fall into
+    SLOT_GROUPS groups by a hash of key and row id, so neither a large shard nor
+    a key that many rows share meets in one task. Group sizes are counted first
+    (one row per shard and group), their running sums are the groups' first
+    slots, and rows are numbered inside a group.
     """
-    g, n, first, at = fresh(df, "slot_group", "group_rows", "group_first", "group_at")
-    grouped = df.withColumn(g, F.conv(F.substring(F.md5(F.concat(F.lit("slot:"), key_text(F.col(key)))), 1, 8), 16, 10)
+    rid, g, n, first, at, slot_col = fresh(df, "slot_row", "slot_group", "group_rows", "group_first", "group_at", slot_col)
+    columns, df = df.columns, with_row_id(df, rid, "shard-slots")
+    grouped = df.withColumn(g, F.conv(F.substring(F.md5(F.concat_ws(":", F.lit("slot"), key_text(F.col(key)), F.col(rid).cast("string"))), 1, 8), 16, 10)
                             .cast("long") % SLOT_GROUPS)
     sizes = grouped.groupBy(shard_col, g).agg(F.count(F.lit(1)).alias(n))
     firsts = sizes.selectExpr(
         f"`{shard_col}`", f"`{g}`",
         f"sum(`{n}`) OVER (PARTITION BY `{shard_col}` ORDER BY `{g}`) - `{n}` AS `{first}`")
-    by = ", ".join(f"`{c}`" for c in [key, *order])
+    by = ", ".join(f"`{c}`" for c in [key, *order, rid])
     numbered = grouped.selectExpr("*", f"row_number() OVER (PARTITION BY `{shard_col}`, `{g}` ORDER BY {by}) AS `{at}`")
     # at most shards x SLOT_GROUPS rows
     joined = numbered.join(F.broadcast(firsts), [shard_col, g])
-    return joined.withColumn(slot_col, F.col(first) + F.col(at) - 1).drop(g, first, at)
+    return joined.select(*columns, (F.col(first) + F.col(at) - 1).alias(slot_col))
