@@ -30,6 +30,22 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Rounds:
+    """A table that grows by a part per round, in one folder: the plan that reads
+    all rounds stays the same size however many there are."""
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.root, self.n = spark, scratch_path(spark, f"llm/{tag}-{uuid.uuid4().hex}"), 0
+
+    def add(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Write one round's rows; gives them and the rows of all rounds."""
+        path = f"{self.root}/round={self.n}"
+        df.write.option("compression", "zstd").parquet(path)
+        self.n += 1
+        whole = self.spark.read.schema(df.schema).option("basePath", self.root).parquet(self.root)
+        return self.spark.read.schema(df.schema).parquet(path), whole.select(*df.columns)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that do not clash with the frame's own, whatever extra
     columns the caller brings."""

@@ -52,10 +52,11 @@ def benchmark_windows(benchmark: DataFrame, item: str = "item_id", text: str = "
 def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", n: int = N,
               keep: list[str] | None = None) -> DataFrame:
     """Add n_words, hit_spans (array of start and end word, from 1, merged),
-    n_hit and items (sorted as strings) to every row. `keep` names the columns
+    n_hit and items (sorted as strings) to every row, as the last columns, under
+    other names where the carried columns have these. `keep` names the columns
     to carry, all by default."""
     keep = list(docs.columns) if keep is None else keep
-    rid, words, found = fresh(docs, "row_id", "words", "found")
+    rid, words, found, n_words, hit_spans, n_hit, its = fresh(docs, "row_id", "words", "found", "n_words", "hit_spans", "n_hit", "items")
     rows = with_row_id(docs.select(*keep, *([text] if text not in keep else [])), rid, "decontaminate")
     windows = benchmark_windows(benchmark, item, text, n).persist()
     # one pass over the benchmark gives the size and the (at most n) window lengths
@@ -63,9 +64,9 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: s
     lengths = sorted(r["len"] for r in size)
     scanned = rows.withColumn(words, words_of(F.col(text)))
     if not lengths:
-        return scanned.select(*keep, F.size(words).cast("long").alias("n_words"),
-                              F.array().cast("array<struct<start:int,end:int>>").alias("hit_spans"),
-                              F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
+        return scanned.select(*keep, F.size(words).cast("long").alias(n_words),
+                              F.array().cast("array<struct<start:int,end:int>>").alias(hit_spans),
+                              F.lit(0).cast("long").alias(n_hit), F.array().cast("array<string>").alias(its))
     grams = F.col(words)
     grams = let(grams, lambda w: F.flatten(F.filter(F.array(*[_windows(w, k) for k in lengths]), lambda a: a.isNotNull())))
     at = scanned.select(F.col(rid), F.explode(grams).alias("g")).select(rid, "g.pos", "g.len", "g.hash")
@@ -88,13 +89,14 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: s
                 F.try_element_at(acc, F.lit(-1))["start"].alias("start"),
                 F.greatest(F.try_element_at(acc, F.lit(-1))["end"], s["end"]).alias("end")))))
         .otherwise(F.concat(acc, F.array(F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"))))))
-    judged = judged.withColumn("hit_spans", spans)
+    judged = judged.withColumn(hit_spans, spans)
     return judged.select(
-        *keep, F.size(words).cast("long").alias("n_words"), "hit_spans",
-        F.aggregate("hit_spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"] + 1).alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.transform(found, lambda h: h["items"])))).alias("items"))
+        *keep, F.size(words).cast("long").alias(n_words), hit_spans,
+        F.aggregate(hit_spans, F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"] + 1).alias(n_hit),
+        F.array_sort(F.array_distinct(F.flatten(F.transform(found, lambda h: h["items"])))).alias(its))
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Drop documents with any hit; columns stay."""
-    return find_hits(docs, benchmark).filter(F.col("n_hit") == 0).select(*docs.columns)
+    out = find_hits(docs, benchmark)
+    return out.filter(F.col(out.columns[-2]) == 0).select(*docs.columns)

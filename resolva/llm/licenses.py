@@ -178,12 +178,13 @@ def apply_rules(ids: Column, rules: list[tuple[str, list[str]]] = RULES) -> Colu
 
 def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add sentence_ids (in text order), licenses (sorted, distinct) and
-    open_ids (in text order, not consumed by a rule)."""
-    ids, tokens = fresh(docs, "found_ids", "rule_tokens")
+    open_ids (in text order, not consumed by a rule) as the last columns, under
+    other names where the frame has these."""
+    ids, tokens, sentence, named, rest = fresh(docs, "found_ids", "rule_tokens", "sentence_ids", "licenses", "open_ids")
     out = docs.withColumn(ids, sentence_ids(F.col(text)))
     out = out.withColumn(tokens, F.when(F.size(ids) > 0, apply_rules(F.col(ids))).otherwise(F.array().cast("array<string>")))
     return out.select(
-        *[F.col(c) for c in docs.columns], F.col(ids).alias("sentence_ids"),
+        *[F.col(c) for c in docs.columns], F.col(ids).alias(sentence),
         F.sort_array(F.array_distinct(F.transform(
-            F.filter(tokens, lambda x: x.startswith("=")), lambda x: F.substr(x, F.lit(2))))).alias("licenses"),
-        F.filter(tokens, lambda x: ~x.startswith("=")).alias("open_ids"))
+            F.filter(tokens, lambda x: x.startswith("=")), lambda x: F.substr(x, F.lit(2))))).alias(named),
+        F.filter(tokens, lambda x: ~x.startswith("=")).alias(rest))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from resolva.llm import components, lines, lm, neardup, sharding
+from resolva.llm import components, decontaminate, lines, lm, neardup, sharding
 from tests.conftest import SF_SMALL
 from tests.llm.conftest import sentence
 
@@ -173,3 +173,89 @@ def test_pipeline_stages_follow_each_other(spark):
     out = corpus_pipeline.run(spark, SF_SMALL)
     assert len(corpus_pipeline.STAGES) == 5 and 0.4 * n < out.count() < n
     assert {"doc_id", "n_tokens", "ids_sha256"} <= set(out.columns)
+
+
+def test_output_names_of_the_caller_change_nothing(spark, tricky):
+    """Documents that already have columns with the operators' output names."""
+
+    from resolva.llm import licenses
+    bench = spark.createDataFrame([("a", sentence(1, 30))], "item_id string, text string")
+    clash = tricky
+    for c in ("kept", "quality", "n_removed", "n_lines", "n_hit", "items", "n_words", "hit_spans", "licenses", "sentence_ids", "open_ids", "shard", "grown_shard"):
+        clash = clash.withColumn(c, F.lit("caller"))
+    plain = lambda df: sorted(map(str, df.select(*tricky.columns).collect()))
+    for stage in (corpus_pipeline.quality_rules, lambda s, d, _: lines.remove_lines(d), lambda s, d, _: decontaminate.remove_documents(d, bench)):
+        out = stage(spark, clash, "")
+        assert out.columns == clash.columns and out.filter("kept <> 'caller' OR items <> 'caller' OR n_removed <> 'caller'").count() == 0
+        assert plain(out) == plain(stage(spark, tricky, ""))
+    found = licenses.scan_licenses(clash)
+    assert found.columns[-3:] == ["_sentence_ids", "_licenses", "_open_ids"] and found.filter("licenses <> 'caller'").count() == 0
+    dealt = sharding.shard_rows(clash, "doc_id", sharding.even_tree(2, 2, 2))
+    want = sharding.shard_rows(tricky, "doc_id", sharding.even_tree(2, 2, 2))
+    assert dealt.columns[-1] == "_shard" and dealt.filter("shard <> 'caller'").count() == 0
+    assert sorted(str(r) for r in dealt.select("doc_id", F.col("_shard").alias("shard")).collect()) == sorted(str(r) for r in want.select("doc_id", "shard").collect())
+
+
+def test_slots_of_one_hot_key_are_spread(spark):
+    """20,000 rows without a key are one shard's, but no slot group's."""
+    df = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("same").alias("text"))
+    dealt = sharding.shard_rows(df, "doc_id", sharding.even_tree(2, 2, 2))
+    out = sharding.with_slots(dealt, "doc_id", ["text"])
+    assert sorted(r.slot for r in out.collect()) == list(range(20_000)) and out.columns == [*dealt.columns, "slot"]
+    plan = sharding.with_slots(dealt, "doc_id", ["text"])
+    assert plan.select("shard").distinct().count() == 1
+
+
+def test_line_dedup_equals_all_pairs(spark, nothing):
+    """Every pair of lines compared in plain Python; components keep their first line."""
+    import random
+    rng, rows, seen = random.Random(4), [], []
+    for i in range(40):
+        lines_ = []
+        for j in range(rng.randint(1, 6)):
+            old = rng.choice(seen) if seen and rng.random() < 0.5 else None
+            if old and rng.random() < 0.3:
+                line = old
+            elif old:
+                at = rng.randrange(len(old))
+                line = old[:at] + rng.choice("XYZ") + old[at + rng.randint(0, 1):]
+            else:
+                line = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(rng.randint(14, 24)))
+            lines_.append(line)
+            seen.append(line)
+        rows.append((None if i == 7 else i, "\n".join([*lines_, "", "ab"][: len(lines_) + i % 3]), "en", "a", 1))
+    docs = spark.createDataFrame(rows, nothing.schema)
+    shingles = lambda s: {s[i:i + 6] for i in range(len(s) - 5)} or {s}
+    place = {}
+    for r in docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect():
+        for pos, line in enumerate(r.text.split("\n")):
+            if line.strip():
+                at = (r.doc_id is not None, r.doc_id or 0, r.h, pos)
+                place[line] = min(place.get(line, at), at)
+    names = sorted(place)
+    sets = [shingles(x) for x in names]
+    near = [(a, b) for b in range(len(names)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert len(near) > 30
+    root = union_find(range(len(names)), near)
+    first = {}
+    for i, x in enumerate(names):
+        first[root[i]] = min(first.get(root[i], place[x]), place[x])
+    keep = {place[x] for i, x in enumerate(names) if place[x] == first[root[i]]}
+    want = collections.Counter()
+    for r in docs.select("doc_id", "text", F.xxhash64("text").alias("h")).collect():
+        stay = [x for pos, x in enumerate(r.text.split("\n")) if not x.strip() or (r.doc_id is not None, r.doc_id or 0, r.h, pos) in keep]
+        want[r.doc_id, "\n".join(stay)] += 1
+    assert collections.Counter((r.doc_id, r.text) for r in lines.dedup(docs).collect()) == want
+
+
+def test_pipeline_stages_take_tricky_and_empty_tables(spark, clashing, nothing):
+    for docs, name in ((clashing, "tricky"), (nothing, "nothing")):
+        n = docs.count()
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, SF_SMALL)
+            if i < 4:
+                assert out.columns == docs.columns, name
+                docs = corpus_pipeline.materialize(out, "test-stage")
+        assert out.count() == docs.count() <= n
+        if name == "tricky":
+            assert {r.doc_id for r in docs.collect()} >= {2, 9, 10}       # clean documents stay
