@@ -8,6 +8,7 @@ from resolva.operators import evaluate as ev
 from resolva.operators import models as M
 from resolva.operators.encode import fit_encoder
 from resolva.operators.folds import stratified_folds
+from resolva.operators.packed import n_partitions, packed
 from resolva.schema import TARGET
 
 FEATS = ["segmento_de_mercado", "grupo_problema"]
@@ -165,6 +166,33 @@ def test_boosting_recovers_a_planted_signal(spark, planted):
     assert used and max(used) < model.encoder.width
 
 
+def test_trees_look_at_one_place_of_a_row():
+    """A column's feature has one place in a row: a number at another place is not looked at."""
+    tree = boosting.Tree()
+    left, right = tree.split(0, 3, 1, 1.0)
+    assert tree.leaf_of(np.array([[0, 3], [3, 4]])).tolist() == [right, left]
+
+
+@pytest.mark.parametrize("n, slots, parts", [(0, 12, 1), (8_192, 12, 1), (8_193, 12, 2), (100_000, 12, 12), (500_000, 12, 12),
+                                             (800_000, 12, 24), (65_537, 1, 2)])
+def test_packed_partitions_follow_rows_and_slots(n, slots, parts):
+    assert n_partitions(n, slots) == parts
+
+
+def test_packed_rows_are_dealt_evenly(spark, planted):
+    """However the rows come: many partitions, or all of them in one."""
+    train, _ = planted
+    encoder = fit_encoder(train, FEATS)
+    many = spark.range(40_000).select(F.col("id").alias("case_id"), F.element_at(F.array(*map(F.lit, "ABCDE")), (F.col("id") % 5 + 1).cast("int")).alias(FEATS[0]),
+                                      F.lit("g1").alias(FEATS[1]), F.lit(1).alias(TARGET))
+    for rows in (many.repartition(50), many.coalesce(1)):
+        blocks = packed(encoder.transform(rows, ["case_id"]))
+        sizes = blocks.mapPartitions(lambda found: [sum(len(b.y) for b in found)]).collect()
+        blocks.unpersist()
+        assert len(sizes) == n_partitions(40_000, spark.sparkContext.defaultParallelism) and sum(sizes) == 40_000
+        assert max(sizes) - min(sizes) <= 50
+
+
 def test_row_and_column_shares():
     keys = np.random.default_rng(0).integers(-2 ** 62, 2 ** 62, 100_000)
     for number in (1, 2):
