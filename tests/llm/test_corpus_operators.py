@@ -116,6 +116,17 @@ def test_one_changed_character_in_a_short_line(spark):
     assert {r.doc_id: r.n_removed for r in lines.dedup(docs).collect()} == {1: 0, 2: 1}
 
 
+def test_line_rounds_do_not_read_the_documents_again(spark, monkeypatch):
+    """However many rounds there are, the documents are cut into lines for the sketches, the shared lines' texts and the result."""
+    monkeypatch.setattr(lines, "band", lambda m, s, run: F.lit(1).cast("long"))
+    calls, whole = [], lines._explode
+    monkeypatch.setattr(lines, "_explode", lambda *a: calls.append(1) or whole(*a))
+    text = lambda i: " ".join(f"{chr(97 + (i * 7 + j) % 26) * 3}{i}{j}" for j in range(12))
+    docs = spark.createDataFrame([(2 * i + j, text(i) + " end" * j) for i in range(6) for j in range(2)], "doc_id long, text string")
+    assert [r.n_removed for r in lines.dedup(docs).orderBy("doc_id").collect()] == [0, 1] * 6
+    assert len(calls) == 3
+
+
 def test_line_dedup_on_tricky_rows(clashing, nothing):
     out = lines.remove_lines(clashing)
     ids = collections.Counter(r.doc_id for r in out.collect())
