@@ -9,6 +9,7 @@ from resolva.operators import models as M
 from resolva.operators.encode import fit_encoder
 from resolva.operators.folds import stratified_folds
 from resolva.operators.packed import n_partitions, packed
+from resolva.plans import training as TR
 from resolva.schema import TARGET
 
 FEATS = ["segmento_de_mercado", "grupo_problema"]
@@ -209,3 +210,34 @@ def test_stratified_folds_differ_by_at_most_one(spark, digits):
         counts = [r["count"] for r in sizes if r.y == y]
         assert len(counts) == 4 and max(counts) - min(counts) <= 1
     assert sum(r["count"] for r in sizes) == 10_001         # equal keys (a fifth of the rows) are dealt too
+
+
+MORE_ROWS = 500_900       # more than the original flow's samples of 500,000 and 100,000 rows
+
+
+@pytest.fixture(scope="module")
+def many(spark):
+    """Labelled rows with a category that only one row has, the last in the order of the seeded hash."""
+    rows = spark.range(MORE_ROWS).select(F.col("id").alias("case_id"), (F.col("id") % 3 == 0).cast("int").alias(TARGET))
+    last = rows.orderBy(F.md5(F.concat(F.lit("42:"), F.col("case_id").cast("string"))).desc()).first()["case_id"]
+    return rows.select("*", F.when(F.col("case_id") == last, "rare").otherwise(F.concat(F.lit("s"), F.col("case_id") % 5)).alias(FEATS[0]),
+                       F.concat(F.lit("g"), F.col("case_id") % 7).alias(FEATS[1]))
+
+
+def test_every_training_row_is_encoded(many):
+    encoder, rows = TR.encoded_rows(many, FEATS, "all-rows")
+    assert rows.count() == MORE_ROWS and "rare" in encoder.labels[0]
+
+
+@pytest.mark.parametrize("family", ["logreg", "tree", "gbt", "svm"])
+def test_every_family_fits_on_all_training_rows(many, monkeypatch, family):
+    class Reached(Exception):
+        pass
+
+    def fit(spec, rows, encoder):
+        raise Reached(rows.count(), "rare" in encoder.labels[0])
+
+    monkeypatch.setattr(M, "fit_encoded", fit)
+    with pytest.raises(Reached) as found:
+        TR.fitted(M.Spec(family, family, f"all-rows-{family}"), many, FEATS, key="all-rows")
+    assert found.value.args == (MORE_ROWS, True)
