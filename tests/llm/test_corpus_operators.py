@@ -2,6 +2,8 @@
 
 import collections
 import math
+import os
+import random
 import re
 import zlib
 
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from resolva.llm import components, decontaminate, lines, lm, neardup, sharding
+from resolva.session import scratch_path
 from tests.conftest import SF_SMALL
 from tests.llm.conftest import sentence
 
@@ -127,6 +130,31 @@ def test_line_rounds_do_not_read_the_documents_again(spark, monkeypatch):
     assert len(calls) == 3
 
 
+def test_tables_of_the_line_rounds_go_with_the_run(spark):
+    """Only the removed lines, which the result reads, stay in the checkpoint folder."""
+    folder = scratch_path(spark, "llm").removeprefix("file:")
+    docs = spark.createDataFrame([(i, sentence(3, 20) + " end" * (i % 2)) for i in range(4)], "doc_id long, text string")
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    out = lines.dedup(docs)
+    left = sorted(set(os.listdir(folder)) - before)
+    assert [x.rpartition("-")[0] for x in left] == ["lines-removed"]
+    assert [r.n_removed for r in out.orderBy("doc_id").collect()] == [0, 1, 1, 1]
+
+
+def test_similar_small_sets_share_a_band(spark):
+    """Sets that are whole in their sketches and share 0.8 of their union have a common band, however the others fall between."""
+    draw, rows = random.Random(5), []
+    for _ in range(4000):
+        common = draw.randint(4, 22)
+        odd = draw.randint(0, min(common // 4, lines.MINIMA - common))
+        union = draw.sample(range(10 ** 6), common + odd)
+        own = draw.randint(0, odd)
+        rows.append((sorted(union[:common] + union[common:common + own]), sorted(union[:common] + union[common + own:])))
+    pairs = spark.createDataFrame(rows, "a array<int>, b array<int>")
+    apart = pairs.filter(~F.arrays_overlap(lines.bands(F.col("a")), lines.bands(F.col("b"))))
+    assert pairs.count() == 4000 and apart.count() == 0
+
+
 def test_line_dedup_on_tricky_rows(clashing, nothing):
     out = lines.remove_lines(clashing)
     ids = collections.Counter(r.doc_id for r in out.collect())
